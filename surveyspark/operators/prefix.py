@@ -9,7 +9,7 @@ part holds most rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -109,6 +109,11 @@ def prefix_sum(
     return joined.withColumns(final).drop(*drop)
 
 
+def hash_bucket(hashed: str) -> Column:
+    """Order-preserving bucket of an md5 hex column; even by construction."""
+    return hash_integer(F.col(hashed), _HASH_DIGITS)
+
+
 def hash_rank(
     df: DataFrame, hashed: str, parts: Sequence[str] = (), rank: str = "rank", count: str = "n_keys"
 ) -> DataFrame:
@@ -119,7 +124,7 @@ def hash_rank(
     """
     ranked = prefix_sum(
         df.withColumn("_one", F.lit(1)), parts, hashed, ["_one"],
-        bucket=hash_integer(F.col(hashed), _HASH_DIGITS),
+        bucket=hash_bucket(hashed),
     )
     return ranked.select(
         *df.columns, (F.col("cum__one") - 1).alias(rank), F.col("total__one").alias(count)
@@ -127,23 +132,26 @@ def hash_rank(
 
 
 def interpolated_quantiles(
-    df: DataFrame, parts: Sequence[str], key: str, count: str, probabilities: Sequence[float]
+    df: DataFrame, parts: Sequence[str], key: str, count: str, probabilities: Sequence[float],
+    position: Callable[[Column, float], Column] | None = None,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles of a (parts, key, count) histogram.
 
     Returns parts and ``quantiles``, an array in the order of ``probabilities``.
+    ``position(n, p)`` gives the fractional rank from 0; by default (n - 1) * p.
     Only the keys at the ranks next to each quantile leave their tasks.
     """
     parts = list(parts)
     running = prefix_sum(df, parts, key, [count])
-    last = F.col(f"total_{count}") - 1
+    total = F.col(f"total_{count}")
+    position = position or (lambda n, p: (n - 1) * F.lit(float(p)))
     start, stop = F.col(f"cum_{count}") - F.col(count), F.col(f"cum_{count}")
 
     def hits(i: int, p: float) -> Column:
         """(index, share) if this key sits at the lower or upper rank of p."""
-        position = last * F.lit(float(p))
-        low, high = F.floor(position), F.ceil(position)
-        fraction = position - low
+        at = position(total, p)
+        low, high = F.floor(at), F.ceil(at)
+        fraction = at - low
         share = (
             F.when((start <= low) & (low < stop), 1 - fraction).otherwise(0.0)
             + F.when((start <= high) & (high < stop), fraction).otherwise(0.0)

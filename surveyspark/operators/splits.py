@@ -18,31 +18,31 @@ from surveyspark.functions.hashing import hash_key
 from surveyspark.operators.prefix import hash_rank
 
 
-def _fold_pattern(sizes: np.ndarray, counts: np.ndarray, folds: int) -> list[tuple]:
+def _fold_phases(sizes: np.ndarray, counts: np.ndarray, folds: int) -> list[tuple]:
     """Balanced assignment of a size histogram, largest size first.
 
     Each cluster goes to the fold with the fewest rows so far (lowest index on
-    ties). For one size this is a prefix of single choices until no fold lags by
-    more than that size, and from then on a fixed rotation, so a size class
-    costs a bounded number of steps however many clusters it has. Returns
-    (size, prefix choices, rotation).
+    ties). While one size is being placed, the folds that lag behind take turns
+    in a fixed order until they catch up with the next fold, which then joins
+    the turn. One size therefore needs at most ``folds`` phases, however many
+    clusters have it. Each phase is (size, first rank, order of folds).
     """
     load = np.zeros(folds, dtype=np.int64)
-    patterns = []
+    phases = []
     for size, count in zip(sizes.tolist(), counts.tolist()):
-        prefix: list[int] = []
-        while len(prefix) < count and load.max() - load.min() > size:
-            lightest = int(load.argmin())
-            prefix.append(lightest)
-            load[lightest] += size
-        remaining = count - len(prefix)
-        rotation = [int(i) for i in np.argsort(load, kind="stable")]
-        whole, extra = divmod(remaining, folds)
-        load += whole * size
-        for fold in rotation[:extra]:
-            load[fold] += size
-        patterns.append((size, prefix, rotation))
-    return patterns
+        placed = 0
+        while placed < count:
+            turn = [int(i) for i in np.argsort(load, kind="stable") if load[i] - load.min() < size]
+            ahead = [int(v) for i, v in enumerate(load) if i not in turn]
+            phases.append((size, placed, turn))
+            left = count - placed
+            rounds = -(-(min(ahead) - int(load[turn].max())) // size) if ahead else left
+            taken = min(left, rounds * len(turn))
+            whole, extra = divmod(taken, len(turn))
+            load[turn] += whole * size
+            load[turn[:extra]] += size
+            placed += taken
+    return phases
 
 
 def group_folds(df: DataFrame, cluster: str, folds: int, seed: int, name: str = "cv_fold") -> DataFrame:
@@ -62,19 +62,28 @@ def group_folds(df: DataFrame, cluster: str, folds: int, seed: int, name: str =
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("size", ascending=False)
-        rows = _fold_pattern(pdf["size"].to_numpy(), pdf["n"].to_numpy(), folds)
-        return pd.DataFrame(rows, columns=["size", "prefix", "rotation"])
+        rows = _fold_phases(pdf["size"].to_numpy(), pdf["n"].to_numpy(), folds)
+        return pd.DataFrame(rows, columns=["size", "start", "turn"])
 
-    patterns = (
+    phases = (
         histogram.select(F.col("count").alias("size"), "n")
-        .groupBy(F.lit(0))
-        .applyInPandas(assign, "size long, prefix array<int>, rotation array<int>")
+        .groupBy()
+        .applyInPandas(assign, "size long, start long, turn array<int>")
+        .groupBy("size")
+        .agg(F.sort_array(F.collect_list(F.struct("start", "turn"))).alias("_phases"))
     )
-    rank, lead = F.col("_rank"), F.size("prefix")
-    fold = F.when(rank < lead, F.try_element_at("prefix", (rank + 1).cast("int"))).otherwise(
-        F.try_element_at("rotation", ((rank - lead) % folds + 1).cast("int"))
+    reached = F.filter("_phases", lambda p: p["start"] <= F.col("_rank"))
+    table = (
+        ranked.join(phases, F.col("count") == F.col("size"))
+        .withColumn("_phase", F.element_at(reached, -1))
+        .select(
+            cluster,
+            F.element_at(
+                "_phase.turn",
+                ((F.col("_rank") - F.col("_phase.start")) % F.size("_phase.turn") + 1).cast("int"),
+            ).alias(name),
+        )
     )
-    table = ranked.join(patterns, F.col("count") == F.col("size")).select(cluster, fold.alias(name))
     return df.join(table, cluster)
 
 
