@@ -55,10 +55,11 @@ def complete_case(df: DataFrame, required: Sequence[str], what: str = "table") -
     single "at least n non-nulls" test does not.
     """
     require_columns(df, required, what)
-    return df.filter(_is_complete(required))
+    return df.filter(all_present(required))
 
 
-def _is_complete(required: Sequence[str]) -> Column:
+def all_present(required: Sequence[str]) -> Column:
+    """True where every column has a value."""
     return reduce(and_, [F.col(name).isNotNull() for name in required])
 
 
@@ -67,7 +68,7 @@ def complete_case_counts(df: DataFrame, required: Sequence[str], what: str = "ta
     require_columns(df, required, what)
     counts = df.agg(
         F.count(F.lit(1)).alias("n_before"),
-        F.count_if(_is_complete(required)).alias("n_kept"),
+        F.count_if(all_present(required)).alias("n_kept"),
     )
     return counts.withColumn("n_removed", F.col("n_before") - F.col("n_kept"))
 
@@ -86,7 +87,7 @@ def guarded_complete_case(df: DataFrame, required: Sequence[str], what: str) ->
     )
     # Filtering the whole input (not the survivors) makes the guard run even
     # when nothing survives.
-    return df.filter(verdict.scalar()).filter(_is_complete(required))
+    return df.filter(verdict.scalar()).filter(all_present(required))
 
 
 def fill_skip_pattern(df: DataFrame, columns: Sequence[str], sentinel: int) -> DataFrame:
@@ -138,7 +139,7 @@ def matrix_nulls(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def assert_no_nulls(df: DataFrame, columns: Sequence[str], what: str = "model matrix") -> DataFrame:
     """Pass rows through, failing the job on the first null in ``columns``."""
     problem = F.raise_error(F.lit(f"{what} still contains missing values")).cast("boolean")
-    return df.filter(F.when(_is_complete(columns), True).otherwise(problem))
+    return df.filter(F.when(all_present(columns), True).otherwise(problem))
 
 
 def stage_funnel(df: DataFrame, stages: Sequence[tuple[str, Column]]) -> DataFrame:
