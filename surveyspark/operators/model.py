@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -10,9 +9,10 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from surveyspark.functions.checkpoints import ensure_checkpoint_dir
 from surveyspark.operators import metrics
 from surveyspark.operators.oversample import smotenc
 from surveyspark.operators.splits import train_rows
@@ -23,21 +23,6 @@ IMBALANCE_METHODS = ("class_weight", "smote", "none")
 _WEIGHT = "_class_weight"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; make one only for a local run.
-
-    Boosting chains one stage of predictions onto the next, and the chain is cut
-    by reliable checkpoints that survive a lost executor.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None and not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a shared folder before training")
-    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="surveyspark-checkpoints-"))
-
-
 def tree_classifier(params: TreeParams, seed: int, y: str, weight: str | None = None) -> GBTClassifier:
     classifier = GBTClassifier(
         featuresCol="features",
@@ -74,6 +59,8 @@ def fit_trees(
     ``class_weight`` weights rows, ``smote`` adds synthetic minority rows, and
     ``none`` does neither. All of it sees the training rows only.
     """
+    # Boosting chains each round's predictions onto the last. The chain is cut by
+    # checkpoints, so their folder must be known before fitting.
     method = method or p.imbalance
     if method not in IMBALANCE_METHODS:
         raise ValueError(f"unknown imbalance method {method!r}, expected one of {IMBALANCE_METHODS}")

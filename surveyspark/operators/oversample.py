@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from surveyspark.functions.checkpoints import cut
 from surveyspark.functions.hashing import hash_key, uniform
 from surveyspark.operators.prefix import hash_bucket, prefix_sum
 
@@ -165,9 +166,9 @@ def _spread_copies(df: DataFrame, count: str, name: str, chunk: int = 10_000) ->
     count is first cut into chunks that different tasks expand."""
     n = F.col(count)
     chunks = F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / chunk))
-    cut = df.withColumn("_chunk", F.explode(chunks)).repartition("row_id", "_chunk")
+    pieces = df.withColumn("_chunk", F.explode(chunks)).repartition("row_id", "_chunk")
     start = F.col("_chunk") * chunk
-    return cut.withColumn(
+    return pieces.withColumn(
         name, F.explode(F.sequence(start, F.least(start + chunk, n) - 1))
     ).drop("_chunk")
 
@@ -214,9 +215,11 @@ def smotenc(
     upto = lambda stop: F.floor(F.lit(n_new) * (stop / F.col("total_copies")))
     share = upto(F.col("cum_copies")) - upto(F.col("cum_copies") - F.col("copies"))
     # The table is read several times below: write it down once, reliably.
-    table = running.select(
-        (F.col("cum__one") - 1).cast("long").alias("row_id"), *columns, "copies", share.alias("n_new")
-    ).checkpoint()
+    table = cut(
+        running.select(
+            (F.col("cum__one") - 1).cast("long").alias("row_id"), *columns, "copies", share.alias("n_new")
+        )
+    )
 
     bases = table.filter("n_new > 0")
     found = nearest_neighbours(table, bases, "row_id", columns, len(measured), penalty, k)

@@ -45,18 +45,26 @@ def _fold_phases(sizes: np.ndarray, counts: np.ndarray, folds: int) -> list[tupl
     return phases
 
 
-def group_folds(df: DataFrame, cluster: str, folds: int, seed: int, name: str = "cv_fold") -> DataFrame:
+def cluster_sizes(df: DataFrame, cluster: str) -> DataFrame:
+    """(cluster, count) for non-null clusters: what every split is decided on."""
+    return df.filter(F.col(cluster).isNotNull()).groupBy(cluster).count()
+
+
+def group_folds(
+    df: DataFrame, cluster: str, folds: int, seed: int, name: str = "cv_fold",
+    sizes: DataFrame | None = None,
+) -> DataFrame:
     """Assign whole clusters to folds, balanced by number of rows.
 
     Clusters are taken largest first (equal sizes in hash order), each to the
     currently lightest fold. That rule is sequential, but it depends only on how
     many clusters have each size. The sequence therefore runs over the size
     histogram, which has at most about sqrt(2 x rows) entries, and each
-    cluster looks its fold up from its rank within its size.
+    cluster looks its fold up from its rank within its size. ``sizes`` may give
+    the ``cluster_sizes`` table where it is already at hand.
     """
-    sizes = df.filter(F.col(cluster).isNotNull()).groupBy(cluster).count().withColumn(
-        "_hash", hash_key(cluster, seed)
-    )
+    sizes = sizes if sizes is not None else cluster_sizes(df, cluster)
+    sizes = sizes.withColumn("_hash", hash_key(cluster, seed))
     ranked = hash_rank(sizes, "_hash", parts=["count"], rank="_rank", count="_same")
     histogram = sizes.groupBy("count").agg(F.count(F.lit(1)).alias("n"))
 
@@ -88,33 +96,31 @@ def group_folds(df: DataFrame, cluster: str, folds: int, seed: int, name: str =
 
 
 def _shuffled_share(
-    df: DataFrame, cluster: str, seed: int, quota: Column, flag: str
+    df: DataFrame, cluster: str, seed: int, quota: Column, flag: str, sizes: DataFrame | None
 ) -> DataFrame:
     """Flag the first ``quota`` clusters in hash order; ``n_keys`` is their number."""
-    keys = (
-        df.select(cluster)
-        .filter(F.col(cluster).isNotNull())
-        .distinct()
-        .withColumn("_hash", hash_key(cluster, seed))
-    )
+    sizes = sizes if sizes is not None else cluster_sizes(df, cluster)
+    keys = sizes.select(cluster, hash_key(cluster, seed).alias("_hash"))
     flagged = hash_rank(keys, "_hash").select(cluster, (F.col("rank") < quota).alias(flag))
     return df.join(flagged, cluster)
 
 
 def geographic_holdout(
-    df: DataFrame, cluster: str, fraction: float, seed: int, name: str = "geo_holdout"
+    df: DataFrame, cluster: str, fraction: float, seed: int, name: str = "geo_holdout",
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Hold out max(1, round(n * fraction)) whole clusters, rounding half to even."""
     quota = F.greatest(F.lit(1), F.bround(F.col("n_keys") * F.lit(fraction), 0).cast("long"))
-    return _shuffled_share(df, cluster, seed, quota, name)
+    return _shuffled_share(df, cluster, seed, quota, name, sizes)
 
 
 def group_shuffle_split(
-    df: DataFrame, cluster: str, fraction: float, seed: int, name: str = "is_test"
+    df: DataFrame, cluster: str, fraction: float, seed: int, name: str = "is_test",
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Put ceil(n * fraction) whole clusters in the test set."""
     quota = F.ceil(F.col("n_keys") * F.lit(fraction)).cast("long")
-    return _shuffled_share(df, cluster, seed, quota, name)
+    return _shuffled_share(df, cluster, seed, quota, name, sizes)
 
 
 def train_rows(df: DataFrame, flag: str = "geo_holdout") -> DataFrame:

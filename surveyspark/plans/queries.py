@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveyspark.functions import recode
+from surveyspark.functions.checkpoints import cut
 from surveyspark.operators import (
     bootstrap,
     compare,
@@ -104,10 +105,9 @@ def matrix(spark: SparkSession, d: str) -> DataFrame:
     """The complete-case model matrix, written once: a checkpoint also ends the
     long cleaning lineage for the many jobs that training runs on it."""
     def build() -> DataFrame:
-        model.ensure_checkpoint_dir(spark)
         analytic = rounds.survey_design(featured(spark, d, MODEL), MODEL)
         coded = rounds.design_matrix(analytic, MODEL)
-        return quality.complete_case(coded, MODEL.features, "model matrix").checkpoint()
+        return cut(quality.complete_case(coded, MODEL.features, "model matrix"))
 
     return _once(spark, d, "matrix", build)
 
@@ -125,10 +125,13 @@ def canonical_rounds(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]
         analytic = rounds.featured_round(
             fx.births(spark, d), women.drop("survey_year"), p, fx.region_labels(spark, d)
         )
-        held = splits.geographic_holdout(analytic, p.fold_cluster, p.holdout_fraction, p.seed)
-        return rounds.canonical_round(held, p, CANONICAL_STRATUM_CODES)
+        sizes = cut(splits.cluster_sizes(analytic, p.fold_cluster))
+        held = splits.geographic_holdout(
+            analytic, p.fold_cluster, p.holdout_fraction, p.seed, sizes=sizes
+        )
+        return cut(rounds.canonical_round(held, p, CANONICAL_STRATUM_CODES))
 
-    return one(round_2016(tree=FEW_TREES)), one(MODEL)
+    return _once(spark, d, "rounds", lambda: (one(round_2016(tree=FEW_TREES)), one(MODEL)))
 
 
 # --- Scans, cleaning, quality ------------------------------------------------
@@ -727,9 +730,8 @@ def smotenc(spark, d):
 
 @query
 def scenario_metrics(spark, d):
-    model.ensure_checkpoint_dir(spark)
-    old, new = (side.checkpoint() for side in canonical_rounds(spark, d))
-    return rounded(compare.scenario_comparison(*[quality.complete_case(s, MODEL.features) for s in (old, new)], MODEL.features, MODEL))
+    sides = [quality.complete_case(s, MODEL.features) for s in canonical_rounds(spark, d)]
+    return rounded(compare.scenario_comparison(*sides, MODEL.features, MODEL))
 
 
 @query

@@ -1,6 +1,7 @@
 """One survey round from raw extracts to the model matrix, as chained DataFrames.
 
-Nothing here runs a job: Catalyst sees scan to matrix as one plan.
+Only the cluster-size table of the survey design runs a job of its own. The rest
+is lazy: Catalyst sees scan to matrix as one plan.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surveyspark.functions import recode
+from surveyspark.functions.checkpoints import cut
 from surveyspark.operators import joins, quality, splits
 from surveyspark.params import SurveyParams
 
@@ -72,9 +74,17 @@ def featured_round(
 
 
 def survey_design(featured: DataFrame, p: SurveyParams) -> DataFrame:
-    """Add cluster folds and the cluster hold-out (both over all rows)."""
-    folded = splits.group_folds(featured, p.fold_cluster, p.folds, p.seed)
-    return splits.geographic_holdout(folded, p.fold_cluster, p.holdout_fraction, p.seed)
+    """Add cluster folds and the cluster hold-out (both over all rows).
+
+    Both are decided on one cluster-size table, which is written down: it is tiny
+    next to the rows, and it keeps the cleaning plan out of every rank and
+    histogram built on it.
+    """
+    sizes = cut(splits.cluster_sizes(featured, p.fold_cluster))
+    folded = splits.group_folds(featured, p.fold_cluster, p.folds, p.seed, sizes=sizes)
+    return splits.geographic_holdout(
+        folded, p.fold_cluster, p.holdout_fraction, p.seed, sizes=sizes
+    )
 
 
 def design_matrix(
