@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,52 +13,54 @@ from surveyspark.functions.hashing import hash_integer, hash_key
 from surveyspark.operators.quality import complete_case
 from surveyspark.operators.stats import column_profile
 
-_PROFILE = "_profile"
 
+class Profile(dict):
+    """Training profile by column: (continuous, low, high, values).
 
-def _with_profile(df: DataFrame, profile: DataFrame) -> DataFrame:
-    """Attach the training profile as a map; it has one small entry per column."""
-    entry = F.struct("min_value", "max_value", "is_continuous", "values")
-    mapped = profile.agg(F.map_from_entries(F.collect_list(F.struct("column", entry))).alias("m"))
-    return df.withColumn(_PROFILE, mapped.scalar())
+    One entry per column, and values only for categorical columns, so it is a
+    handful of literals. As literals they become plain comparisons in the filter,
+    which Catalyst can push to the scan.
+    """
 
+    @classmethod
+    def collect(cls, table: DataFrame) -> Profile:
+        return cls(
+            (r["column"], (r["is_continuous"], r["min_value"], r["max_value"], r["values"]))
+            for r in table.collect()
+        )
 
-def _inside(feature: str) -> Column:
-    """Value within the observed range, or among the observed categories."""
-    value, seen = F.col(feature).cast("double"), F.col(_PROFILE)[feature]
-    inside = F.when(
-        seen["is_continuous"], value.between(seen["min_value"], seen["max_value"])
-    ).otherwise(F.array_contains(seen["values"], value))
-    return F.coalesce(inside, F.lit(False))
+    def inside(self, feature: str) -> Column:
+        """Value within the observed range, or among the observed categories."""
+        if feature not in self:
+            return F.lit(False)
+        continuous, low, high, values = self[feature]
+        value = F.col(feature)
+        test = value.between(low, high) if continuous else value.isin(values)
+        return F.coalesce(test, F.lit(False))
 
 
-def in_distribution(query: DataFrame, profile: DataFrame, features: Sequence[str]) -> DataFrame:
+def in_distribution(query: DataFrame, profile: Profile, features: Sequence[str]) -> DataFrame:
     """Query rows whose every feature lies inside the training profile."""
-    kept = _with_profile(query, profile)
-    for feature in features:
-        kept = kept.filter(_inside(feature))
-    return kept.drop(_PROFILE)
+    return query.filter(reduce(and_, [profile.inside(f) for f in features]))
 
 
 def out_of_distribution_counts(
-    query: DataFrame, profile: DataFrame, features: Sequence[str]
+    query: DataFrame, profile: Profile, features: Sequence[str]
 ) -> DataFrame:
     """(feature, n_rejected, n_rows) for features that reject any query row."""
-    row = _with_profile(query, profile).agg(
+    row = query.agg(
         F.count(F.lit(1)).alias("n_rows"),
-        *[F.count_if(~_inside(f)).alias(f) for f in features],
+        *[F.count_if(~profile.inside(f)).alias(f) for f in features],
     )
     return row.unpivot(["n_rows"], list(features), "feature", "n_rejected").filter("n_rejected > 0")
 
 
 def validity_rate(
-    counterfactuals: DataFrame, profile: DataFrame, features: Sequence[str]
+    counterfactuals: DataFrame, profile: Profile, features: Sequence[str]
 ) -> DataFrame:
     """Number of counterfactuals and the share inside the observed distribution."""
-    valid = F.lit(True)
-    for feature in features:
-        valid = valid & _inside(feature)
-    return _with_profile(counterfactuals, profile).agg(
+    valid = reduce(and_, [profile.inside(f) for f in features])
+    return counterfactuals.agg(
         F.count(F.lit(1)).alias("n_counterfactuals"),
         F.avg(valid.cast("double")).alias("share_in_distribution"),
         F.lit("complete_case_no_imputation").alias("missing_value_policy"),
@@ -85,57 +89,46 @@ def permitted_range(
     )
 
 
-def _choice(feature: str, overrides: Mapping[str, tuple[float, float]]) -> dict[str, Column]:
-    """What the attached profile permits for one mutable feature."""
-    seen = F.col(_PROFILE)[feature]
-    low, high = seen["min_value"], seen["max_value"]
-    if feature in overrides:
-        low, high = (F.lit(float(v)) for v in overrides[feature])
-    return {"wide": seen["is_continuous"], "low": low, "high": high, "values": seen["values"]}
-
-
 def candidates(
-    queries: DataFrame, profile: DataFrame, key: Sequence[str], mutable: Sequence[str],
+    queries: DataFrame, profile: Profile, key: Sequence[str], mutable: Sequence[str],
     overrides: Mapping[str, tuple[float, float]], n_candidates: int, seed: int,
 ) -> DataFrame:
     """``n_candidates`` seeded variations of each query row.
 
     Candidate c changes the non-empty subset of mutable features whose bits are
-    set in c, so every subset size is tried equally often. A new value is a hash draw
+    set in c, so every subset is tried equally often. A new value is a hash draw
     from the permitted range or categories. Everything is an expression on the
     exploded query row: no candidate table is shipped and no join is made.
     ``distance`` is the L1 change with each feature scaled to its range.
     """
     subsets = 2 ** len(mutable) - 1
-    choice = {f: _choice(f, overrides) for f in mutable}
     exploded = (
-        _with_profile(queries, profile)
-        .withColumn("candidate_id", F.explode(F.sequence(F.lit(0), F.lit(n_candidates - 1))))
+        queries.withColumn("candidate_id", F.explode(F.sequence(F.lit(0), F.lit(n_candidates - 1))))
         # Few query rows become many candidates: spread them before scoring.
         .repartition(*[F.col(k) for k in key], F.col("candidate_id"))
         .withColumn("_subset", F.col("candidate_id") % subsets + 1)
     )
-    new = {}
+    new, changed, distance = {}, F.lit(0), F.lit(0.0)
     for i, feature in enumerate(mutable):
+        continuous, low, high, values = profile[feature]
+        low, high = overrides.get(feature, (low, high))
         drawn = hash_integer(hash_key(F.lit(feature), "candidate_id", seed))
-        c = choice[feature]
-        steps = (c["high"] - c["low"] + 1).cast("long")
-        value = F.when(c["wide"], c["low"] + (drawn % steps).cast("double")).otherwise(
-            F.try_element_at(c["values"], (drawn % F.size(c["values"]) + 1).cast("int"))
-        )
+        if continuous:
+            value = F.lit(float(low)) + (drawn % int(high - low + 1)).cast("double")
+        else:
+            choices = F.array(*[F.lit(float(v)) for v in values])
+            value = F.element_at(choices, (drawn % len(values) + 1).cast("int"))
         chosen = F.col("_subset").bitwiseAND(F.lit(2**i)) != 0
         new[f"_new_{feature}"] = F.when(chosen, value).otherwise(F.col(feature).cast("double"))
-    varied = exploded.withColumns(new)
-    changed, distance = F.lit(0), F.lit(0.0)
-    for feature in mutable:
         moved = F.abs(F.col(f"_new_{feature}") - F.col(feature))
         changed = changed + (moved > 0).cast("int")
-        distance = distance + F.coalesce(
-            F.try_divide(moved, choice[feature]["high"] - choice[feature]["low"]), F.lit(0.0)
-        )
-    scored = varied.withColumns({"n_changed": changed, "distance": distance}).filter("n_changed > 0")
-    return scored.withColumns({f: F.col(f"_new_{f}") for f in mutable}).drop(
-        "_subset", _PROFILE, *[f"_new_{f}" for f in mutable]
+        if high > low:
+            distance = distance + moved / F.lit(float(high - low))
+    varied = exploded.withColumns(new).withColumns({"n_changed": changed, "distance": distance})
+    return (
+        varied.filter("n_changed > 0")
+        .withColumns({f: F.col(f"_new_{f}") for f in mutable})
+        .drop("_subset", *new)
     )
 
 
@@ -152,7 +145,7 @@ def counterfactual_search(
     candidates those with fewest changes come first, then smallest distance,
     then lowest candidate id. ``score`` adds a ``proba`` column.
     """
-    profile = column_profile(train, features)
+    profile = Profile.collect(column_profile(train, features))
     usable = in_distribution(complete_case(queries, features, "queries"), profile, features)
     base = score(usable).withColumn("_was", F.col("proba") >= threshold).drop("proba")
     varied = candidates(base, profile, key, mutable, dict(overrides or {}), n_candidates, seed)

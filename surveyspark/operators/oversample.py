@@ -28,6 +28,18 @@ def _distances(a: np.ndarray, b: np.ndarray, n_continuous: int, penalty: float)
     return np.sqrt(squared)
 
 
+class _OneHot:
+    """0/1 columns for the levels of each category column, so that a matrix
+    product counts the categories two rows share."""
+
+    def __init__(self, categories: np.ndarray):
+        self.levels = [np.unique(c) for c in categories.T]
+
+    def __call__(self, categories: np.ndarray) -> np.ndarray:
+        blocks = [c[:, None] == levels for c, levels in zip(categories.T, self.levels)]
+        return np.concatenate(blocks or [np.zeros((len(categories), 0))], axis=1).astype(np.float32)
+
+
 def nearest_neighbours(
     rows: DataFrame, queries: DataFrame, key: str, columns: Sequence[str], n_continuous: int,
     penalty: float, k: int, pivots: int = _PIVOTS, group_rows: int = _GROUP_ROWS,
@@ -106,29 +118,38 @@ def nearest_neighbours(
     right = spread(placed.drop("reach"), "row_blocks", "query_blocks").groupBy(*groups)
 
     def best_in_group(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({key: [], "other": [], "distance": []})
         if q.empty or r.empty:
-            return empty
+            return pd.DataFrame({key: [], "other": [], "distance": []})
         r = r.sort_values(key)
-        ids, matrix = r[key].to_numpy(), r[columns].to_numpy()
+        ids, against = r[key].to_numpy(), r[columns].to_numpy()
+        one_hot = _OneHot(against[:, n_continuous:])
+        encoded = one_hot(against[:, n_continuous:])
         out = []
-        for start in range(0, len(q), 256):
-            part = q.iloc[start : start + 256]
-            d = _distances(part[columns].to_numpy(), matrix, n_continuous, penalty)
-            d[part[key].to_numpy()[:, None] == ids[None, :]] = np.inf
-            best = np.argsort(d, axis=1, kind="stable")[:, :k]
-            found = np.take_along_axis(d, best, axis=1)
+        for start in range(0, len(q), 512):
+            part = q.iloc[start : start + 512]
+            own, x = part[key].to_numpy(), part[columns].to_numpy()
+            d = np.zeros((len(x), len(ids)))
+            for j in range(n_continuous):
+                d += (x[:, j, None] - against[None, :, j]) ** 2
+            agreeing = one_hot(x[:, n_continuous:]) @ encoded.T
+            d += penalty * (len(columns) - n_continuous - agreeing)
+            d[own[:, None] == ids[None, :]] = np.inf
+            place = min(k, d.shape[1]) - 1
+            limit = np.partition(d, place, axis=1)[:, place]
+            # Everything up to the k-th distance, ties included, then the first k
+            # of each query by (distance, key): columns are in key order.
+            query, column = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
+            found = d[query, column]
+            order = np.lexsort((column, found, query))
+            query, column, found = query[order], column[order], found[order]
+            first = np.searchsorted(query, query)
+            keep = np.arange(len(query)) - first < k
             out.append(
                 pd.DataFrame(
-                    {
-                        key: np.repeat(part[key].to_numpy(), best.shape[1]),
-                        "other": ids[best].ravel(),
-                        "distance": found.ravel(),
-                    }
+                    {key: own[query[keep]], "other": ids[column[keep]], "distance": np.sqrt(found[keep])}
                 )
             )
-        merged = pd.concat(out)
-        return merged[np.isfinite(merged["distance"])]
+        return pd.concat(out)
 
     partial = left.cogroup(right).applyInPandas(
         best_in_group, f"{key} long, other long, distance double"

@@ -529,14 +529,14 @@ def column_profile(spark, d):
 @query
 def in_distribution(spark, d):
     asked, train = _profile_sides(spark, d)
-    profile = stats.column_profile(train, PROFILED)
+    profile = counterfactual.Profile.collect(stats.column_profile(train, PROFILED))
     return counterfactual.in_distribution(asked, profile, PROFILED).select(*KEY, "bord", "b19")
 
 
 @query
 def out_of_distribution_counts(spark, d):
     asked, train = _profile_sides(spark, d)
-    profile = stats.column_profile(train, PROFILED)
+    profile = counterfactual.Profile.collect(stats.column_profile(train, PROFILED))
     return counterfactual.out_of_distribution_counts(asked, profile, PROFILED)
 
 
@@ -649,7 +649,7 @@ def imbalance_verdict(spark, d):
 # --- Model, explanation, counterfactuals, comparison -------------------------
 @query
 def gbt_cv(spark, d):
-    return rounded(model.cluster_cv(splits.train_rows(matrix(spark, d)), MODEL.features, MODEL))
+    return rounded(model.cluster_cv(splits.train_rows(matrix(spark, d)), MODEL.features, MODEL, parallelism=4))
 
 
 @query
@@ -715,7 +715,8 @@ def counterfactuals(spark, d):
 
 @query
 def cf_validity(spark, d):
-    profile = stats.column_profile(splits.train_rows(matrix(spark, d)), MODEL.features)
+    train = splits.train_rows(matrix(spark, d))
+    profile = counterfactual.Profile.collect(stats.column_profile(train, MODEL.features))
     return rounded(counterfactual.validity_rate(_counterfactuals(spark, d), profile, MODEL.features))
 
 

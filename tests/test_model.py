@@ -195,7 +195,7 @@ def test_counterfactuals_keep_their_promises(spark, matrix, fitted):
 
 
 def test_in_distribution_keeps_training_rows(matrix):
-    profile = stats.column_profile(matrix, FEATURES)
+    profile = counterfactual.Profile.collect(stats.column_profile(matrix, FEATURES))
     assert counterfactual.in_distribution(matrix, profile, FEATURES).count() == matrix.count()
     outside = matrix.limit(3).withColumn("v106", F.lit(77))
     rejected = counterfactual.out_of_distribution_counts(outside, profile, FEATURES).collect()
