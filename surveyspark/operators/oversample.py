@@ -124,15 +124,18 @@ def nearest_neighbours(
         ids, against = r[key].to_numpy(), r[columns].to_numpy()
         one_hot = _OneHot(against[:, n_continuous:])
         encoded = one_hot(against[:, n_continuous:])
+        lengths = (against[:, :n_continuous] ** 2).sum(axis=1)
         out = []
         for start in range(0, len(q), 512):
             part = q.iloc[start : start + 512]
             own, x = part[key].to_numpy(), part[columns].to_numpy()
-            d = np.zeros((len(x), len(ids)))
-            for j in range(n_continuous):
-                d += (x[:, j, None] - against[None, :, j]) ** 2
+            measured = x[:, :n_continuous]
+            d = (measured @ against[:, :n_continuous].T) * -2.0
+            d += (measured**2).sum(axis=1)[:, None]
+            d += lengths
             agreeing = one_hot(x[:, n_continuous:]) @ encoded.T
             d += penalty * (len(columns) - n_continuous - agreeing)
+            np.maximum(d, 0.0, out=d)
             d[own[:, None] == ids[None, :]] = np.inf
             place = min(k, d.shape[1]) - 1
             limit = np.partition(d, place, axis=1)[:, place]
