@@ -317,11 +317,12 @@ def statistic_vector(
 
 
 def _join_parts(left: DataFrame, right: DataFrame, parts: list[str]) -> DataFrame:
-    """Left join of per-part results; both sides are one row without parts."""
+    """Left join of per-part results. Without parts both are single rows, and the
+    right one is attached as a scalar subquery instead of a join."""
     if parts:
         return left.join(right, parts, "left")
-    both = left.withColumn("_one", F.lit(1)).join(right.withColumn("_one", F.lit(1)), "_one", "left")
-    return both.drop("_one")
+    row = right.select(F.struct(*right.columns)).scalar()
+    return left.withColumn("_row", row).select(*left.columns, "_row.*")
 
 
 def score_histogram(
