@@ -64,11 +64,6 @@ def with_labels(df: DataFrame, code: str, labels: DataFrame, key: str, label: st
     return df.join(renamed, F.col(code) == F.col("_code"), "left").drop("_code")
 
 
-def invert_groups(groups: Mapping[str, Sequence[str]]) -> dict[str, str]:
-    """{group: members} to {member: group}."""
-    return {member: group for group, members in groups.items() for member in members}
-
-
 def bin_text(bins: Bins, outside: str | None = None) -> Column:
     """Left-closed interval of the source column as text such as ``[15, 20)``.
 

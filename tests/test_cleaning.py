@@ -137,3 +137,17 @@ def test_filters_reach_the_scan(spark):
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "IsNotNull(l_partkey)" in plan
     assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint>" in plan
+
+
+def test_matrix_with_nulls_is_refused(spark):
+    df = spark.createDataFrame([(1, 2), (None, 3)], "v012 int, m14 int")
+    assert [tuple(r) for r in quality.matrix_nulls(df, ["v012", "m14"]).collect()] == [("v012", 1)]
+    with pytest.raises(Exception, match="missing values"):
+        quality.assert_no_nulls(df, ["v012", "m14"]).collect()
+    assert quality.assert_no_nulls(df.limit(1), ["v012", "m14"]).count() == 1
+
+
+def test_result_columns_take_labels(spark):
+    df = spark.createDataFrame([(1, 2)], "m14 int, other int")
+    got = recode.relabel_columns(df, {"m14": "Visits", "v012": "Age"})
+    assert got.columns == ["Visits", "other"]
