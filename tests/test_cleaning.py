@@ -2,7 +2,6 @@
 
 import pytest
 from pyspark.errors import PySparkException
-from pyspark.sql import functions as F
 
 from surveyspark.functions import recode
 from surveyspark.operators import joins, quality, stats
