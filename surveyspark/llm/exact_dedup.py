@@ -18,8 +18,13 @@ from pyspark.sql import functions as F
 
 from .common import documents, shared_path, written
 
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # Entries are small: no preallocated files, and only changes go to the shared folder.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def sha256(text: Column) -> Column:
@@ -34,8 +39,9 @@ def absorb(arrivals_path: str, schema, state_path: str, spark: SparkSession) ->
     the same folder goes on from the kept state. One row per digest: digest,
     keep_id (largest id), locator (of that id), group_size.
     """
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+    before = {name: spark.conf.get(name, None) for name in _STATE}
+    for name, value in _STATE.items():
+        spark.conf.set(name, value)
     try:
         stream = spark.readStream.schema(schema).parquet(arrivals_path)
         keyed = stream.groupBy("digest").agg(
@@ -50,10 +56,8 @@ def absorb(arrivals_path: str, schema, state_path: str, spark: SparkSession) ->
         query.awaitTermination()
         state = spark.read.format("statestore").load(state_path)
     finally:
-        if before is None:
-            spark.conf.unset(_PROVIDER)
-        else:
-            spark.conf.set(_PROVIDER, before)
+        for name, value in before.items():
+            spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
     kept = [F.col(f"value.`{f.name}`") for f in state.schema["value"].dataType.fields]
     return state.select(
         F.col("key.digest").alias("digest"), kept[0].alias("keep_id"),
