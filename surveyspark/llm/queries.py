@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import bpe, exact_dedup, url_filter
 
 QUERIES = {
+    "op2_url_filter": url_filter.op2_url_filter,
+    "op3_bpe": bpe.op3_bpe,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 
