@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, url_filter
+from . import bpe, exact_dedup, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_bpe": bpe.op3_bpe,
+    "op4_token_counts": token_counts.op4_token_counts,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 
