@@ -26,6 +26,8 @@ _STATE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
+SALTS = 32
+
 
 def sha256(text: Column) -> Column:
     """SHA-256 of the text in UTF-8, 32 bytes."""
@@ -87,11 +89,19 @@ def exact_duplicates(docs: DataFrame, digest=sha256) -> DataFrame:
         )
     state = written(absorb(path, arrivals.schema, shared_path(spark, "state"), spark), "digests")
 
-    hit = state.filter("group_size > 1").select("digest")
-    hits = plain.withColumn("digest", digest(F.col("text"))).join(hit, "digest")
+    # A hot text's copies are dealt over SALTS tasks; each sends on two texts at most.
+    salted = state.filter("group_size > 1").select("digest").withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    )
+    texts = plain.withColumns({
+        "digest": digest(F.col("text")), "salt": F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"),
+    })
+    extremes = texts.join(salted, ["digest", "salt"]).groupBy("digest", "salt").agg(
+        F.min("text").alias("low"), F.max("text").alias("high")
+    )
     # A group whose smallest and largest text are equal holds one text only.
     disputed = written(
-        hits.groupBy("digest").agg((F.min("text") != F.max("text")).alias("mixed"))
+        extremes.groupBy("digest").agg((F.min("low") != F.max("high")).alias("mixed"))
         .filter("mixed").select("digest"),
         "disputed",
     )
