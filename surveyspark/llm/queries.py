@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, html_text, token_counts, toxicity, url_filter
+from . import bpe, decontaminate, exact_dedup, html_text, near_dedup, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_bpe": bpe.op3_bpe,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_html_text": html_text.op9_html_text,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
 ORACLE = {
+    "op7_near_dedup": near_dedup.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
 }
