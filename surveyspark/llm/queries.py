@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, html_text, near_dedup, token_counts, toxicity, url_filter
+from . import bpe, decontaminate, exact_dedup, html_text, near_dedup, suffix_dedup, token_counts, toxicity, url_filter
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_bpe": bpe.op3_bpe,
     "op4_token_counts": token_counts.op4_token_counts,
