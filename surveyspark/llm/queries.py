@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, html_text, near_dedup, suffix_dedup, token_counts, toxicity, url_filter
+from . import bpe, decontaminate, exact_dedup, html_text, lm_score, near_dedup, suffix_dedup, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_bpe": bpe.op3_bpe,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_lm_score": lm_score.op6_lm_score,
     "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_html_text": html_text.op9_html_text,
