@@ -122,8 +122,16 @@ def exact_duplicates(docs: DataFrame, digest=sha256) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; repeated rows once."""
-    kept = exact_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep"]), "left_semi").dropDuplicates(["doc_id"])
+    found = exact_duplicates(docs).filter("kept").groupBy(F.col("doc_id").alias("_keep")).agg(
+        F.count(F.lit(1)).alias("_rows")
+    )
+    kept = written(found, "kept")
+    rows = docs.join(kept.drop("_rows"), docs["doc_id"].eqNullSafe(kept["_keep"]), "left_semi")
+    again = kept.filter("_rows > 1 AND _keep IS NOT NULL").drop("_rows")
+    if again.isEmpty():
+        return rows
+    once = rows.join(again, rows["doc_id"] == again["_keep"], "left_semi").dropDuplicates(["doc_id"])
+    return rows.join(again, rows["doc_id"].eqNullSafe(again["_keep"]), "left_anti").unionByName(once)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
