@@ -9,7 +9,9 @@ are a region of that tree. Candidates come region by region:
 2. each class and the smallest id of every deeper region it is in, if not linked yet;
 3. all pairs of a region whose members are still in several components. Regions of more
    than ``REGION`` classes go on at the next depth instead, so the depth adapts to how
-   crowded an order is; at the last depth all such pairs are tried.
+   crowded an order is; at the last depth all such pairs are tried. Shingles that no
+   other member has bound what a pair can share: pairs that cannot reach the limit any
+   more are not made.
 
 Every link is confirmed by intersecting the full shingle sets. Sets are compared as
 64-bit shingle hashes. Copies never meet in one task: classes are pre-aggregated, stars
@@ -127,6 +129,24 @@ def packed_sets(docs: DataFrame, words: int) -> DataFrame:
     return documents(docs).mapInArrow(run, "node long, own binary")
 
 
+def _shareable(sets: DataFrame) -> DataFrame:
+    """node, size of its set, and room: how many of its shingles some other node has too."""
+
+    def run(batches):
+        for batch in batches:
+            for node, own in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = np.frombuffer(own.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), node)), pa.array(found)], ["node", "shingle"])
+
+    rows = sets.select("node", "own").mapInArrow(run, "node long, shingle long")
+    lone = rows.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last"))
+    lone = lone.filter("node = last").groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
+    size = (F.length("own") / 8).cast("long")
+    return sets.select("node", size.alias("size")).join(lone, "node", "left").select(
+        "node", "size", (F.col("size") - F.coalesce("lone", F.lit(0))).alias("room")
+    )
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the pairs a, b those with 100 * intersection >= percent * union."""
 
@@ -236,9 +256,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         (F.min("component") != F.max("component")).alias("open")
     )
     rest = written(members.join(open_now.filter("open"), "key").select("key", "node", "component"), "open")
-    one = rest.select("key", F.col("node").alias("a"), F.col("component").alias("own"))
-    two = rest.select("key", F.col("node").alias("b"), F.col("component").alias("other"))
-    across = one.join(two, "key").filter("a < b AND own <> other").select("a", "b").distinct()
+    room = _shareable(sets.join(rest.select("node").distinct(), "node", "left_semi"))
+    rest = rest.join(room, "node").filter(f"100 * room >= {percent} * size")
+    one, two = (
+        rest.select("key", *[F.col(c).alias(c + side) for c in ("node", "component", "size", "room")])
+        for side in ("_a", "_b")
+    )
+    most = F.least("room_a", "room_b")
+    across = one.join(two, "key").filter(
+        (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b"))
+        & (100 * most >= percent * (F.col("size_a") + F.col("size_b") - most))
+    ).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     across = across.join(first.unionByName(stars), ["a", "b"], "left_anti")
     edges = edges.unionByName(written(confirmed(across, sets, percent), "links"))
     labels = written(components(edges), "labels")
