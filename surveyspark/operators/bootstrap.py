@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from surveyspark.functions.checkpoints import cut
 from surveyspark.functions.hashing import hash_key, uniform
+from surveyspark.operators import metrics
 from surveyspark.operators.metrics import score_histogram, statistic_vector
 from surveyspark.operators.prefix import hash_rank
+from surveyspark.operators.stats import union_all
 
 
 def cluster_draws(df: DataFrame, cluster: str, replicates: int, seed: int) -> DataFrame:
@@ -34,24 +39,160 @@ def cluster_draws(df: DataFrame, cluster: str, replicates: int, seed: int) -> Da
     return ranked.join(draws, F.col("rank") == F.col("pick")).select(cluster, "replicates")
 
 
+class Draws:
+    """How often each cluster was drawn in some replicates: one small-integer matrix."""
+
+    def __init__(self, clusters: pd.Index, times: np.ndarray):
+        self.clusters, self.times = clusters, times
+
+    def rows(self, clusters: pd.Series) -> np.ndarray:
+        """Row number of each cluster; the last row, all zero, if it was never drawn."""
+        found = self.clusters.get_indexer(clusters)
+        return np.where(found < 0, len(self.times) - 1, found)
+
+
+def draw_blocks(draws: DataFrame, replicates: int, most_bytes: int) -> Iterator[tuple[range, Draws]]:
+    """The draws as matrices of at most ``most_bytes``, some replicates at a time."""
+    clusters = draws.count()
+    width = max(1, min(replicates, most_bytes // (2 * (clusters + 1))))
+    name = draws.columns[0]
+    for low in range(0, replicates, width):
+        block = range(low, min(low + width, replicates))
+        some = F.filter("replicates", lambda b: (b >= block.start) & (b < block.stop))
+        found = draws.select(name, some.alias("own")).toPandas()
+        times = np.zeros((len(found) + 1, len(block)), np.uint16)
+        for k, own in enumerate(found["own"]):
+            np.add.at(times[k], np.asarray(own, np.int64) - low, 1)
+        yield block, Draws(pd.Index(found[name]), times)
+
+
+def _cell_sums(collapsed: DataFrame, cluster: str, group: str | None, block: range, shared) -> DataFrame:
+    """Sums per replicate (and group value): a sum per cluster times its draws."""
+    hit, gap = F.col("score") >= metrics.THRESHOLD, F.col("score") - F.col("y")
+    keep = lambda test: F.sum(F.when(test, F.col("n")).otherwise(0)).cast("double")
+    value = F.col(group) if group else F.lit(None).cast("string")
+    sums = ["tp", "fp", "pos", "neg", "squared"]
+    cells = collapsed.groupBy(F.col(cluster).alias("cluster"), value.alias("part")).agg(
+        keep((F.col("y") == 1) & hit).alias("tp"), keep((F.col("y") == 0) & hit).alias("fp"),
+        keep(F.col("y") == 1).alias("pos"), keep(F.col("y") == 0).alias("neg"),
+        F.sum(gap * gap * F.col("n")).alias("squared"),
+    )
+
+    def run(frames):
+        for frame in frames:
+            drawn = shared.value
+            for part, rows in frame.groupby("part", dropna=False):
+                times = drawn.times[drawn.rows(rows["cluster"])].astype(np.float64)
+                table = pd.DataFrame(times.T @ rows[sums].to_numpy(), columns=sums)
+                table.insert(0, "part", None if pd.isna(part) else part)
+                table.insert(0, "b", np.arange(block.start, block.stop))
+                yield table
+
+    kind = dict(cells.dtypes)["part"]
+    made = cells.mapInPandas(run, f"b int, part {kind}, " + ", ".join(f"{c} double" for c in sums))
+    total = made.groupBy("b", "part").agg(*[F.sum(c).alias(c) for c in sums])
+    return total.withColumnRenamed("part", group) if group else total.drop("part")
+
+
+def _rank_sums(ordered: pd.DataFrame, drawn: Draws, below: np.ndarray, whole: np.ndarray, step: int = 2048):
+    """Over rows in ascending score order, per replicate: the pairs in the right order
+    (ties half) and the sum of precisions. ``below`` and ``whole``: positives and
+    negatives under these rows and in all."""
+    score = ordered["score"].to_numpy()
+    index, counts = drawn.rows(ordered["cluster"]), ordered[["pos", "neg"]].to_numpy(np.float64)
+    pairs, precision = (np.zeros(drawn.times.shape[1]) for _ in range(2))
+    open_score, carried = None, np.zeros_like(below)
+
+    def close(sums: np.ndarray) -> None:
+        """sums: (scores, 2, replicates) of scores that are complete."""
+        nonlocal below, pairs, precision
+        under = below + np.cumsum(sums, axis=0) - sums
+        above = whole - under
+        pairs = pairs + (sums[:, 0] * (under[:, 1] + sums[:, 1] / 2)).sum(axis=0)
+        all_above = above.sum(axis=1)
+        precision = precision + (sums[:, 0] * np.divide(
+            above[:, 0], all_above, out=np.zeros_like(all_above), where=all_above > 0)).sum(axis=0)
+        below = below + sums.sum(axis=0)
+
+    for low in range(0, len(score), step):
+        part = slice(low, low + step)
+        times = drawn.times[index[part]].astype(np.float64)
+        own = score[part]
+        heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        sums = np.stack([np.add.reduceat(times * counts[part, k : k + 1], heads, axis=0) for k in (0, 1)], axis=1)
+        if open_score is not None:
+            if own[0] == open_score:
+                sums[0] += carried
+            else:
+                close(carried[None])
+        close(sums[:-1])
+        open_score, carried = own[-1], sums[-1]
+    if open_score is not None:
+        close(carried[None])
+    return pairs, precision
+
+
+def _ranking_by_replicate(collapsed: DataFrame, cluster: str, block: range, shared, bucket_rows: int) -> DataFrame:
+    """(b, roc_auc, average_precision). Rows are dealt by score once for each of two
+    passes: the first sums every bucket's classes, the second ranks inside buckets on
+    top of the sums of lower ones. A score lies in one bucket; ties are one row a cluster."""
+    counts = cut(collapsed.groupBy(F.col(cluster).alias("cluster"), "score").agg(
+        F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("pos"),
+        F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("neg"),
+    ))
+    buckets = max(8, -(-counts.count() // bucket_rows))
+    shares = [k / buckets for k in range(1, buckets)]
+    edges = sorted(set(counts.agg(F.percentile_approx("score", shares, 20 * buckets)).first()[0] or []))
+    bucket = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= F.col("score"))) if edges else F.lit(0)
+    dealt = counts.withColumn("bucket", bucket)
+    width = len(block)
+
+    def classes(rows: pd.DataFrame) -> pd.DataFrame:
+        times = shared.value.times[shared.value.rows(rows["cluster"])].astype(np.float64)
+        both = rows[["pos", "neg"]].to_numpy(np.float64).T @ times
+        return pd.DataFrame({"bucket": [rows["bucket"].iloc[0]], "sums": [both.ravel()]})
+
+    sums = np.zeros((len(edges) + 1, 2, width))
+    by_cluster = dealt.groupBy("bucket", "cluster").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    for row in by_cluster.groupBy("bucket").applyInPandas(classes, "bucket int, sums array<double>").collect():
+        sums[row[0]] = np.asarray(row[1]).reshape(2, width)
+    below, whole = np.cumsum(sums, axis=0) - sums, sums.sum(axis=0)
+
+    def ranked(rows: pd.DataFrame) -> pd.DataFrame:
+        k = int(rows["bucket"].iloc[0])
+        pairs, precision = _rank_sums(rows.sort_values("score"), shared.value, below[k], whole)
+        return pd.DataFrame({"b": np.arange(block.start, block.stop), "pairs": pairs, "precision": precision,
+                             "pos": sums[k, 0], "neg": sums[k, 1]})
+
+    made = dealt.groupBy("bucket").applyInPandas(ranked, "b int, pairs double, precision double, pos double, neg double")
+    return made.groupBy("b").agg(
+        F.try_divide(F.sum("pairs"), F.sum("pos") * F.sum("neg")).alias("roc_auc"),
+        F.coalesce(F.try_divide(F.sum("precision"), F.sum("pos")), F.lit(0.0)).alias("average_precision"),
+    )
+
+
 def bootstrap_statistics(
     df: DataFrame, cluster: str, groups: Sequence[str], replicates: int, seed: int,
-    y: str = "y", score: str = "proba",
+    y: str = "y", score: str = "proba", draw_bytes: int = 64 << 20, bucket_rows: int = 500_000,
 ) -> DataFrame:
     """The statistic vector of each replicate ``b``; single-class replicates drop out.
 
-    Rows are collapsed to (cluster, groups, y, score, n) before resampling, and
-    a replicate is a sum over collapsed rows, so rows are never copied as such.
+    No row is ever multiplied by the replicates in a shuffle. Tasks get the matrix of
+    cluster draws (clusters x replicates, in blocks of replicates of at most
+    ``draw_bytes``) and sum their rows times it. Sums that need no order come from one
+    row per cluster and group; ranks from score buckets of about ``bucket_rows`` rows.
     """
-    collapsed = score_histogram(df, groups, [cluster], y, score)
-    draws = cluster_draws(df, cluster, replicates, seed)
-    resampled = (
-        collapsed.join(draws, cluster)
-        .select(*groups, "y", "score", "n", F.explode("replicates").alias("b"))
-        .groupBy("b", *groups, "y", "score")
-        .agg(F.sum("n").alias("n"))
-    )
-    return statistic_vector(resampled, ["b"], groups)
+    collapsed = cut(score_histogram(df, groups, [cluster], y, score))
+    draws = cut(cluster_draws(df, cluster, replicates, seed))
+    vectors = []
+    for block, drawn in draw_blocks(draws, replicates, draw_bytes):
+        shared = df.sparkSession.sparkContext.broadcast(drawn)
+        vectors.append(metrics.vector_of_sums(
+            _cell_sums(collapsed, cluster, None, block, shared),
+            _ranking_by_replicate(collapsed, cluster, block, shared, bucket_rows),
+            {g: _cell_sums(collapsed, cluster, g, block, shared) for g in groups}, ["b"],
+        ))
+    return cut(union_all(vectors))
 
 
 def bootstrap_intervals(

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
+from itertools import combinations
 from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from surveyspark.functions.hashing import hash_integer, hash_key
+from surveyspark.functions.checkpoints import cut, staged
 from surveyspark.operators.quality import complete_case
 from surveyspark.operators.stats import column_profile
 
@@ -89,73 +90,85 @@ def permitted_range(
     )
 
 
-def candidates(
-    queries: DataFrame, profile: Profile, key: Sequence[str], mutable: Sequence[str],
-    overrides: Mapping[str, tuple[float, float]], n_candidates: int, seed: int,
+def permitted_values(
+    profile: Profile, feature: str, overrides: Mapping[str, tuple[float, float]], steps: Mapping[str, float]
+) -> tuple[Column, float]:
+    """All values a search may give a feature, ascending, and the width of its range.
+
+    A categorical feature has its observed categories; a continuous one every
+    ``steps[feature]`` (1 if not given) from its lower bound up to its upper one.
+    """
+    continuous, low, high, values = profile[feature]
+    low, high = map(float, overrides.get(feature, (low, high)))
+    if not continuous:
+        return F.array(*[F.lit(float(v)) for v in values]), high - low
+    step = float(steps.get(feature, 1.0))
+    count = int((high - low) / step + 1e-9)
+    return F.transform(F.sequence(F.lit(0), F.lit(count)), lambda i: F.lit(low) + i * F.lit(step)), high - low
+
+
+def variations(
+    queries: DataFrame, profile: Profile, mutable: Sequence[str], n_changed: int,
+    overrides: Mapping[str, tuple[float, float]] | None = None, steps: Mapping[str, float] | None = None,
 ) -> DataFrame:
-    """``n_candidates`` seeded variations of each query row.
+    """Every variation of each query row that changes exactly ``n_changed`` features.
 
-    Candidate c changes the non-empty subset of mutable features whose bits are
-    set in c, so every subset is tried equally often. A new value is a hash draw
-    from the permitted range or categories. Everything is an expression on the
-    exploded query row: no candidate table is shipped and no join is made.
-    ``distance`` is the L1 change with each feature scaled to its range.
+    One branch per subset of features; each changed feature takes each permitted
+    value but its own. Everything is an expression on the query row: no candidate
+    table is shipped and no join is made. ``distance`` is the L1 change with each
+    feature scaled to its range.
     """
-    subsets = 2 ** len(mutable) - 1
-    exploded = (
-        queries.withColumn("candidate_id", F.explode(F.sequence(F.lit(0), F.lit(n_candidates - 1))))
-        # Few query rows become many candidates: spread them before scoring.
-        .repartition(*[F.col(k) for k in key], F.col("candidate_id"))
-        .withColumn("_subset", F.col("candidate_id") % subsets + 1)
-    )
-    new, changed, distance = {}, F.lit(0), F.lit(0.0)
-    for i, feature in enumerate(mutable):
-        continuous, low, high, values = profile[feature]
-        low, high = overrides.get(feature, (low, high))
-        drawn = hash_integer(hash_key(F.lit(feature), "candidate_id", seed))
-        if continuous:
-            value = F.lit(float(low)) + (drawn % int(high - low + 1)).cast("double")
-        else:
-            choices = F.array(*[F.lit(float(v)) for v in values])
-            value = F.element_at(choices, (drawn % len(values) + 1).cast("int"))
-        chosen = F.col("_subset").bitwiseAND(F.lit(2**i)) != 0
-        new[f"_new_{feature}"] = F.when(chosen, value).otherwise(F.col(feature).cast("double"))
-        moved = F.abs(F.col(f"_new_{feature}") - F.col(feature))
-        changed = changed + (moved > 0).cast("int")
-        if high > low:
-            distance = distance + moved / F.lit(float(high - low))
-    varied = exploded.withColumns(new).withColumns({"n_changed": changed, "distance": distance})
-    return (
-        varied.filter("n_changed > 0")
-        .withColumns({f: F.col(f"_new_{f}") for f in mutable})
-        .drop("_subset", *new)
-    )
+    branches = []
+    for subset in combinations(mutable, n_changed):
+        rows = queries.withColumns({f"_new_{f}": F.col(f).cast("double") for f in mutable})
+        distance = F.lit(0.0)
+        for feature in subset:
+            values, width = permitted_values(profile, feature, overrides or {}, steps or {})
+            current = F.col(feature).cast("double")
+            rows = rows.withColumn(f"_new_{feature}", F.explode(F.filter(values, lambda v: v != current)))
+            if width > 0:
+                distance = distance + F.abs(F.col(f"_new_{feature}") - current) / F.lit(width)
+        branches.append(rows.withColumns({"n_changed": F.lit(n_changed), "distance": distance}))
+    varied = reduce(DataFrame.unionByName, branches)
+    return varied.withColumns({f: F.col(f"_new_{f}") for f in mutable}).drop(*[f"_new_{f}" for f in mutable])
 
 
 def counterfactual_search(
     queries: DataFrame, train: DataFrame, features: Sequence[str], key: Sequence[str],
     mutable: Sequence[str], score: Callable[[DataFrame], DataFrame], per_query: int,
-    seed: int, overrides: Mapping[str, tuple[float, float]] | None = None,
-    n_candidates: int = 4096, stratum: str = "region_stratum", threshold: float = 0.5,
+    overrides: Mapping[str, tuple[float, float]] | None = None, steps: Mapping[str, float] | None = None,
+    stratum: str = "region_stratum", threshold: float = 0.5,
 ) -> DataFrame:
-    """The closest variations that flip each query's predicted class.
+    """The closest permitted variations that flip each query's predicted class.
 
     Only mutable features change, and only within what training permits. Queries
-    with nulls or outside the training profile are left out. Of all flipping
-    candidates those with fewest changes come first, then smallest distance,
-    then lowest candidate id. ``score`` adds a ``proba`` column.
+    with nulls or outside the training profile are left out. Flipping variations
+    with fewest changes come first, then smallest distance (to nine digits), then
+    smallest values.
+    The search is complete: it goes through all variations with one change, then
+    all with two, and so on, and a query leaves once it has ``per_query`` of them.
+    ``score`` adds a ``proba`` column; ``key`` names a query row.
     """
     profile = Profile.collect(column_profile(train, features))
     usable = in_distribution(complete_case(queries, features, "queries"), profile, features)
-    base = score(usable).withColumn("_was", F.col("proba") >= threshold).drop("proba")
-    varied = candidates(base, profile, key, mutable, dict(overrides or {}), n_candidates, seed)
-    flipped = score(varied).filter((F.col("proba") >= threshold) != F.col("_was"))
-    # Identical variations drawn twice count once.
-    repeats = Window.partitionBy(*key, *mutable).orderBy("candidate_id")
-    unique = flipped.withColumn("_copy", F.row_number().over(repeats)).filter("_copy = 1")
-    nearest = Window.partitionBy(*key).orderBy("n_changed", "distance", "candidate_id")
+    waiting = cut(score(usable).withColumn("_was", F.col("proba") >= threshold).drop("proba"))
+    found: DataFrame | None = None
+    for n_changed in range(1, len(mutable) + 1):
+        varied = variations(waiting, profile, mutable, n_changed, overrides, steps)
+        # Few query rows become many variations: spread them before scoring.
+        spread = varied.repartition(*key, *mutable)
+        flipped = score(spread).filter((F.col("proba") >= threshold) != F.col("_was"))
+        nearest = Window.partitionBy(*key).orderBy(F.round("distance", 9), *mutable)
+        best = flipped.withColumn("_rank", F.row_number().over(nearest)).filter(F.col("_rank") <= per_query)
+        level = staged(best.drop("_was", "_rank"), "counterfactuals")
+        found = level if found is None else found.unionByName(level)
+        enough = found.groupBy(*key).count().filter(F.col("count") >= per_query)
+        waiting = waiting.join(enough.select(*key), list(key), "left_anti")
+        if waiting.isEmpty():
+            break
+    nearest = Window.partitionBy(*key).orderBy("n_changed", F.round("distance", 9), *mutable)
     return (
-        unique.withColumn("cf_rank", F.row_number().over(nearest))
+        found.withColumn("cf_rank", F.row_number().over(nearest))
         .filter(F.col("cf_rank") <= per_query)
         .withColumn("region_stratum_label", F.col(stratum))
         .select(*key, "cf_rank", "n_changed", "distance", *features, "proba", "region_stratum_label")

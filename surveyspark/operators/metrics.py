@@ -7,7 +7,7 @@ ties collapse on the map side, and everything after works on distinct scores.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -291,18 +291,28 @@ def statistic_vector(
     )
     sums = ["tp", "fp", "pos", "neg", "squared"]
     totals = cells.groupBy(*parts).agg(*[F.sum(c).alias(c) for c in sums])
-    tp, fp, pos, neg = (F.col(c) for c in sums[:4])
+    per_group = {
+        g: cells.groupBy(*parts, g).agg(*[F.sum(c).alias(c) for c in sums[:4]]) for g in groups
+    }
+    return vector_of_sums(totals, ranking, per_group, parts, minimum)
+
+
+def vector_of_sums(
+    totals: DataFrame, ranking: DataFrame, per_group: Mapping[str, DataFrame],
+    parts: Sequence[str], minimum: int = 5,
+) -> DataFrame:
+    """The statistic vector from sums per part (tp, fp, pos, neg, squared), ranking
+    metrics per part, and for each grouping the sums per part and group value."""
+    parts = list(parts)
+    tp, fp, pos, neg = (F.col(c) for c in ("tp", "fp", "pos", "neg"))
     vector = totals.filter((pos > 0) & (neg > 0)).select(
         *parts,
         (F.col("squared") / (pos + neg)).alias("brier_score"),
         _threshold_ratios(tp, fp, pos - tp)["f1"].alias("f1"),
     )
     vector = _join_parts(vector, ranking, parts)
-    for group in groups:
-        per_group = cells.filter(F.col(group).isNotNull()).groupBy(*parts, group).agg(
-            *[F.sum(c).alias(c) for c in sums[:4]]
-        )
-        usable = per_group.filter((pos >= minimum) & (neg >= minimum)).select(
+    for group, sums in per_group.items():
+        usable = sums.filter(F.col(group).isNotNull() & (pos >= minimum) & (neg >= minimum)).select(
             *parts, (tp / pos).alias("tpr"), (fp / neg).alias("fpr")
         )
         enough = F.count(F.lit(1)) > 1
@@ -312,7 +322,7 @@ def statistic_vector(
         )
         vector = _join_parts(vector, gaps, parts)
     columns = ["roc_auc", "average_precision", "brier_score", "f1"]
-    columns += [f"{g}_{r}_gap" for g in groups for r in ("tpr", "fpr")]
+    columns += [f"{g}_{r}_gap" for g in per_group for r in ("tpr", "fpr")]
     return vector.select(*parts, *columns)
 
 

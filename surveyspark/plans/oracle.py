@@ -228,7 +228,7 @@ def _profile_values() -> str:
 
 PROFILE = f"""
 asked AS (SELECT * FROM births WHERE {_present(PROFILED)}),
-train AS (SELECT * FROM asked WHERE bord <= 5 AND b19 BETWEEN 6 AND 70),
+train AS (SELECT asked.* FROM asked JOIN {_holdout("asked")} USING (v021) WHERE NOT held AND m14 <= 20),
 profile AS (SELECT "column", min(v) AS min_value, max(v) AS max_value, count(DISTINCT v) AS n_distinct
   FROM ({_profile_values()}) GROUP BY "column")"""
 
@@ -272,8 +272,9 @@ ranked AS (SELECT v021, row_number() OVER (ORDER BY {_hash('v021', str(SEED))})
   FROM (SELECT DISTINCT v021 FROM scored)),
 draws AS (SELECT b, CAST(floor({_uniform('b', 'idx', str(SEED))} * k) AS BIGINT) AS pick
   FROM ranked, (SELECT unnest(range({REPLICATES})) AS b)),
-resampled AS (SELECT b, v190, v025, y, proba, m FROM scored JOIN ranked USING (v021)
-  JOIN (SELECT b, pick, count(*) AS m FROM draws GROUP BY b, pick) ON idx = pick),
+resampled AS (SELECT b, v190, v025, y, proba, CAST(sum(m * n) AS BIGINT) AS m
+  FROM (SELECT v021, v190, v025, y, proba, count(*) AS n FROM scored GROUP BY ALL) JOIN ranked USING (v021)
+  JOIN (SELECT b, pick, count(*) AS m FROM draws GROUP BY b, pick) ON idx = pick GROUP BY b, v190, v025, y, proba),
 replicates AS ({_statistics('resampled', 'b')}),
 point AS ({_statistics('(SELECT *, 1 AS m, 0 AS whole FROM scored)', 'whole')})"""
 STATISTICS = (
@@ -322,9 +323,10 @@ ORACLE: dict[str, str] = {
     ),
     "category_coverage": _with(
         "SELECT v022, string_agg(CAST(bord AS VARCHAR), ',' ORDER BY bord) AS query_values, "
-        "(SELECT string_agg(CAST(bord AS VARCHAR), ',' ORDER BY bord) FROM (SELECT DISTINCT bord FROM births WHERE bord <= 5)) AS train_values, "
-        "CAST(count(*) FILTER (bord NOT IN (SELECT bord FROM births WHERE bord <= 5)) AS INT) AS n_unseen "
-        "FROM (SELECT DISTINCT v022, bord FROM births) GROUP BY v022"
+        "(SELECT string_agg(CAST(bord AS VARCHAR), ',' ORDER BY bord) FROM (SELECT DISTINCT bord FROM pool)) AS train_values, "
+        "CAST(count(*) FILTER (bord NOT IN (SELECT bord FROM pool)) AS INT) AS n_unseen "
+        "FROM (SELECT DISTINCT v022, bord FROM births) GROUP BY v022",
+        f"pool AS (SELECT births.* FROM births JOIN {_holdout('births')} USING (v021) WHERE NOT held)",
     ),
     "recency_filter": _with("SELECT caseid, bidx, b19 FROM births WHERE b19 <= 59"),
     "outcome": _with(f"SELECT caseid, bidx, {SBA} AS sba FROM births"),
@@ -466,6 +468,17 @@ ORACLE: dict[str, str] = {
         "UNION ALL SELECT 'v467b', NULL, NULL, string_agg(printf('%.1f', CAST(v467b AS DOUBLE)), ',' ORDER BY v467b) FROM (SELECT DISTINCT v467b FROM train)",
         PROFILE,
     ),
+    "counterfactual_grid": _with(
+        "SELECT caseid, bidx, n_changed, count(*) AS n_variations, count(*) AS n_distinct, round(sum(moved), 6) AS total_distance FROM ("
+        "SELECT caseid, bidx, CAST(a <> m14 AS INT) + CAST(b <> v467b AS INT) + CAST(c <> m10 AS INT) AS n_changed, "
+        "abs(a - m14) / 20.0 + coalesce(abs(b - v467b) / nullif(CAST(wb AS DOUBLE), 0), 0) + coalesce(abs(c - m10) / nullif(CAST(wc AS DOUBLE), 0), 0) AS moved "
+        "FROM (SELECT *, unnest(list_distinct(list_append(range(21), m14))) AS a FROM sample), "
+        "(SELECT DISTINCT v467b AS b FROM train), (SELECT DISTINCT m10 AS c FROM train), "
+        "(SELECT max(v467b) - min(v467b) AS wb, max(m10) - min(m10) AS wc FROM train)) WHERE n_changed > 0 GROUP BY ALL",
+        PROFILE + f""",
+sample AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY v022 ORDER BY {_hash('caseid', 'bidx', str(SEED))}, caseid, bidx) AS i
+  FROM asked WHERE {SBA} = 0) WHERE i <= 3)""",
+    ),
     "roc_auc": _with(f"SELECT round(roc_auc, 6) AS roc_auc FROM ({_ranking('(SELECT *, 1 AS m, 0 AS whole FROM scored)', 'whole')})"),
     "average_precision": _with(f"SELECT round(average_precision, 6) AS average_precision FROM ({_ranking('(SELECT *, 1 AS m, 0 AS whole FROM scored)', 'whole')})"),
     "brier": _with("SELECT round(avg((proba - y) * (proba - y)), 6) AS brier_score FROM scored"),

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveyspark.functions import recode
-from surveyspark.functions.checkpoints import cut
+from surveyspark.functions.checkpoints import cut, stage_path
 from surveyspark.operators import (
     bootstrap,
     compare,
@@ -43,7 +42,7 @@ P = round_2024(flagged_regions=fx.FLAGGED_NATIONS, small_sample=1000)
 # The published 500 boosting rounds are a parameter; queries use fewer.
 FEW_TREES = TreeParams(trees=5, rate=0.3)
 MODEL = round_2024(tree=FEW_TREES)
-REPLICATES = 20
+REPLICATES = 1000
 KEY = ["caseid", "bidx"]
 VISIT_RANGE = {"m14": (0.0, 20.0)}
 
@@ -225,7 +224,8 @@ def label_collisions(spark, d):
 @query
 def category_coverage(spark, d):
     b = fx.births(spark, d)
-    return quality.category_coverage(b, b.filter("bord <= 5"), "bord", "v022")
+    held = splits.geographic_holdout(b, "v021", P.holdout_fraction, P.seed)
+    return quality.category_coverage(b, splits.train_rows(held), "bord", "v022")
 
 
 # --- Derivations -------------------------------------------------------------
@@ -511,8 +511,10 @@ PROFILED = ("m14", "bord", "b19", "v467b", "m10", "v024")
 
 
 def _profile_sides(spark, d):
+    """All complete rows, and the plausible ones of clusters outside the hold-out."""
     b = quality.complete_case(fx.births(spark, d), PROFILED)
-    return b, b.filter("bord <= 5 AND b19 BETWEEN 6 AND 70")
+    held = splits.geographic_holdout(b, "v021", P.holdout_fraction, P.seed)
+    return b, quality.plausible(splits.train_rows(held), P.visits, P.visits_max)
 
 
 def _profile_text(profile: DataFrame) -> DataFrame:
@@ -547,6 +549,25 @@ def permitted_range(spark, d):
     return counterfactual.permitted_range(profile, ("m14", "b19", "v467b"), VISIT_RANGE)
 
 
+GRID = ("m14", "v467b", "m10")
+
+
+@query
+def counterfactual_grid(spark, d):
+    """How many variations of each kind the search goes through per query row."""
+    births, train = _profile_sides(spark, d)
+    derived = recode.with_outcome(births, P.attendants, P.attendant_target, "sba")
+    asked = splits.stratum_sample(derived, "v022", "sba", KEY, 3, P.seed).select(*KEY, *GRID)
+    profile = counterfactual.Profile.collect(stats.column_profile(train, GRID))
+    varied = stats.union_all(
+        [counterfactual.variations(asked, profile, GRID, n, VISIT_RANGE) for n in (1, 2, 3)]
+    )
+    return varied.groupBy(*KEY, "n_changed").agg(
+        F.count(F.lit(1)).alias("n_variations"), F.countDistinct(*GRID).alias("n_distinct"),
+        F.round(F.sum("distance"), 6).alias("total_distance"),
+    )
+
+
 # --- Metrics -----------------------------------------------------------------
 @query
 def roc_auc(spark, d):
@@ -704,7 +725,7 @@ def _counterfactuals(spark, d) -> DataFrame:
     asked = splits.stratum_sample(train, "region_stratum", "sba", KEY, 3, MODEL.seed)
     return counterfactual.counterfactual_search(
         asked, train, MODEL.features, KEY, MODEL.mutable,
-        lambda df: model.score(fit, df).drop("pred"), MODEL.counterfactuals, MODEL.seed, VISIT_RANGE,
+        lambda df: model.score(fit, df).drop("pred"), MODEL.counterfactuals, VISIT_RANGE,
     )
 
 
@@ -744,8 +765,7 @@ def imbalance_compare(spark, d):
 @query
 def checkpoint_roundtrip(spark, d):
     """Stage table, CSV and JSON written and read back."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="surveyspark-")
-    root = f"{base}/roundtrip-{spark.sparkContext.applicationId}"
+    root = stage_path(spark, "roundtrip")
     extracts.write_stage(merged(spark, d).select(*KEY, "v024", "m14"), f"{root}/merged")
     stage = extracts.read_stage(spark, f"{root}/merged")
     counts = stage.groupBy("v024").agg(F.count(F.lit(1)).alias("n"))

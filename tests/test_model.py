@@ -194,6 +194,44 @@ def test_counterfactuals_keep_their_promises(spark, matrix, fitted):
         assert 0 <= row["m14"] <= 20
 
 
+def test_counterfactual_search_is_complete(spark):
+    """Against every point of the permitted grid, with a real-valued step."""
+    from itertools import product
+
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(6)
+    rows = [
+        (k, float(rng.integers(0, 14)), float(rng.choice([1.0, 2.0, 5.0])), float(rng.integers(0, 13)) / 4, int(k % 2))
+        for k in range(300)
+    ]
+    names = ["k", "a", "kind", "real", "region_stratum"]
+    train = spark.createDataFrame(rows, "k long, a double, kind double, real double, region_stratum int")
+    value = lambda a, kind, real: 0.1 * a + 0.07 * kind * (real > 1.4) - 0.05 * real + 0.3
+    score = lambda df: df.withColumn("proba", F.expr("0.1 * a + 0.07 * kind * CAST(real > 1.4 AS DOUBLE) - 0.05 * real + 0.3"))
+    got = counterfactual.counterfactual_search(
+        train.limit(40), train, names[1:], ["k"], ["a", "kind", "real"], score, 4,
+        {"a": (0.0, 7.0)}, {"real": 0.25},
+    ).toPandas()
+    low, high = (f([r[3] for r in rows]) for f in (min, max))
+    reals = np.arange(low, high + 1e-9, 0.25) if len({r[3] for r in rows}) > 10 else sorted({r[3] for r in rows})
+    grid = list(product(range(8), sorted({r[2] for r in rows}), reals))
+    width = (7.0, max(r[2] for r in rows) - min(r[2] for r in rows), high - low)
+    asked = {r["k"]: r for r in train.limit(40).collect()}
+    for k, row in asked.items():
+        own = (row["a"], row["kind"], row["real"])
+        was = value(*own) >= 0.5
+        flips = []
+        for point in grid:
+            changed = sum(x != y for x, y in zip(point, own))
+            if changed and (value(*point) >= 0.5) != was:
+                moved = sum(abs(x - y) / w for x, y, w in zip(point, own, width))
+                flips.append((changed, round(moved, 9), *map(float, point)))
+        found = got[got["k"] == k].sort_values("cf_rank")
+        have = [(r.n_changed, round(r.distance, 9), r.a, r.kind, r.real) for r in found.itertuples()]
+        assert have == sorted(flips)[:4]
+
+
 def test_in_distribution_keeps_training_rows(matrix):
     profile = counterfactual.Profile.collect(stats.column_profile(matrix, FEATURES))
     assert counterfactual.in_distribution(matrix, profile, FEATURES).count() == matrix.count()

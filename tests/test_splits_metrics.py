@@ -159,3 +159,24 @@ def test_bootstrap_draws_every_slot(spark):
     ci = bootstrap.bootstrap_intervals(df, "v021", ["g"], 12, 42).toPandas().set_index("metric")
     assert (ci["lower"] <= ci["upper"]).all()
     assert ci.loc["roc_auc", "lower"] - 0.05 <= ci.loc["roc_auc", "estimate"] <= ci.loc["roc_auc", "upper"] + 0.05
+
+
+@pytest.mark.parametrize("distinct", [True, False])
+@pytest.mark.parametrize("limits", [{}, {"bucket_rows": 20, "draw_bytes": 700}])
+def test_bootstrap_equals_copied_rows(spark, distinct, limits):
+    """Every replicate equals the metrics of rows copied as often as their cluster was drawn;
+    all scores distinct, and ties across many clusters and buckets."""
+    rng = np.random.default_rng(11)
+    n = 400
+    proba = rng.random(n) if distinct else rng.integers(0, 6, n) / 5
+    pdf = pd.DataFrame({
+        "v021": rng.integers(0, 25, n), "g": rng.choice(["a", "b", None], n), "proba": proba,
+        "y": (rng.random(n) < 0.2 + 0.6 * proba).astype(int),
+    })
+    df = spark.createDataFrame(pdf)
+    got = bootstrap.bootstrap_statistics(df, "v021", ["g"], 9, 42, **limits).toPandas().sort_values("b")
+    draws = bootstrap.cluster_draws(df, "v021", 9, 42)
+    copied = df.join(draws, "v021").select("g", "y", "proba", F.explode("replicates").alias("b"))
+    histogram = metrics.score_histogram(copied, ["b", "g"])
+    want = metrics.statistic_vector(histogram, ["b"], ["g"]).toPandas().sort_values("b")
+    pd.testing.assert_frame_equal(got.reset_index(drop=True), want.reset_index(drop=True), check_dtype=False, rtol=1e-9)
