@@ -12,9 +12,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surveyspark.functions.checkpoints import ensure_checkpoint_dir
+from surveyspark.functions.checkpoints import cut, ensure_checkpoint_dir
 from surveyspark.operators import metrics
 from surveyspark.operators.oversample import smotenc
+from surveyspark.operators.quality import assert_no_nulls
 from surveyspark.operators.splits import train_rows
 from surveyspark.operators.stats import union_all
 from surveyspark.params import SurveyParams, TreeParams
@@ -33,6 +34,7 @@ def tree_classifier(params: TreeParams, seed: int, y: str, weight: str | None =
         subsamplingRate=params.row_fraction,
         featureSubsetStrategy=str(params.column_fraction),
         minInstancesPerNode=params.min_leaf,
+        maxBins=params.bins,
         checkpointInterval=10,
         cacheNodeIds=True,
         maxMemoryInMB=512,
@@ -66,10 +68,12 @@ def fit_trees(
         raise ValueError(f"unknown imbalance method {method!r}, expected one of {IMBALANCE_METHODS}")
     ensure_checkpoint_dir(train.sparkSession)
     y = p.outcome
-    rows = train.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(y).cast("double").alias(y))
+    complete = assert_no_nulls(train, [*features, y], "training rows")
+    rows = complete.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(y).cast("double").alias(y))
     weight = None
     if method == "smote":
-        rows = smotenc(rows, features, y, p.smote_continuous, p.smote_neighbours, p.seed)
+        # Boosting reads its input several times: the neighbour search runs once.
+        rows = cut(smotenc(rows, features, y, p.smote_continuous, p.smote_neighbours, p.seed))
     elif method == "class_weight":
         rows, weight = with_class_weight(rows, y), _WEIGHT
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from surveyspark.functions.hashing import hash_key
 from surveyspark.operators.prefix import hash_rank
+from surveyspark.operators.quality import null_counts
 
 
 def _fold_phases(sizes: np.ndarray, counts: np.ndarray, folds: int) -> list[tuple]:
@@ -50,20 +51,32 @@ def cluster_sizes(df: DataFrame, cluster: str) -> DataFrame:
     return df.filter(F.col(cluster).isNotNull()).groupBy(cluster).count()
 
 
+def null_cluster_rows(df: DataFrame, clusters: Sequence[str]) -> DataFrame:
+    """(column, n_null): rows without a cluster, which no split can place."""
+    return null_counts(df, clusters)
+
+
 def group_folds(
     df: DataFrame, cluster: str, folds: int, seed: int, name: str = "cv_fold",
     sizes: DataFrame | None = None,
 ) -> DataFrame:
-    """Assign whole clusters to folds, balanced by number of rows.
+    """Assign whole clusters to folds; rows without a cluster get a null fold.
+
+    ``sizes`` may give the ``cluster_sizes`` table where it is already at hand.
+    """
+    sizes = sizes if sizes is not None else cluster_sizes(df, cluster)
+    return df.join(fold_table(sizes, cluster, folds, seed, name), cluster, "left")
+
+
+def fold_table(sizes: DataFrame, cluster: str, folds: int, seed: int, name: str = "cv_fold") -> DataFrame:
+    """(cluster, fold), balanced by number of rows.
 
     Clusters are taken largest first (equal sizes in hash order), each to the
     currently lightest fold. That rule is sequential, but it depends only on how
     many clusters have each size. The sequence therefore runs over the size
     histogram, which has at most about sqrt(2 x rows) entries, and each
-    cluster looks its fold up from its rank within its size. ``sizes`` may give
-    the ``cluster_sizes`` table where it is already at hand.
+    cluster looks its fold up from its rank within its size.
     """
-    sizes = sizes if sizes is not None else cluster_sizes(df, cluster)
     sizes = sizes.withColumn("_hash", hash_key(cluster, seed))
     ranked = hash_rank(sizes, "_hash", parts=["count"], rank="_rank", count="_same")
     histogram = sizes.groupBy("count").agg(F.count(F.lit(1)).alias("n"))
@@ -81,7 +94,7 @@ def group_folds(
         .agg(F.sort_array(F.collect_list(F.struct("start", "turn"))).alias("_phases"))
     )
     reached = F.filter("_phases", lambda p: p["start"] <= F.col("_rank"))
-    table = (
+    return (
         ranked.join(phases, F.col("count") == F.col("size"))
         .withColumn("_phase", F.element_at(reached, -1))
         .select(
@@ -92,35 +105,39 @@ def group_folds(
             ).alias(name),
         )
     )
-    return df.join(table, cluster)
 
 
-def _shuffled_share(
-    df: DataFrame, cluster: str, seed: int, quota: Column, flag: str, sizes: DataFrame | None
-) -> DataFrame:
-    """Flag the first ``quota`` clusters in hash order; ``n_keys`` is their number."""
-    sizes = sizes if sizes is not None else cluster_sizes(df, cluster)
+def _share_table(sizes: DataFrame, cluster: str, seed: int, quota: Column, flag: str) -> DataFrame:
+    """(cluster, flag): the first ``quota`` clusters in hash order; ``n_keys`` is their number."""
     keys = sizes.select(cluster, hash_key(cluster, seed).alias("_hash"))
-    flagged = hash_rank(keys, "_hash").select(cluster, (F.col("rank") < quota).alias(flag))
-    return df.join(flagged, cluster)
+    return hash_rank(keys, "_hash").select(cluster, (F.col("rank") < quota).alias(flag))
+
+
+def holdout_table(
+    sizes: DataFrame, cluster: str, fraction: float, seed: int, name: str = "geo_holdout"
+) -> DataFrame:
+    """(cluster, flag): max(1, round(n * fraction)) whole clusters, rounding half to even."""
+    quota = F.greatest(F.lit(1), F.bround(F.col("n_keys") * F.lit(fraction), 0).cast("long"))
+    return _share_table(sizes, cluster, seed, quota, name)
 
 
 def geographic_holdout(
     df: DataFrame, cluster: str, fraction: float, seed: int, name: str = "geo_holdout",
     sizes: DataFrame | None = None,
 ) -> DataFrame:
-    """Hold out max(1, round(n * fraction)) whole clusters, rounding half to even."""
-    quota = F.greatest(F.lit(1), F.bround(F.col("n_keys") * F.lit(fraction), 0).cast("long"))
-    return _shuffled_share(df, cluster, seed, quota, name, sizes)
+    """Hold out whole clusters; rows without a cluster get a null flag."""
+    sizes = sizes if sizes is not None else cluster_sizes(df, cluster)
+    return df.join(holdout_table(sizes, cluster, fraction, seed, name), cluster, "left")
 
 
 def group_shuffle_split(
     df: DataFrame, cluster: str, fraction: float, seed: int, name: str = "is_test",
     sizes: DataFrame | None = None,
 ) -> DataFrame:
-    """Put ceil(n * fraction) whole clusters in the test set."""
+    """Put ceil(n * fraction) whole clusters in the test set; without a cluster, null."""
     quota = F.ceil(F.col("n_keys") * F.lit(fraction)).cast("long")
-    return _shuffled_share(df, cluster, seed, quota, name, sizes)
+    sizes = sizes if sizes is not None else cluster_sizes(df, cluster)
+    return df.join(_share_table(sizes, cluster, seed, quota, name), cluster, "left")
 
 
 def train_rows(df: DataFrame, flag: str = "geo_holdout") -> DataFrame:

@@ -123,6 +123,7 @@ class TreeParams:
     row_fraction: float = 0.8
     column_fraction: float = 0.8
     min_leaf: int = 5
+    bins: int = 256  # split points tried per feature; survey features have fewer values
 
 
 @dataclass(frozen=True)

@@ -277,6 +277,15 @@ resampled AS (SELECT b, v190, v025, y, proba, CAST(sum(m * n) AS BIGINT) AS m
   JOIN (SELECT b, pick, count(*) AS m FROM draws GROUP BY b, pick) ON idx = pick GROUP BY b, v190, v025, y, proba),
 replicates AS ({_statistics('resampled', 'b')}),
 point AS ({_statistics('(SELECT *, 1 AS m, 0 AS whole FROM scored)', 'whole')})"""
+MATRIX = _folds("featured") + f""",
+coded AS (SELECT caseid, bidx, cv_fold, held, sba, {', '.join(f'CAST({f} AS DOUBLE) AS {f}' for f in FEATURES_NO_STRATUM)},
+    CAST(code AS DOUBLE) AS region_stratum FROM (SELECT * EXCLUDE (region_stratum), region_stratum AS label FROM featured)
+  LEFT JOIN (SELECT label, row_number() OVER (ORDER BY label) - 1 AS code FROM (
+    SELECT DISTINCT region_stratum AS label FROM featured WHERE region_stratum IS NOT NULL)) USING (label)
+  JOIN folds USING (v021) JOIN {_holdout('featured')} USING (v021)),
+matrix AS (SELECT * FROM coded WHERE {_present(P.features)}),
+pool AS (SELECT * FROM matrix WHERE NOT held)"""
+NOMINAL = [f for f in P.features if f not in P.smote_continuous]
 STATISTICS = (
     "roc_auc", "average_precision", "brier_score", "f1",
     "v190_tpr_gap", "v190_fpr_gap", "v025_tpr_gap", "v025_fpr_gap",
@@ -468,6 +477,29 @@ ORACLE: dict[str, str] = {
         "UNION ALL SELECT 'v467b', NULL, NULL, string_agg(printf('%.1f', CAST(v467b AS DOUBLE)), ',' ORDER BY v467b) FROM (SELECT DISTINCT v467b FROM train)",
         PROFILE,
     ),
+    "training_rejects": _with(
+        f"SELECT count(*) AS n_before, count(*) FILTER ({_present(P.features)}) AS n_kept, "
+        f"count(*) - count(*) FILTER ({_present(P.features)}) AS n_removed FROM coded", MATRIX,
+    ),
+    "null_cluster_rows": _with(_null_union("births", ["v021", "v467c"], "count(*) FILTER ({c} IS NULL) AS n_null")),
+    "cv_fold_sizes": _with("SELECT cv_fold, count(*) AS n_test, true AS better_than_chance FROM pool GROUP BY cv_fold", MATRIX),
+    "holdout_keys": _with("SELECT caseid, bidx, sba FROM matrix WHERE held", MATRIX),
+    "shap_additivity": _with("SELECT count(*) AS n_rows, count(*) AS n_additive FROM pool", MATRIX),
+    "dependence_sizes": _with(
+        " UNION ALL ".join(
+            f"SELECT region_stratum, '{v}' AS feature, count(*) AS n, count(DISTINCT {v}) AS n_points, min({v}) AS first_point, max({v}) AS last_point "
+            "FROM pool GROUP BY region_stratum"
+            for v in P.dependence_vars
+        ),
+        MATRIX,
+    ),
+    "smotenc_counts": _with(
+        "SELECT sba, (SELECT max(n) FROM (SELECT count(*) AS n FROM pool GROUP BY sba)) AS n, n_categories FROM ("
+        "SELECT sba, count(*) AS n_categories FROM ("
+        + " UNION ".join(f"SELECT sba, '{f}' AS feature, {f} AS value FROM pool" for f in NOMINAL)
+        + ") GROUP BY sba)",
+        MATRIX,
+    ),
     "counterfactual_grid": _with(
         "SELECT caseid, bidx, n_changed, count(*) AS n_variations, count(*) AS n_distinct, round(sum(moved), 6) AS total_distance FROM ("
         "SELECT caseid, bidx, CAST(a <> m14 AS INT) + CAST(b <> v467b AS INT) + CAST(c <> m10 AS INT) AS n_changed, "

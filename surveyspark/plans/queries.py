@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import add
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,8 +106,8 @@ def matrix(spark: SparkSession, d: str) -> DataFrame:
     """The complete-case model matrix, written once: a checkpoint also ends the
     long cleaning lineage for the many jobs that training runs on it."""
     def build() -> DataFrame:
-        analytic = rounds.survey_design(featured(spark, d, MODEL), MODEL)
-        coded = rounds.design_matrix(analytic, MODEL)
+        coded = rounds.round_matrix(featured(spark, d, MODEL), MODEL)
+        # What this leaves out is counted by ``training_rejects``.
         return cut(quality.complete_case(coded, MODEL.features, "model matrix"))
 
     return _once(spark, d, "matrix", build)
@@ -316,8 +318,7 @@ def weights(spark, d):
 
 @query
 def model_matrix(spark, d):
-    analytic = rounds.survey_design(featured(spark, d), P)
-    coded = recode.numeric_matrix(rounds.design_matrix(analytic, P), P.features)
+    coded = recode.numeric_matrix(rounds.round_matrix(featured(spark, d), P), P.features)
     return rounded(coded)
 
 
@@ -668,9 +669,42 @@ def imbalance_verdict(spark, d):
 
 
 # --- Model, explanation, counterfactuals, comparison -------------------------
+@query
+def training_rejects(spark, d):
+    """Rows that training leaves out because a feature is null."""
+    coded = rounds.round_matrix(featured(spark, d, MODEL), MODEL)
+    return quality.complete_case_counts(coded, MODEL.features, "model matrix")
+
+
+@query
+def null_cluster_rows(spark, d):
+    """Rows that no split could place, for two possible cluster columns."""
+    return splits.null_cluster_rows(fx.births(spark, d), ["v021", "v467c"])
+
+
+def _cv(spark, d) -> DataFrame:
+    pool = splits.train_rows(matrix(spark, d))
+    return _once(
+        spark, d, "cv", lambda: cut(model.cluster_cv(pool, MODEL.features, MODEL, parallelism=4))
+    )
+
+
 @query
 def gbt_cv(spark, d):
-    return rounded(model.cluster_cv(splits.train_rows(matrix(spark, d)), MODEL.features, MODEL, parallelism=4))
+    return rounded(_cv(spark, d))
+
+
+@query
+def cv_fold_sizes(spark, d):
+    """The rows each fold's model was tested on, and whether its AUC is above chance."""
+    return _cv(spark, d).select("cv_fold", "n_test", (F.col("roc_auc") > 0.5).alias("better_than_chance"))
+
+
+@query
+def holdout_keys(spark, d):
+    """The rows the final model was scored on, with their outcome."""
+    scored = model.score(fitted(spark, d), splits.holdout_rows(matrix(spark, d)))
+    return scored.filter(F.col("proba").between(0, 1)).select(*KEY, "sba")
 
 
 @query
@@ -695,6 +729,18 @@ def shap_values(spark, d):
     return rounded(explain.shap_values(fitted(spark, d), splits.train_rows(matrix(spark, d)), KEY))
 
 
+@query
+def shap_additivity(spark, d):
+    """Rows whose attributions and base value sum up to the log-odds."""
+    scored = model.score(fitted(spark, d), splits.train_rows(matrix(spark, d)))
+    wide = explain.shap_values(fitted(spark, d), scored, ["proba"])
+    total = reduce(add, [F.col(f"phi_{f}") for f in MODEL.features], F.col("base_value"))
+    odds = F.log(F.col("proba") / (1 - F.col("proba")))
+    return wide.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.abs(total - odds) < 1e-6).alias("n_additive")
+    )
+
+
 @query
 def shap_importance(spark, d):
     wide = explain.shap_values(fitted(spark, d), splits.train_rows(matrix(spark, d)), ["weight"])
@@ -720,6 +766,19 @@ def partial_dependence(spark, d):
     )
 
 
+@query
+def dependence_sizes(spark, d):
+    """Rows behind each dependence curve and the points it is drawn at."""
+    train = splits.train_rows(matrix(spark, d))
+    curves = stats.union_all(
+        [explain.partial_dependence(fitted(spark, d), train, v) for v in MODEL.dependence_vars]
+    )
+    return curves.groupBy("region_stratum", "feature").agg(
+        F.max("n").alias("n"), F.count("grid_value").alias("n_points"),
+        F.min("grid_value").alias("first_point"), F.max("grid_value").alias("last_point"),
+    )
+
+
 def _counterfactuals(spark, d) -> DataFrame:
     train, fit = splits.train_rows(matrix(spark, d)), fitted(spark, d)
     asked = splits.stratum_sample(train, "region_stratum", "sba", KEY, 3, MODEL.seed)
@@ -750,6 +809,16 @@ def smotenc(spark, d):
     )
 
 
+@query
+def smotenc_counts(spark, d):
+    """Rows per class after oversampling, and the categories of its nominal features."""
+    made = smotenc(spark, d)
+    nominal = [f for f in MODEL.features if f not in MODEL.smote_continuous]
+    long = made.unpivot(["sba"], nominal, "feature", "value").distinct()
+    kinds = long.groupBy("sba").agg(F.count(F.lit(1)).alias("n_categories"))
+    return made.groupBy("sba").agg(F.count(F.lit(1)).alias("n")).join(kinds, "sba")
+
+
 @query
 def scenario_metrics(spark, d):
     sides = [quality.complete_case(s, MODEL.features) for s in canonical_rounds(spark, d)]

@@ -1,7 +1,7 @@
 """One survey round from raw extracts to the model matrix, as chained DataFrames.
 
-Only the cluster-size table of the survey design runs a job of its own. The rest
-is lazy: Catalyst sees scan to matrix as one plan.
+Only the cluster cells and the cluster table of the survey design run jobs of their
+own. The rest is lazy: Catalyst sees scan to matrix as one plan.
 """
 
 from __future__ import annotations
@@ -19,12 +19,12 @@ from surveyspark.params import SurveyParams
 
 def clean_births(births: DataFrame, p: SurveyParams) -> DataFrame:
     kept = quality.plausible(births, p.visits, p.visits_max)
-    return quality.complete_case(kept, p.birth_required, "births")
+    return quality.guarded_complete_case(kept, p.birth_required, "births")
 
 
 def clean_women(women: DataFrame, p: SurveyParams) -> DataFrame:
     filled = quality.fill_skip_pattern(women, p.skip_pattern, p.skip_sentinel)
-    return quality.complete_case(filled, p.women_required, "women")
+    return quality.guarded_complete_case(filled, p.women_required, "women")
 
 
 def merged_round(births: DataFrame, women: DataFrame, p: SurveyParams) -> DataFrame:
@@ -73,30 +73,48 @@ def featured_round(
     return tagged.withColumn("weight", recode.scaled_weight(p.weight_var, p.weight_divisor))
 
 
-def survey_design(featured: DataFrame, p: SurveyParams) -> DataFrame:
+def cluster_cells(featured: DataFrame, p: SurveyParams) -> DataFrame:
+    """(cluster, region_stratum, count), written down: the one pass over the rows that
+    cluster sizes and stratum labels are both read from."""
+    return cut(featured.groupBy(p.fold_cluster, "region_stratum").count())
+
+
+def survey_design(featured: DataFrame, p: SurveyParams, cells: DataFrame | None = None) -> DataFrame:
     """Add cluster folds and the cluster hold-out (both over all rows).
 
-    Both are decided on one cluster-size table, which is written down: it is tiny
-    next to the rows, and it keeps the cleaning plan out of every rank and
-    histogram built on it.
+    Both are decided on one cluster-size table, which is tiny next to the rows, and
+    joined to each other first: the rows are joined once, so that adaptive execution
+    can split a hot cluster. Rows without a cluster fail the job.
     """
-    sizes = cut(splits.cluster_sizes(featured, p.fold_cluster))
-    folded = splits.group_folds(featured, p.fold_cluster, p.folds, p.seed, sizes=sizes)
-    return splits.geographic_holdout(
-        folded, p.fold_cluster, p.holdout_fraction, p.seed, sizes=sizes
+    cells = cells if cells is not None else cluster_cells(featured, p)
+    cluster = p.fold_cluster
+    sizes = cells.filter(F.col(cluster).isNotNull()).groupBy(cluster).agg(F.sum("count").alias("count"))
+    design = splits.fold_table(sizes, cluster, p.folds, p.seed).join(
+        splits.holdout_table(sizes, cluster, p.holdout_fraction, p.seed), cluster
     )
+    placed = quality.assert_no_nulls(featured, [cluster], "survey design")
+    return placed.join(cut(design), cluster)
 
 
 def design_matrix(
-    analytic: DataFrame, p: SurveyParams, extra_ids: Sequence[str] = ()
+    analytic: DataFrame, p: SurveyParams, extra_ids: Sequence[str] = (), cells: DataFrame | None = None
 ) -> DataFrame:
-    """Ids, weight, splits, outcome and ordered features with the stratum coded."""
+    """Ids, weight, splits, outcome and ordered features with the stratum coded.
+
+    ``cells`` (or any table with the stratum labels) saves a pass over the rows.
+    """
     ids = [*p.birth_key, p.cluster, "weight", "cv_fold", "geo_holdout", p.outcome, *extra_ids]
     matrix = recode.model_matrix(analytic, ids, p.features)
-    codes = recode.category_codes(analytic, "region_stratum")
+    codes = recode.category_codes(cells if cells is not None else analytic, "region_stratum")
     return recode.encode(matrix, "region_stratum", codes)
 
 
+def round_matrix(featured: DataFrame, p: SurveyParams) -> DataFrame:
+    """Featured rows to the model matrix: one pass for the cells, one for the rows."""
+    cells = cluster_cells(featured, p)
+    return design_matrix(survey_design(featured, p, cells), p, cells=cells)
+
+
 def canonical_round(
     analytic: DataFrame, p: SurveyParams, codes: dict[str, int]
 ) -> DataFrame:

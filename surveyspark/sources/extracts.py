@@ -41,10 +41,15 @@ def scan_extract(
     pattern: str | None = None,
     schema: T.StructType | None = None,
     format: str = "parquet",
+    several: str = "union",
     **options,
 ) -> DataFrame:
     """Read only ``columns`` of the extract files found below ``root``.
 
+    No file at all is an error. Of several files that match, ``several`` says what
+    to read: "union" all of them (the parts of one table), "first" the first by
+    path, "error" none.
+
     ``pattern`` is a file-name glob searched at every depth. It is
     case-sensitive. With a ``schema`` the declared types are enforced by the
     reader; without one, Parquet's own schema is used.
@@ -55,6 +60,13 @@ def scan_extract(
     if schema is not None:
         reader = reader.schema(schema)
     df = reader.load(root)
+    files = sorted(df.inputFiles())
+    if not files:
+        raise FileNotFoundError(f"extract {root}: no file matches {pattern or 'it'}")
+    if len(files) > 1 and several == "error":
+        raise ValueError(f"extract {root}: {len(files)} files match {pattern}")
+    if len(files) > 1 and several == "first":
+        df = (reader.schema(schema) if schema is not None else reader).load(files[0])
     require_columns(df, columns, f"extract {root}")
     return df.select(*columns)
 
