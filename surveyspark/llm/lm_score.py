@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import fold, written
 
-CHUNK = 1_000_000
+CHUNK = 500_000
 BUCKETS = 20  # context frequency buckets: 0, 1, 2-3, 4-7, ...
 TUNING, FOLDS, HELD_OUT = 0, 5, 1
 END, START = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC3A5C85C97CB3127)
@@ -298,7 +298,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     """
     chunks = written(chunks_of(docs), "chunks")
     count = chunks.count()
-    ranges = 1 << max(3, (max(count, 1) - 1).bit_length())
+    ranges = 1 << max(3, (max(count // 2, 1) - 1).bit_length())
     answers = written(answers_of(requests_of(chunks, ranges)), "answers")
     tokens, words = answers.filter("gram = 1").agg(
         F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))
