@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -35,12 +37,20 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return posixpath.join(shared, f"{name}-{uuid.uuid4().hex}")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, arrow_rows: int | None = None) -> DataFrame:
     """Write a stage table to the shared folder and go on from the written copy.
 
     The copy outlives lost executors and later plans start from one scan of it.
+    ``arrow_rows`` bounds the rows that pass to Python at once while it is written:
+    for rows that hold whole texts or packed arrays.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_ARROW_ROWS)
+    try:
+        if arrow_rows is not None:
+            spark.conf.set(_ARROW_ROWS, str(arrow_rows))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_ARROW_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)

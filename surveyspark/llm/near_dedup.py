@@ -34,6 +34,7 @@ from .bpe import slices
 from .common import documents, written
 
 POOL, TREES, DEPTHS, REGION = 64, 32, (4, 8, 12), 64
+ROWS = 500  # texts or sets that pass to Python at once
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _K1, _K2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -215,7 +216,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     columns are ignored.
     """
     plain = documents(docs).filter("doc_id IS NOT NULL")
-    signed = written(signatures(plain, words), "signatures")
+    signed = written(signatures(plain, words), "signatures", ROWS)
     full = signed.filter("n_shingles > 0")
     name = ["name_a", "name_b", "n_shingles"]
     classes = written(
@@ -229,10 +230,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     )
     crowd = classes.join(led.select("node"), "node", "left_semi").select("node", "pool")
     wanted = led.select(F.col("node").alias("doc_id"))
-    sets = written(packed_sets(plain.join(wanted, "doc_id", "left_semi"), words), "sets")
+    sets = written(packed_sets(plain.join(wanted, "doc_id", "left_semi"), words), "sets", ROWS)
 
     first = led.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
-    edges = written(confirmed(first, sets, percent), "links")
+    edges = written(confirmed(first, sets, percent), "links", ROWS)
     labels = written(components(edges), "labels")
 
     # Regions at every depth, with their members' components so far.
@@ -247,7 +248,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     stars = members.select(F.col("lead").alias("a"), F.col("node").alias("b"), "own").filter("a <> b").distinct()
     stars = _labelled(stars, "a", labels, "other").filter("own <> other").select("a", "b")
     stars = stars.join(first, ["a", "b"], "left_anti")
-    edges = edges.unionByName(written(confirmed(stars, sets, percent), "links"))
+    edges = edges.unionByName(written(confirmed(stars, sets, percent), "links", ROWS))
     labels = written(components(edges), "labels")
 
     members = _labelled(members.select("node", "depth", "key", "size"), "node", labels, "component")
@@ -257,7 +258,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     )
     rest = written(members.join(open_now.filter("open"), "key").select("key", "node", "component"), "open")
     room = _shareable(sets.join(rest.select("node").distinct(), "node", "left_semi"))
-    rest = rest.join(room, "node").filter(f"100 * room >= {percent} * size")
+    rest = rest.join(written(room, "room", ROWS), "node").filter(f"100 * room >= {percent} * size")
     one, two = (
         rest.select("key", *[F.col(c).alias(c + side) for c in ("node", "component", "size", "room")])
         for side in ("_a", "_b")
@@ -268,7 +269,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         & (100 * most >= percent * (F.col("size_a") + F.col("size_b") - most))
     ).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     across = across.join(first.unionByName(stars), ["a", "b"], "left_anti")
-    edges = edges.unionByName(written(confirmed(across, sets, percent), "links"))
+    edges = edges.unionByName(written(confirmed(across, sets, percent), "links", ROWS))
     labels = written(components(edges), "labels")
 
     named = _labelled(classes.select(*name, "node"), "node", labels, "component").drop("node")
