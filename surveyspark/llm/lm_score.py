@@ -296,10 +296,10 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     that repeat an id are scored and counted each; an empty table gives an empty result;
     other columns are ignored.
     """
-    chunks = written(chunks_of(docs), "chunks")
+    chunks = written(chunks_of(docs), "chunks", 500)
     count = chunks.count()
     ranges = 1 << max(3, (max(count // 2, 1) - 1).bit_length())
-    answers = written(answers_of(requests_of(chunks, ranges)), "answers")
+    answers = written(answers_of(requests_of(chunks, ranges)), "answers", 4)
     tokens, words = answers.filter("gram = 1").agg(
         F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))
     ).first()
@@ -307,7 +307,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         F.coalesce(F.sum("n"), F.lit(0))
     ).first()[0]
     tuning = counted(chunks.filter("tuning"), answers.filter("tuning"))
-    weights = learn_weights(written(events_of(tuning, tokens, starts), "events"), words)
+    weights = learn_weights(written(events_of(tuning, tokens, starts), "events", 1), words)
 
     def run(batches):
         for row in _rows_of(batches):
