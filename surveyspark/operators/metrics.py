@@ -181,18 +181,22 @@ def pr_points(df: DataFrame, y: str = "y", score: str = "proba") -> DataFrame:
 
 
 def calibration_curve(
-    df: DataFrame, y: str = "y", score: str = "proba", bins: int = 10
+    df: DataFrame, y: str = "y", score: str = "proba", bins: int = 10, parts: Sequence[str] = ()
 ) -> DataFrame:
-    """Mean prediction and observed fraction in quantile bins; empty bins dropped."""
-    counts = score_counts(df, (), y, score).withColumn("n", F.col("pos") + F.col("neg"))
-    edges = interpolated_quantiles(
-        counts.select("score", "n"), (), "score", "n", [i / bins for i in range(1, bins)]
-    ).scalar()
+    """Mean prediction and observed fraction in quantile bins (of each part); empty bins dropped."""
+    parts = list(parts)
+    counts = score_counts(df, parts, y, score).withColumn("n", F.col("pos") + F.col("neg"))
+    quantiles = interpolated_quantiles(
+        counts.select(*parts, "score", "n"), parts, "score", "n", [i / bins for i in range(1, bins)]
+    )
     value = F.col("score")
+    if parts:
+        edged = counts.join(quantiles.withColumnRenamed("quantiles", "edges"), parts)
+    else:
+        edged = counts.withColumn("edges", quantiles.scalar())
     return (
-        counts.withColumn("edges", edges)
-        .withColumn("bin", F.size(F.filter("edges", lambda e: e < value)))
-        .groupBy("bin")
+        edged.withColumn("bin", F.size(F.filter("edges", lambda e: e < value)))
+        .groupBy(*parts, "bin")
         .agg(
             (F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("mean_pred"),
             (F.sum("pos") / F.sum("n")).alias("frac_pos"),

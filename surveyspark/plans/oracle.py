@@ -534,6 +534,21 @@ sample AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY v022 ORDER B
         f"SELECT CAST(bin AS INT) AS bin, round(avg(proba), 6) AS mean_pred, round(avg(y), 6) AS frac_pos, count(*) AS n FROM ("
         f"SELECT y, proba, len(list_filter((SELECT quantile_cont(proba, [{EDGES}]) FROM scored), lambda e: e < proba)) AS bin FROM scored) GROUP BY bin"
     ),
+    "calibration_by_part": _with(
+        "SELECT v025, CAST(bin AS INT) AS bin, round(avg(proba), 6) AS mean_pred, round(avg(y), 6) AS frac_pos, count(*) AS n FROM ("
+        f"SELECT v025, y, proba, len(list_filter(e, lambda x: x < proba)) AS bin FROM scored JOIN (SELECT v025, quantile_cont(proba, [{EDGES}]) AS e FROM scored GROUP BY v025) USING (v025)"
+        ") GROUP BY v025, bin"
+    ),
+    "fold_prevalence_mean": _with(
+        f"SELECT round(avg(p), 6) AS prevalence_mean FROM (SELECT cv_fold, avg({SBA}) AS p FROM births JOIN folds USING (v021) GROUP BY cv_fold)",
+        _folds("births"),
+    ),
+    "interaction_counts": _with(
+        f"SELECT region_stratum, label AS stratum_label, {len(P.interaction_pairs)} AS n_pairs, count(*) AS fewest, count(*) AS most FROM pool "
+        "JOIN (SELECT label, row_number() OVER (ORDER BY label) - 1 AS code FROM (SELECT DISTINCT region_stratum AS label FROM region_labels)) ON region_stratum = code "
+        "GROUP BY region_stratum, label",
+        MATRIX,
+    ),
     "equity_by_wealth": _with(_equity("v190")),
     "equity_by_residence": _with(_equity("v025")),
     "equity_gaps": _with(

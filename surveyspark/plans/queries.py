@@ -610,6 +610,12 @@ def calibration_quantile(spark, d):
     return rounded(metrics.calibration_curve(fx.scored(spark, d)))
 
 
+@query
+def calibration_by_part(spark, d):
+    """One calibration curve for each residence group."""
+    return rounded(metrics.calibration_curve(fx.scored(spark, d), parts=["v025"]))
+
+
 @query
 def equity_by_wealth(spark, d):
     return rounded(metrics.equity_table(fx.scored(spark, d), "v190")).orderBy("v190")
@@ -654,6 +660,15 @@ def metrics_long(spark, d):
     return rounded(compare.metrics_long(metrics.holdout_metrics(fx.scored(spark, d), parts=["v025"]), ["v025"]))
 
 
+@query
+def fold_prevalence_mean(spark, d):
+    """Mean over folds of the outcome's share in each fold."""
+    derived = recode.with_outcome(fx.births(spark, d), P.attendants, P.attendant_target, "sba")
+    folded = splits.group_folds(derived.select("v021", "sba"), "v021", P.folds, P.seed)
+    by_fold = folded.groupBy("cv_fold").agg(F.avg("sba").alias("prevalence"))
+    return rounded(stats.fold_mean(by_fold, "prevalence"))
+
+
 @query
 def imbalance_verdict(spark, d):
     """Verdict over a metrics table of three scorings of the same rows."""
@@ -753,7 +768,17 @@ def shap_importance(spark, d):
 def shap_interactions(spark, d):
     train = splits.train_rows(matrix(spark, d))
     values = explain.shap_interactions(fitted(spark, d), train, MODEL.interaction_pairs, ["region_stratum"])
-    return rounded(explain.interaction_summary(values, MODEL.interaction_pairs))
+    summary = explain.interaction_summary(values, MODEL.interaction_pairs)
+    codes = recode.category_codes(fx.region_labels(spark, d), "region_stratum")
+    return rounded(recode.decode(summary, "region_stratum", codes, "stratum_label"))
+
+
+@query
+def interaction_counts(spark, d):
+    """Rows behind each stratum's interaction summary, with the stratum's label."""
+    return shap_interactions(spark, d).groupBy("region_stratum", "stratum_label").agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.min("count").alias("fewest"), F.max("count").alias("most")
+    )
 
 
 @query
