@@ -11,7 +11,7 @@ are a region of that tree. Candidates come region by region:
    than ``REGION`` classes go on at the next depth instead, so the depth adapts to how
    crowded an order is; at the last depth all such pairs are tried. Shingles that no
    other member has bound what a pair can share: pairs that cannot reach the limit any
-   more are not made.
+   more, or whose minhash pools differ too much, are not made.
 
 Every link is confirmed by intersecting the full shingle sets. Sets are compared as
 64-bit shingle hashes. Copies never meet in one task: classes are pre-aggregated, stars
@@ -205,6 +205,13 @@ def _labelled(rows: DataFrame, column: str, labels: DataFrame, name: str) -> Dat
     return rows.join(own, column, "left").withColumn(name, F.coalesce(name, column))
 
 
+def least_agreement(percent: int, spread: float = 4.7) -> int:
+    """Equal minhash values that a linked pair has but for a chance of some 1 in 100,000:
+    ``spread`` standard deviations below the mean at the limit."""
+    share = percent / 100
+    return max(0, int(POOL * share - spread * (POOL * share * (1 - share)) ** 0.5))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row.
 
@@ -259,15 +266,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     rest = written(members.join(open_now.filter("open"), "key").select("key", "node", "component"), "open")
     room = _shareable(sets.join(rest.select("node").distinct(), "node", "left_semi"))
     rest = rest.join(written(room, "room", ROWS), "node").filter(f"100 * room >= {percent} * size")
+    keys = rest.groupBy("node").agg(F.collect_set("key").alias("keys"))  # at most one a tree and depth
+    rest = rest.join(keys, "node").join(crowd, "node")
     one, two = (
-        rest.select("key", *[F.col(c).alias(c + side) for c in ("node", "component", "size", "room")])
+        rest.select("key", *[F.col(c).alias(c + side) for c in ("node", "component", "size", "room", "keys", "pool")])
         for side in ("_a", "_b")
     )
     most = F.least("room_a", "room_b")
+    agreed = F.size(F.filter(F.zip_with("pool_a", "pool_b", lambda x, y: x == y), lambda same: same))
     across = one.join(two, "key").filter(
         (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b"))
         & (100 * most >= percent * (F.col("size_a") + F.col("size_b") - most))
-    ).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+        # A pair is made in one of the regions it shares, and only if its minhashes allow a link.
+        & (F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")) & (agreed >= least_agreement(percent))
+    ).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     across = across.join(first.unionByName(stars), ["a", "b"], "left_anti")
     edges = edges.unionByName(written(confirmed(across, sets, percent), "links", ROWS))
     labels = written(components(edges), "labels")

@@ -98,9 +98,11 @@ def test_held_out_accuracy(spark):
 def test_score_needs_the_text_only(spark, frame, edge_rows, clash):
     docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.fit_on_sample(docs, labels)
-    moved = docs.select((docs.doc_id + 7).alias("doc_id"), "text").withColumn("lang", docs.lang.substr(1, 1))
-    one = {r["doc_id"]: r["score"] for r in toxicity.scores(docs.limit(50), model).collect()}
-    two = {r["doc_id"] - 7: r["score"] for r in toxicity.scores(moved.limit(50), model).collect()}
+    some = docs.filter("doc_id < 50")
+    moved = some.selectExpr("doc_id + 7 AS doc_id", "text", "'xx' AS lang", "'y' AS source")
+    one = {r["doc_id"]: r["score"] for r in toxicity.scores(some, model).collect()}
+    two = {r["doc_id"] - 7: r["score"] for r in toxicity.scores(moved, model).collect()}
+    assert len(one) == 50
     assert all(math.isclose(one[k], two[k], rel_tol=1e-4) for k in one)
     edge = clash(frame(edge_rows))
     rows = toxicity.scores(edge, model).collect()
