@@ -7,11 +7,11 @@ are a region of that tree. Candidates come region by region:
 
 1. each class and the smallest id that shares a prefix with it (``DEPTHS[0]`` values);
 2. each class and the smallest id of every deeper region it is in, if not linked yet;
-3. all pairs of a region whose members are still in several components. Regions of more
-   than ``REGION`` classes go on at the next depth instead, so the depth adapts to how
-   crowded an order is; at the last depth all such pairs are tried. Shingles that no
+3. all pairs of a region whose members are still in several components. Shingles that no
    other member has bound what a pair can share: pairs that cannot reach the limit any
-   more, or whose minhash pools differ too much, are not made.
+   more, or whose minhash pools differ too much, are not made;
+4. the members of such regions of more than ``REGION`` classes are joined on their rarest
+   shingles instead, which finds every linked pair among them (``crowded_pairs``).
 
 Every link is confirmed by intersecting the full shingle sets. Sets are compared as
 64-bit shingle hashes. Copies never meet in one task: classes are pre-aggregated, stars
@@ -35,6 +35,8 @@ from .common import documents, written
 
 POOL, TREES, DEPTHS, REGION = 64, 32, (4, 8, 12), 64
 ROWS = 500  # texts or sets that pass to Python at once
+MARKS = 16  # words of 64 bits in the parity marks of a set
+SALTS, SALT_ROWS, EARLIER = 8, 1024, 16  # of the join on rare shingles
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _K1, _K2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -130,8 +132,8 @@ def packed_sets(docs: DataFrame, words: int) -> DataFrame:
     return documents(docs).mapInArrow(run, "node long, own binary")
 
 
-def _shareable(sets: DataFrame) -> DataFrame:
-    """node, size of its set, and room: how many of its shingles some other node has too."""
+def _exploded(sets: DataFrame) -> DataFrame:
+    """node and shingle, one row for each shingle of each set."""
 
     def run(batches):
         for batch in batches:
@@ -139,8 +141,12 @@ def _shareable(sets: DataFrame) -> DataFrame:
                 found = np.frombuffer(own.as_buffer(), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), node)), pa.array(found)], ["node", "shingle"])
 
-    rows = sets.select("node", "own").mapInArrow(run, "node long, shingle long")
-    lone = rows.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last"))
+    return sets.select("node", "own").mapInArrow(run, "node long, shingle long")
+
+
+def _shareable(sets: DataFrame) -> DataFrame:
+    """node, size of its set, and room: how many of its shingles some other node has too."""
+    lone = _exploded(sets).groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last"))
     lone = lone.filter("node = last").groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
     size = (F.length("own") / 8).cast("long")
     return sets.select("node", size.alias("size")).join(lone, "node", "left").select(
@@ -148,6 +154,84 @@ def _shareable(sets: DataFrame) -> DataFrame:
     )
 
 
+def _marked(sets: DataFrame) -> DataFrame:
+    """node, size of its set, and m0, m1, ...: parities of how many of its shingles fall on each bit.
+
+    Two sets' marks differ in no more bits than the sets differ in shingles.
+    """
+    bits = 64 * MARKS
+
+    def run(batches):
+        for batch in batches:
+            own = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
+            sizes = np.fromiter(map(len, own), np.int64, len(own))
+            flat = np.concatenate([*own, np.empty(0, np.uint64)])
+            at = np.repeat(np.arange(len(own)), sizes) * bits + (flat % np.uint64(bits)).astype(np.int64)
+            odd = np.bincount(at, minlength=len(own) * bits).astype(np.uint8) & 1
+            marks = np.packbits(odd).view(np.int64).reshape(len(own), MARKS)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes), *map(pa.array, marks.T.copy())],
+                ["node", "size", *(f"m{k}" for k in range(MARKS))],
+            )
+
+    columns = ", ".join(f"m{k} long" for k in range(MARKS))
+    return sets.select("node", "own").mapInArrow(run, f"node long, size long, {columns}")
+
+
+def crowded_pairs(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs a, b of the nodes of ``crowd`` (node, component) that lie in different components
+    and may reach the limit; every pair that does is among them.
+
+    With all shingles in one order, rarest first, two sets that reach the limit share one
+    of the first size - need + 1 of each, need being the least intersection for the size.
+    A pair is made at such a shingle unless sizes, places in the order or marks rule it
+    out, or the shingles just before have made it. Common shingles are dealt over salts.
+    """
+    sets = sets.join(crowd, "node", "left_semi")
+    marked = written(_marked(sets).join(crowd, "node"), "marks", ROWS)
+    rows = _exploded(sets)
+    held = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    own = rows.join(held, "shingle").groupBy("node").agg(
+        F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("own")
+    )
+    own = own.join(marked.select("node", "size", "component"), "node").select(
+        "node", "component", (F.col("size") - F.size("own")).alias("lone"), "own.shingle",
+        F.expr(f"size - (size * {percent} + 99) div 100 + 1").alias("prefix"),
+    )
+    heads = own.filter("prefix > lone").select(
+        "node", "component", "lone", F.expr("slice(shingle, 1, cast(greatest(prefix - lone, 0) as int))").alias("head")
+    )
+    heads = written(heads.select(
+        "node", "component", F.posexplode("head").alias("at", "shingle"), "lone", "head"
+    ).select(
+        "node", "component", "shingle", (F.col("lone") + F.col("at")).alias("at"),
+        F.expr(f"slice(head, greatest(at - {EARLIER}, 0) + 1, least(at, {EARLIER}))").alias("before"),
+    ), "heads")
+    shared = heads.groupBy("shingle").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("component").alias("low"), F.max("component").alias("high")
+    ).filter("low <> high").select(
+        "shingle", F.expr(f"cast(least({SALTS}, rows div {SALT_ROWS} + 1) as int)").alias("salts")
+    )
+    heads = written(heads.join(shared, "shingle").join(marked.drop("component"), "node"), "heads")
+    names = ["node", "component", "size", "at", "before", *(f"m{k}" for k in range(MARKS))]
+    one = heads.select("shingle", F.pmod(F.xxhash64("node"), "salts").cast("int").alias("salt"),
+                       *[F.col(n).alias(n + "_a") for n in names])
+    two = heads.select("shingle", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
+                       *[F.col(n).alias(n + "_b") for n in names])
+    differ = F.lit(0)
+    for k in range(MARKS):
+        differ = differ + F.bit_count(F.col(f"m{k}_a").bitwiseXOR(F.col(f"m{k}_b")))
+    both = F.col("size_a") + F.col("size_b")
+    most = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
+    return one.join(two, ["shingle", "salt"]).filter(
+        (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b"))
+        & (100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
+        & ((100 + percent) * most >= percent * both)
+        & ((100 + percent) * (both - differ) >= 2 * percent * both)
+        & ~F.arrays_overlap("before_a", "before_b")
+    ).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the pairs a, b those with 100 * intersection >= percent * union."""
 
@@ -259,11 +343,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     labels = written(components(edges), "labels")
 
     members = _labelled(members.select("node", "depth", "key", "size"), "node", labels, "component")
-    last = DEPTHS[-1]
-    open_now = members.filter((F.col("size") <= REGION) | (F.col("depth") == last)).groupBy("key").agg(
-        (F.min("component") != F.max("component")).alias("open")
-    )
-    rest = written(members.join(open_now.filter("open"), "key").select("key", "node", "component"), "open")
+    members = members.filter(F.col("depth") == DEPTHS[0])
+    open_now = members.groupBy("key").agg((F.min("component") != F.max("component")).alias("open"))
+    rest = written(members.join(open_now.filter("open"), "key").select("key", "node", "component", "size"), "open")
+    packed = written(rest.filter(F.col("size") > REGION).select("node", "component").distinct(), "packed")
+    rest = rest.filter(F.col("size") <= REGION).drop("size")
     room = _shareable(sets.join(rest.select("node").distinct(), "node", "left_semi"))
     rest = rest.join(written(room, "room", ROWS), "node").filter(f"100 * room >= {percent} * size")
     keys = rest.groupBy("node").agg(F.collect_set("key").alias("keys"))  # at most one a tree and depth
@@ -280,6 +364,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         # A pair is made in one of the regions it shares, and only if its minhashes allow a link.
         & (F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")) & (agreed >= least_agreement(percent))
     ).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    across = across.unionByName(crowded_pairs(packed, sets, percent)).distinct()
     across = across.join(first.unionByName(stars), ["a", "b"], "left_anti")
     edges = edges.unionByName(written(confirmed(across, sets, percent), "links", ROWS))
     labels = written(components(edges), "labels")

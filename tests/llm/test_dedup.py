@@ -194,6 +194,27 @@ def test_crowded_regions_go_deeper(frame, monkeypatch):
     assert got == brute_components(rows, 3, 85)
 
 
+def test_links_in_one_large_group_are_all_found(frame):
+    """2,000 texts of one template: pairs at 0.81-0.84, every other two at 0.75."""
+    rng = random.Random(6)
+    rows, want = [], {}
+    for pair in range(1000):
+        extra = rng.choice([4, 5, 6])
+        for k in (2 * pair, 2 * pair + 1):
+            own = [f"t{w}" for w in range(90)] + [f"p{pair}w{w}" for w in range(extra)]
+            own += [f"o{k}w{w}" for w in range(15 - extra)]
+            rng.shuffle(own)
+            rows.append((k, " ".join(own)))
+            want[k] = 2 * pair
+    sets = [set(t.split()) for _, t in rows]
+    some = rng.sample(range(2000), 150)
+    for x in some:  # brute force: a text's links among all others
+        links = [y for y in range(2000) if y != x and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])]
+        assert links == [x ^ 1]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(frame(rows), 1, 80).collect()}
+    assert got == want
+
+
 def test_near_edge_rows(frame, edge_rows, clash):
     docs = clash(frame(edge_rows))
     found = near_dedup.near_duplicates(docs, 3, 85).collect()
