@@ -121,17 +121,27 @@ def exact_duplicates(docs: DataFrame, digest=sha256) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; repeated rows once."""
-    found = exact_duplicates(docs).filter("kept").groupBy(F.col("doc_id").alias("_keep")).agg(
-        F.count(F.lit(1)).alias("_rows")
-    )
+    """The rows of ``docs`` that stay, with all their columns.
+
+    A row is named by its id, null included, and the digest of its text; of rows that
+    repeat both one stays.
+    """
+    found = exact_duplicates(docs).filter("kept").groupBy(
+        F.col("doc_id").alias("_keep"), F.col("digest").alias("_digest")
+    ).agg(F.count(F.lit(1)).alias("_rows"))
     kept = written(found, "kept")
-    rows = docs.join(kept.drop("_rows"), docs["doc_id"].eqNullSafe(kept["_keep"]), "left_semi")
-    again = kept.filter("_rows > 1 AND _keep IS NOT NULL").drop("_rows")
+
+    def named(rows: DataFrame, names: DataFrame, how: str) -> DataFrame:
+        own = sha256(F.coalesce(rows["text"], F.lit("")))
+        return rows.join(names, rows["doc_id"].eqNullSafe(names["_keep"]) & (own == names["_digest"]), how)
+
+    rows = named(docs, kept.drop("_rows"), "left_semi")
+    again = kept.filter("_rows > 1").drop("_rows")
     if again.isEmpty():
         return rows
-    once = rows.join(again, rows["doc_id"] == again["_keep"], "left_semi").dropDuplicates(["doc_id"])
-    return rows.join(again, rows["doc_id"].eqNullSafe(again["_keep"]), "left_anti").unionByName(once)
+    once = named(rows, again, "left_semi").withColumn("_text", F.coalesce("text", F.lit("")))
+    once = once.dropDuplicates(["doc_id", "_text"]).drop("_text")
+    return named(rows, again, "left_anti").unionByName(once)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -113,6 +113,13 @@ def test_exact_edge_rows(frame, edge_rows, clash):
     assert exact_dedup.deduplicate(docs).columns == docs.columns
 
 
+def test_exact_rows_are_named_by_id_and_text(frame, clash):
+    rows = [(1, "a"), (1, "b"), (2, "c"), (2, "d"), (3, "c"), (None, "e"), (None, "f"), (None, "a"), (None, "f"), (2, "d"), (7, None), (7, "")]
+    docs = clash(frame(rows))
+    kept = Counter((r["doc_id"], r["text"] or "") for r in exact_dedup.deduplicate(docs).collect())
+    assert kept == Counter([(1, "a"), (1, "b"), (3, "c"), (2, "d"), (None, "e"), (None, "f"), (7, "")])
+
+
 def test_texts_that_share_a_digest_are_told_apart(frame):
     rows = [(k, "ab"[k % 2] * (k % 5)) for k in range(40)]
     weak = lambda text: F.substring(F.encode(text, "UTF-8"), 1, 0)  # noqa: E731  one digest for all
