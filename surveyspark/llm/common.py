@@ -21,6 +21,16 @@ def documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def row_key() -> Column:
+    """Names the rows of equal id and text: SHA-256 of the text in hex, then the id (nothing for null)."""
+    return F.concat(F.sha2(F.coalesce("text", F.lit("")), 256), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+
+
+def id_of(key: str) -> Column:
+    """The id in a row key."""
+    return F.nullif(F.substring(key, 65, 20), F.lit("")).cast("long")
+
+
 def fold(column: str = "doc_id", folds: int = 5) -> Column:
     """crc32 of the id as text, modulo ``folds``; null ids fall in fold 0 as crc32('')."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % folds

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import documents, table
+from .common import documents, id_of, row_key, table
 
 SHINGLE, OVERLAP = 5, 0.8
 K1, B = 1.2, 0.75
@@ -175,16 +175,15 @@ class Index:
         return [(text, item, at, score, q, a) for (text, item), (score, at, q, a) in best.items()]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, block_items: int = 4000) -> DataFrame:
-    """Pairs doc_id, item_id with first_word and bm25 of the best passage and both overlaps.
+def found_rows(docs: DataFrame, benchmark: DataFrame, block_items: int = 4000) -> DataFrame:
+    """row (its key) and item_id of pairs with first_word and bm25 of the best passage and both overlaps.
 
     A pair is found if a passage holds at least 0.8 of the question's five-word shingles
     (with fewer words the whole question) and 0.8 of the answer's words; words are runs
     of letters, digits and underscores, lower-cased. Passages have twice the words of the
     block's longest item and overlap by that item's length. Null or empty texts and items
-    without words match nothing; rows that repeat an id are searched each, and one pair
-    is returned for equal pairs (best score). An empty table gives an empty result; other
-    columns are ignored.
+    without words match nothing. An empty table gives an empty result; other columns are
+    ignored.
     """
     spark = docs.sparkSession
     items = benchmark.select("item_id", "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
@@ -192,17 +191,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_items: int = 4000)
     blocks = max(1, -(-items.count() // block_items))
     shard = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
     weights = postings(items)
-    schema = "doc_id long, item_id long, first_word long, bm25 double, question_overlap double, answer_overlap double"
+    plain = documents(docs).select(row_key().alias("row"), "text")
+    schema = "row string, item_id long, first_word long, bm25 double, question_overlap double, answer_overlap double"
     found = []
     for k in range(blocks):
         part = items.filter(shard == k).collect()
         index = spark.sparkContext.broadcast(
             Index([(r[0], r[1]) for r in part], weights.filter(shard == k).toPandas())
         )
-        found.append(documents(docs).mapInArrow(_searcher(index), schema))
+        found.append(plain.mapInArrow(_searcher(index), schema))
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
+    return pairs
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, block_items: int = 4000) -> DataFrame:
+    """Pairs doc_id, item_id as ``found_rows`` has them, the best score of equal pairs."""
+    pairs = found_rows(docs, benchmark, block_items).withColumn("doc_id", id_of("row"))
     best = F.max_by(F.struct("first_word", "bm25", "question_overlap", "answer_overlap"), F.col("bm25"))
     return pairs.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.*")
 
@@ -212,8 +218,8 @@ def _searcher(index):
         for ids, texts in slices(batches, 2_000_000):
             rows = index.value.search(texts) if index.value.entries else []
             columns = list(zip(*[(ids[text], *rest) for text, *rest in rows])) or [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
-            names = ("doc_id", "item_id", "first_word", "bm25", "question_overlap", "answer_overlap")
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+            names = ("row", "item_id", "first_word", "bm25", "question_overlap", "answer_overlap")
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], list(names))
 
     return run
@@ -221,8 +227,8 @@ def _searcher(index):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no item was found, with all their columns."""
-    hit = contaminated(docs, benchmark).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_hit"]), "left_anti")
+    hit = found_rows(docs, benchmark).select(F.col("row").alias("_hit")).distinct()
+    return docs.join(hit, row_key() == hit["_hit"], "left_anti")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

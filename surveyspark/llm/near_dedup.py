@@ -1,12 +1,13 @@
 """Near-duplicate documents by a MinHash LSH forest, with links confirmed on full sets.
 
-A document's set is its distinct word shingles. Documents with equal sets form one class
-and only its smallest id goes on. A pool of ``POOL`` minhash values is read in ``TREES``
+A document's set is its distinct word shingles. Documents are rows of one id (null included)
+and text. Those with equal sets form one class, numbered in order of its smallest id, and
+only the class goes on. A pool of ``POOL`` minhash values is read in ``TREES``
 fixed orders; each order sorts the classes, and classes that share a prefix of an order
 are a region of that tree. Candidates come region by region:
 
-1. each class and the smallest id that shares a prefix with it (``DEPTHS[0]`` values);
-2. each class and the smallest id of every deeper region it is in, if not linked yet;
+1. each class and the first class that shares a prefix with it (``DEPTHS[0]`` values);
+2. each class and the first class of every deeper region it is in, if not linked yet;
 3. all pairs of a region whose members are still in several components. Shingles that no
    other member has bound what a pair can share: pairs that cannot reach the limit any
    more, or whose minhash pools differ too much, are not made;
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from .bpe import slices
-from .common import documents, written
+from .common import documents, id_of, row_key, written
 
 POOL, TREES, DEPTHS, REGION = 64, 32, (4, 8, 12), 64
 ROWS = 500  # texts or sets that pass to Python at once
@@ -82,8 +83,8 @@ def _orders(seed: int = 23) -> list[list[int]]:
     return [rng.permutation(POOL)[: DEPTHS[-1]].tolist() for _ in range(TREES)]
 
 
-def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, two 64-bit sums that name the set, and its minhash pool."""
+def signatures(rows: DataFrame, words: int) -> DataFrame:
+    """row, n_shingles, two 64-bit sums that name the set, and its minhash pool."""
 
     def run(batches):
         pool = _pool()
@@ -103,13 +104,13 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                     found[full, k] = (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
             offsets = pa.array(np.arange(0, (len(sets) + 1) * POOL, POOL, dtype=np.int32))
             yield pa.RecordBatch.from_arrays([
-                pa.array(ids, pa.int64()), pa.array(sizes),
+                pa.array(ids, pa.string()), pa.array(sizes),
                 pa.array(names[0].view(np.int64)), pa.array(names[1].view(np.int64)),
                 pa.ListArray.from_arrays(offsets, pa.array(found.ravel())),
-            ], ["doc_id", "n_shingles", "name_a", "name_b", "pool"])
+            ], ["row", "n_shingles", "name_a", "name_b", "pool"])
 
-    return documents(docs).mapInArrow(
-        run, "doc_id long, n_shingles long, name_a long, name_b long, pool array<int>"
+    return rows.select("row", "text").mapInArrow(
+        run, "row string, n_shingles long, name_a long, name_b long, pool array<int>"
     )
 
 
@@ -123,13 +124,13 @@ def prefixes(classes: DataFrame, depths: tuple[int, ...]) -> DataFrame:
     )
 
 
-def packed_sets(docs: DataFrame, words: int) -> DataFrame:
+def packed_sets(rows: DataFrame, words: int) -> DataFrame:
     def run(batches):
         for ids, texts in slices(batches, 2_000_000):
             sets = [s.tobytes() for s in shingle_hashes(texts, words)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["node", "own"])
 
-    return documents(docs).mapInArrow(run, "node long, own binary")
+    return rows.select("node", "text").mapInArrow(run, "node long, own binary")
 
 
 def _exploded(sets: DataFrame) -> DataFrame:
@@ -296,22 +297,25 @@ def least_agreement(percent: int, spread: float = 4.7) -> int:
     return max(0, int(POOL * share - spread * (POOL * share * (1 - share)) ** 0.5))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row.
+def near_rows(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """row (its key), n_shingles, keeper (key of the row that stays) of every row.
 
     Two documents are linked if 100 * intersection >= percent * union of their shingle
-    sets; a component's smallest id names it and stays. A text of fewer words is one
-    shingle of its own; null texts and texts without words have no shingles and no links.
-    Rows that repeat an id take part each with its own text; their id stands for them
-    all. Rows with a null id are left out. An empty table gives an empty result; other
-    columns are ignored.
+    sets; of a component the smallest id stays, null after all others. A text of fewer
+    words is one shingle of its own; null texts and texts without words have no shingles
+    and no links. Rows that repeat an id, null ids too, take part each with its own text.
+    An empty table gives an empty result; other columns are ignored.
     """
-    plain = documents(docs).filter("doc_id IS NOT NULL")
+    plain = documents(docs).select(row_key().alias("row"), "text")
     signed = written(signatures(plain, words), "signatures", ROWS)
     full = signed.filter("n_shingles > 0")
     name = ["name_a", "name_b", "n_shingles"]
+    least = F.min(F.struct(id_of("row").isNull().alias("none"), id_of("row").alias("id"), "row")).alias("least")
+    # Numbers follow the order of the smallest ids.
     classes = written(
-        full.groupBy(*name).agg(F.min("doc_id").alias("node"), F.any_value("pool").alias("pool")), "classes"
+        full.groupBy(*name).agg(least, F.any_value("pool").alias("pool")).sort("least").select(
+            *name, "pool", F.col("least.row").alias("row"), F.monotonically_increasing_id().alias("node")
+        ), "classes"
     )
     shared = prefixes(classes, DEPTHS[:1]).groupBy("key").agg(
         F.min("node").alias("lead"), F.count(F.lit(1)).alias("size")
@@ -320,8 +324,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         prefixes(classes, DEPTHS[:1]).join(shared, "key").groupBy("node").agg(F.min("lead").alias("lead")), "led"
     )
     crowd = classes.join(led.select("node"), "node", "left_semi").select("node", "pool")
-    wanted = led.select(F.col("node").alias("doc_id"))
-    sets = written(packed_sets(plain.join(wanted, "doc_id", "left_semi"), words), "sets", ROWS)
+    wanted = classes.join(led, "node", "left_semi").select("row", "node")
+    chosen = plain.join(wanted, "row")
+    repeats = full.groupBy("row").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").join(wanted, "row")
+    if not repeats.isEmpty():  # a set is wanted once, though rows may repeat id and text
+        chosen = chosen.dropDuplicates(["node"])
+    sets = written(packed_sets(chosen, words), "sets", ROWS)
 
     first = led.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
     edges = written(confirmed(first, sets, percent), "links", ROWS)
@@ -370,22 +378,41 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     labels = written(components(edges), "labels")
 
     named = _labelled(classes.select(*name, "node"), "node", labels, "component").drop("node")
-    found = full.select("doc_id", *name).join(named, name).select("doc_id", "n_shingles", "component")
-    empty = signed.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
-    return found.unionByName(empty).select(
-        "doc_id", "n_shingles", F.col("component").alias("component_id"),
-        (F.col("doc_id") == F.col("component")).alias("kept"),
+    keepers = classes.select(F.col("node").alias("component"), F.col("row").alias("keeper"))
+    named = named.join(keepers, "component").drop("component")
+    found = full.select("row", *name).join(named, name).select("row", "n_shingles", "keeper")
+    empty = signed.filter("n_shingles = 0").select("row", "n_shingles", F.col("row").alias("keeper"))
+    return found.unionByName(empty)
+
+
+def _by_id(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        id_of("row").alias("doc_id"), "n_shingles", id_of("keeper").alias("component_id"),
+        (F.col("row") == F.col("keeper")).alias("kept"),
     )
 
 
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row with an id, as ``near_rows`` finds them."""
+    return _by_id(near_rows(docs, words, percent)).filter("doc_id IS NOT NULL")
+
+
 def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay, one document of each component, with all columns."""
-    kept = near_duplicates(docs, words, percent).filter("kept").select(F.col("doc_id").alias("_keep"))
-    return docs.join(kept, docs["doc_id"] == kept["_keep"], "left_semi")
+    """The rows of ``docs`` that stay, one row of each component, with all columns."""
+    kept = near_rows(docs, words, percent).filter("row = keeper").groupBy(F.col("row").alias("_keep")).agg(
+        F.when(F.min("n_shingles") > 0, F.count(F.lit(1))).otherwise(1).alias("_rows")
+    )
+    kept = written(kept, "kept")
+    rows = docs.join(kept.drop("_rows"), row_key() == kept["_keep"], "left_semi")
+    again = kept.filter("_rows > 1").drop("_rows")
+    if again.isEmpty():
+        return rows
+    once = rows.join(again, row_key() == again["_keep"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return rows.join(again, row_key() == again["_keep"], "left_anti").unionByName(once)
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, percent=85)
+    return _by_id(near_rows(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, percent=85))
 
 
 SQL = r"""

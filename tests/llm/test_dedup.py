@@ -231,6 +231,18 @@ def test_near_edge_rows(frame, edge_rows, clash):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_rows_are_named_by_id_and_text(spark, frame, clash):
+    long = " ".join(f"w{k}" for k in range(100))
+    rows = [(1, long), (2, long + " end"), (2, "another text"), (None, "clean and unique"), (None, long + " more"),
+            (None, "twice"), (None, "twice"), (None, None), (5, "same"), (5, "same")]
+    docs = clash(frame(rows))
+    kept = Counter((r["doc_id"], r["text"]) for r in near_dedup.deduplicate(docs, 3, 85).collect())
+    assert kept == Counter([(1, long), (2, "another text"), (None, "clean and unique"), (None, "twice"), (None, None), (5, "same")])
+    found = near_dedup._by_id(near_dedup.near_rows(docs, 3, 85)).collect()
+    assert len(found) == len(rows) and sum(r["doc_id"] is None for r in found) == 5
+    assert Counter((r["component_id"], r["kept"]) for r in found if r["doc_id"] == 2) == Counter([(1, False), (2, True)])
+
+
 def test_components_of_long_chains(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (200, 100)], "a long, b long")
     got = {r["node"]: r["component"] for r in near_dedup.components(edges).collect()}

@@ -282,6 +282,14 @@ def test_pairs_match_brute_force(spark, frame, clash, block_items):
         assert whole <= pairs
 
 
+def test_only_the_contaminated_rows_of_an_id_go(spark, frame):
+    item = "The quick brown fox jumps over the lazy dog today. It was seen twice."
+    rows = [(None, item), (None, "clean"), (1, item), (1, "clean too"), (2, "other")]
+    benchmark = spark.createDataFrame([(7, item)], "item_id long, text string")
+    kept = decontaminate.decontaminate(frame(rows), benchmark).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == [(0, "clean"), (1, "clean too"), (2, "other")]
+
+
 def test_whole_items_in_the_given_documents(spark):
     docs, items = (spark.read.parquet(f"{SMALL}/{t}.parquet").collect() for t in ("documents", "benchmark"))
     want = {(d["doc_id"], i["item_id"]) for d in docs for i in items if i["text"] in d["text"]}
