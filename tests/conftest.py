@@ -7,13 +7,7 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-SF_TINY = "/root/testdata/sf0.001"
-SF_SMALL = "/root/testdata/sf0.01"
-TABLES = (
-    "region nation customer supplier part orders lineitem events documents "
-    "embeddings pages benchmark labels conversations"
-).split()
-
+from tables import SF_TINY, TABLES
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):

@@ -3,7 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import SF_TINY
+from tables import SF_TINY
 
 import __spark_entry__ as contract
 
