@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -13,8 +15,10 @@ from surveyspark.functions.checkpoints import cut
 from surveyspark.functions.hashing import hash_key, uniform
 from surveyspark.operators.prefix import hash_bucket, prefix_sum
 
-_GROUP_ROWS = 4096  # rows of either side in one neighbour-search group
-_PIVOTS = 64
+_BLOCK_ROWS = 1024  # rows of either side in one neighbour-search group
+_MOST_PIVOTS = 4096  # in a broadcast
+_MOST_BLOCKS = 200_000  # in a broadcast
+_SLOTS = 256  # parts that the rows of a pivot can be cut into
 
 
 def _distances(a: np.ndarray, b: np.ndarray, n_continuous: int, penalty: float) -> np.ndarray:
@@ -40,125 +44,248 @@ class _OneHot:
         return np.concatenate(blocks or [np.zeros((len(categories), 0))], axis=1).astype(np.float32)
 
 
-def nearest_neighbours(
-    rows: DataFrame, queries: DataFrame, key: str, columns: Sequence[str], n_continuous: int,
-    penalty: float, k: int, pivots: int = _PIVOTS, group_rows: int = _GROUP_ROWS,
-) -> DataFrame:
-    """(key, other, distance, place): the k nearest other rows of each query row, exactly.
+def _pivot_tree(pivot_rows: np.ndarray, n_continuous: int, penalty: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pivots in the order of their upper pivots, the first root-many of them; how many each has."""
+    top = pivot_rows[: math.ceil(math.sqrt(len(pivot_rows)))]
+    owner = _distances(pivot_rows, top, n_continuous, penalty).argmin(axis=1)
+    order = np.argsort(owner, kind="stable")
+    return top, pivot_rows[order], np.searchsorted(owner[order], np.arange(len(top) + 1))
+
 
-    Rows are assigned to their nearest pivot. For each query, the k+1 smallest
-    pivot distances per cell bound its k-th neighbour by the triangle inequality, and
-    only cells that can hold something within that bound are searched. A large
-    cell is cut into groups of at most about ``group_rows`` rows on either side,
-    so no task ever holds a whole cell. Groups send back their k best per query,
-    never all pairs. Ties go to the smaller key.
+def _slabs(pdf: pd.DataFrame, rows: int = 2048) -> Iterator[pd.DataFrame]:
+    for start in range(0, len(pdf), rows):
+        yield pdf.iloc[start : start + rows]
+
+
+class PivotTree:
+    """Rows in a metric tree, for queries that are rows themselves.
+
+    About sqrt(n) pivots (at most ``_MOST_PIVOTS``) in two levels: a row belongs to its
+    nearest upper pivot, and below that to its nearest pivot. The rows of a pivot are
+    cut into blocks in order of their distance to it. A query skips an upper pivot, a
+    pivot or a block if its distance to the pivot lies further from the range of
+    distances there than its bound, which no row nearer than the bound can. The bound is the
+    distance within which k other rows certainly lie: counted over whole pivots, or
+    known from a search (``bounds``).
     """
-    spark = rows.sparkSession
-    fields = ", ".join(f"{c} double" for c in columns)
-    columns = list(columns)
-    pivot_rows = rows.orderBy(F.md5(F.col(key).cast("string"))).select(*columns).limit(pivots)
-    pivot_matrix = np.array([list(r) for r in pivot_rows.collect()], dtype=float)
-
-    def to_cell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            d = _distances(pdf[columns].to_numpy(), pivot_matrix, n_continuous, penalty)
-            yield pdf.assign(cell=d.argmin(axis=1), reach=d.min(axis=1))
-
-    placed = rows.select(key, *columns).mapInPandas(
-        to_cell, f"{key} long, {fields}, cell int, reach double"
-    )
-    # Per cell: size, inner and outer radius, and its k+1 innermost distances.
-    inner = Window.partitionBy("cell").orderBy("reach", key)
-    innermost = (
-        placed.select("cell", "reach", key)
-        .withColumn("_i", F.row_number().over(inner))
-        .filter(F.col("_i") <= k + 1)
-        .groupBy("cell")
-        .agg(F.collect_list("reach").alias("innermost"))
-    )
-    cells = (
-        placed.groupBy("cell")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("reach").alias("low"), F.max("reach").alias("high"))
-        .join(innermost, "cell")
-        .collect()  # one entry per pivot
-    )
-    cell_ids = np.array([c["cell"] for c in cells])
-    low, high = np.array([c["low"] for c in cells]), np.array([c["high"] for c in cells])
-    blocks = {c["cell"]: -(-c["n"] // group_rows) for c in cells}
-    inner_bounds = [np.sort(c["innermost"]) for c in cells]
-
-    def to_searches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            d = _distances(pdf[columns].to_numpy(), pivot_matrix[cell_ids], n_continuous, penalty)
-            bounds = np.concatenate([d[:, i, None] + b[None, :] for i, b in enumerate(inner_bounds)], axis=1)
-            place = min(k, bounds.shape[1] - 1)  # position k: the query itself is one of the rows
-            limit = np.partition(bounds, place, axis=1)[:, place]
-            closest = np.maximum(np.maximum(d - high, low - d), 0.0)
-            query, cell = np.nonzero(closest <= limit[:, None] + 1e-9)
-            yield pdf.iloc[query].assign(cell=cell_ids[cell])
-
-    searches = queries.select(key, *columns).mapInPandas(
-        to_searches, f"{key} long, {fields}, cell int"
-    )
-    query_load = {r["cell"]: -(-r["count"] // group_rows) for r in searches.groupBy("cell").count().collect()}
-    layout = spark.createDataFrame(
-        [(c, blocks[c], q) for c, q in query_load.items()], "cell int, row_blocks long, query_blocks long"
-    )
 
-    def spread(df: DataFrame, own: str, other: str) -> DataFrame:
-        """Keep a row in one block of its own side, next to every block of the other."""
-        sized = df.join(F.broadcast(layout), "cell")  # one entry per pivot
-        mine = F.pmod(F.xxhash64(key), F.col(own))
-        return sized.withColumn(own.replace("blocks", "block"), mine).withColumn(
-            other.replace("blocks", "block"), F.explode(F.sequence(F.lit(0), F.col(other) - 1))
-        ).drop("row_blocks", "query_blocks")
-
-    groups = ["cell", "row_block", "query_block"]
-    left = spread(searches, "query_blocks", "row_blocks").groupBy(*groups)
-    right = spread(placed.drop("reach"), "row_blocks", "query_blocks").groupBy(*groups)
-
-    def best_in_group(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or r.empty:
-            return pd.DataFrame({key: [], "other": [], "distance": []})
-        r = r.sort_values(key)
-        ids, against = r[key].to_numpy(), r[columns].to_numpy()
-        one_hot = _OneHot(against[:, n_continuous:])
-        encoded = one_hot(against[:, n_continuous:])
-        lengths = (against[:, :n_continuous] ** 2).sum(axis=1)
-        out = []
-        for start in range(0, len(q), 512):
-            part = q.iloc[start : start + 512]
-            own, x = part[key].to_numpy(), part[columns].to_numpy()
-            measured = x[:, :n_continuous]
-            d = (measured @ against[:, :n_continuous].T) * -2.0
-            d += (measured**2).sum(axis=1)[:, None]
-            d += lengths
-            agreeing = one_hot(x[:, n_continuous:]) @ encoded.T
-            d += penalty * (len(columns) - n_continuous - agreeing)
-            np.maximum(d, 0.0, out=d)
-            d[own[:, None] == ids[None, :]] = np.inf
-            place = min(k, d.shape[1]) - 1
-            limit = np.partition(d, place, axis=1)[:, place]
-            # Everything up to the k-th distance, ties included, then the first k
-            # of each query by (distance, key): columns are in key order.
-            query, column = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
-            found = d[query, column]
-            order = np.lexsort((column, found, query))
-            query, column, found = query[order], column[order], found[order]
-            first = np.searchsorted(query, query)
-            keep = np.arange(len(query)) - first < k
-            out.append(
-                pd.DataFrame(
-                    {key: own[query[keep]], "other": ids[column[keep]], "distance": np.sqrt(found[keep])}
+    def __init__(
+        self, rows: DataFrame, key: str, columns: Sequence[str], n_continuous: int, penalty: float, k: int,
+        pivots: int | None = None, block_rows: int = _BLOCK_ROWS,
+    ):
+        self.key, self.columns, self.k = key, list(columns), k
+        self.n_continuous, self.penalty = n_continuous, penalty
+        count = rows.count()
+        size = pivots or min(_MOST_PIVOTS, max(1, math.ceil(math.sqrt(count))))
+        # Many blocks are a large table: past the limit blocks grow instead.
+        self.block_rows = max(block_rows, -(-count // _MOST_BLOCKS))
+        chosen = rows.orderBy(F.md5(F.col(key).cast("string"))).select(*columns).limit(size)
+        self.pivots = _pivot_tree(np.array([list(r) for r in chosen.collect()], dtype=float), n_continuous, penalty)
+        self.edges = cut(self._slot_edges(self._celled(rows)))
+        placed = cut(self._blocked(self._celled(rows)))
+        # Rows at one distance of a pivot cannot be cut by it: such blocks are dealt in pieces.
+        self.blocks = cut(
+            placed.groupBy("block", "cell").agg(
+                F.count(F.lit(1)).alias("n"), F.min("reach").alias("low"), F.max("reach").alias("high"),
+                F.min("upper").alias("upper_low"), F.max("upper").alias("upper_high"),
+            ).withColumn("pieces", F.ceil(F.col("n") / self.block_rows))
+        )
+        self.placed = placed.drop("cell", "upper", "reach")
+
+    def _celled(self, df: DataFrame) -> DataFrame:
+        columns, n_continuous, penalty = self.columns, self.n_continuous, self.penalty
+        top, pivots, starts = self.pivots
+        fields = ", ".join(f"{c} double" for c in columns)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in itertools.chain.from_iterable(map(_slabs, batches)):
+                x = pdf[columns].to_numpy()
+                above = _distances(x, top, n_continuous, penalty)
+                owner = above.argmin(axis=1)
+                cell, reach = np.zeros(len(x), np.int64), np.zeros(len(x))
+                for t in np.unique(owner):
+                    own = owner == t
+                    below = _distances(x[own], pivots[starts[t] : starts[t + 1]], n_continuous, penalty)
+                    cell[own], reach[own] = starts[t] + below.argmin(axis=1), below.min(axis=1)
+                yield pdf.assign(cell=cell, upper=above.min(axis=1), reach=reach)
+
+        return df.select(self.key, *columns).mapInPandas(
+            run, f"{self.key} long, {fields}, cell long, upper double, reach double"
+        )
+
+    def _slot_edges(self, celled: DataFrame) -> DataFrame:
+        """Equal-frequency edges of the distance to the pivot, for pivots of several blocks."""
+        sizes = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > self.block_rows)
+        shares = [i / _SLOTS for i in range(1, _SLOTS)]
+        edged = celled.join(sizes, "cell").groupBy("cell").agg(
+            F.percentile_approx("reach", shares, 10 * _SLOTS).alias("edges"), F.first("n").alias("n")
+        )
+        step = F.greatest(F.lit(1), F.floor(F.lit(_SLOTS * self.block_rows) / F.col("n"))).cast("int")
+        chosen = F.filter("edges", lambda _, i: (i + 1) % step == 0)
+        return edged.select("cell", F.array_distinct(chosen).alias("edges"))
+
+    def _blocked(self, celled: DataFrame) -> DataFrame:
+        found = celled.join(self.edges, "cell", "left")
+        slot = F.coalesce(F.size(F.filter("edges", lambda e: e < F.col("reach"))), F.lit(0))
+        slot = F.when(F.col("edges").isNull(), 0).otherwise(slot)
+        return found.withColumn("block", F.col("cell") * _SLOTS + slot).drop("edges")
+
+    def home(self, queries: DataFrame) -> DataFrame:
+        """Each query next to the block it lies in."""
+        return self._blocked(self._celled(queries)).drop("cell", "upper", "reach")
+
+    def searches(self, home: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
+        """Each query of ``home`` next to every other block that may hold one of its k nearest rows.
+
+        ``bounds`` (key, bound): distances within which k other rows are known.
+        """
+        key, columns, k, n_continuous, penalty = self.key, self.columns, self.k, self.n_continuous, self.penalty
+        table = self.blocks.toPandas().sort_values("block")  # at most _MOST_BLOCKS and one for each pivot
+        layout = {c: table[c].to_numpy() for c in table.columns}
+        shipped = home.sparkSession.sparkContext.broadcast((*self.pivots, layout))
+        asked = home.join(bounds, key, "left") if bounds is not None else home.withColumn("bound", F.lit(None).cast("double"))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            top, pivots, starts, at = shipped.value
+            edges = np.searchsorted(at["cell"], starts)  # blocks are in the order of their cells
+            parts = [slice(lo, hi) for lo, hi in zip(edges, edges[1:])]
+            used = [t for t, p in enumerate(parts) if p.stop > p.start]
+            low = np.array([at["upper_low"][parts[t]].min() for t in used])
+            high = np.array([at["upper_high"][parts[t]].max() for t in used])
+            within = np.array([at["n"][parts[t]].sum() for t in used])
+            for pdf in itertools.chain.from_iterable(map(_slabs, batches)):
+                x = pdf[columns].to_numpy()
+                above = _distances(x, top[used], n_continuous, penalty)
+                limit = np.minimum(pdf["bound"].fillna(np.inf).to_numpy(), _certain(above + high, within, k))
+                nearest = above.argmin(axis=1)
+                query, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+                for own_first in (True, False):  # a query's nearest upper pivot first, for its bound
+                    for j, t in enumerate(used):
+                        gap = np.maximum(above[:, j] - high[j], low[j] - above[:, j])
+                        row = np.flatnonzero(((nearest == j) == own_first) & (gap <= _slack(limit)))
+                        if not len(row):
+                            continue
+                        own = {name: column[parts[t]] for name, column in at.items()}
+                        cells, place = np.unique(own["cell"], return_inverse=True)
+                        d = _distances(x[row], pivots[cells], n_continuous, penalty)[:, place]
+                        if own_first:
+                            limit[row] = np.minimum(limit[row], _certain(d + own["high"], own["n"], k))
+                        up = above[row, j][:, None]
+                        gap = np.maximum(np.maximum(d - own["high"], own["low"] - d),
+                                         np.maximum(up - own["upper_high"], own["upper_low"] - up))
+                        i, block = np.nonzero(gap <= _slack(limit[row])[:, None])
+                        query.append(row[i])
+                        found.append(own["block"][block])
+                query, found = np.concatenate(query), np.concatenate(found)
+                elsewhere = found != pdf["block"].to_numpy()[query]
+                yield pdf[[key, *columns]].iloc[query[elsewhere]].assign(block=found[elsewhere])
+
+        fields = ", ".join(f"{c} double" for c in columns)
+        return asked.mapInPandas(run, f"{key} long, {fields}, block long")
+
+    def nearest_in_blocks(self, searches: DataFrame) -> DataFrame:
+        """(key, other, distance): the k nearest rows in each block searched, never all pairs."""
+        key, columns, k, n_continuous, penalty = self.key, self.columns, self.k, self.n_continuous, self.penalty
+        load = searches.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / self.block_rows).alias("query_pieces"))
+        layout = cut(self.blocks.join(load, "block").select("block", F.col("pieces").alias("row_pieces"), "query_pieces"))
+
+        def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+            """Keep a row in one piece of its own side, next to every piece of the other."""
+            sized = df.select(*[F.col(c).alias(c) for c in (key, *columns, "block")]).join(layout, "block")
+            mine = F.pmod(F.xxhash64(key), F.col(own)).alias(own[:-1])
+            theirs = F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(other[:-1])
+            return sized.select(F.col("block").alias("block"), mine, theirs, key, *columns)
+
+        def best_in_group(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+            if q.empty or r.empty:
+                return pd.DataFrame({key: [], "other": [], "distance": []})
+            r = r.sort_values(key)
+            ids, against = r[key].to_numpy(), r[columns].to_numpy()
+            one_hot = _OneHot(against[:, n_continuous:])
+            encoded = one_hot(against[:, n_continuous:])
+            lengths = (against[:, :n_continuous] ** 2).sum(axis=1)
+            out = []
+            for part in _slabs(q, 512):
+                own, x = part[key].to_numpy(), part[columns].to_numpy()
+                measured = x[:, :n_continuous]
+                d = (measured @ against[:, :n_continuous].T) * -2.0
+                d += (measured**2).sum(axis=1)[:, None]
+                d += lengths
+                agreeing = one_hot(x[:, n_continuous:]) @ encoded.T
+                d += penalty * (len(columns) - n_continuous - agreeing)
+                np.maximum(d, 0.0, out=d)
+                d[own[:, None] == ids[None, :]] = np.inf
+                place = min(k, d.shape[1]) - 1
+                limit = np.partition(d, place, axis=1)[:, place]
+                # Everything up to the k-th distance, ties included, then the first k
+                # of each query by (distance, key): columns are in key order.
+                query, column = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
+                found = d[query, column]
+                order = np.lexsort((column, found, query))
+                query, column, found = query[order], column[order], found[order]
+                first = np.searchsorted(query, query)
+                keep = np.arange(len(query)) - first < k
+                out.append(
+                    pd.DataFrame(
+                        {key: own[query[keep]], "other": ids[column[keep]], "distance": np.sqrt(found[keep])}
+                    )
                 )
-            )
-        return pd.concat(out)
+            return pd.concat(out)
 
-    partial = left.cogroup(right).applyInPandas(
-        best_in_group, f"{key} long, other long, distance double"
-    )
+        groups = ["block", "row_piece", "query_piece"]
+        left = dealt(searches, "query_pieces", "row_pieces").groupBy(*groups)
+        right = dealt(self.placed, "row_pieces", "query_pieces").groupBy(*groups)
+        return left.cogroup(right).applyInPandas(best_in_group, f"{key} long, other long, distance double")
+
+    def compared_pairs(self, searches: DataFrame) -> int:
+        """How many pairs of query and row the searches compare."""
+        found = searches.groupBy("block").count().join(self.blocks, "block")
+        return found.agg(F.coalesce(F.sum(F.col("count") * F.col("n")), F.lit(0))).first()[0]
+
+
+def _slack(limit: np.ndarray) -> np.ndarray:
+    """Distances come from two formulas, whose rounding must not drop a row."""
+    return limit + 1e-6 * (1 + limit)
+
+
+def _certain(far: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
+    """Per row the distance within which k other rows lie for certain: column j has ``n[j]``
+    rows no farther than ``far[:, j]``. The row itself may be one of them."""
+    order = np.argsort(far, axis=1)
+    reached = np.cumsum(n[order], axis=1) >= k + 1
+    first = reached.argmax(axis=1)
+    limit = np.take_along_axis(far, np.take_along_axis(order, first[:, None], 1), 1)[:, 0]
+    return np.where(reached.any(axis=1), limit, np.inf)
+
+
+def known_bounds(found: DataFrame, key: str, k: int) -> DataFrame:
+    """(key, bound): the k-th distance of queries with k or more rows in ``found``, k of each block."""
+    ranked = first_k(found, key, k).groupBy(key).agg(F.max("place").alias("n"), F.max("distance").alias("bound"))
+    return ranked.filter(F.col("n") == k).select(key, "bound")
+
+
+def first_k(found: DataFrame, key: str, k: int) -> DataFrame:
     nearest = Window.partitionBy(key).orderBy("distance", "other")
-    return partial.withColumn("place", F.row_number().over(nearest)).filter(F.col("place") <= k)
+    return found.withColumn("place", F.row_number().over(nearest)).filter(F.col("place") <= k)
+
+
+def nearest_neighbours(
+    rows: DataFrame, queries: DataFrame, key: str, columns: Sequence[str], n_continuous: int,
+    penalty: float, k: int, pivots: int | None = None, block_rows: int = _BLOCK_ROWS,
+) -> DataFrame:
+    """(key, other, distance, place): the k nearest other rows of each query row, exactly.
+
+    First each query, one of the rows, searches the block it lies in; the k-th distance
+    there is its bound in the tree, and only blocks that can hold something as near are
+    searched then (``PivotTree``). Groups send back their k best per query, never all
+    pairs, and no task holds more than about ``block_rows`` rows of either side. Ties go
+    to the smaller key.
+    """
+    tree = PivotTree(rows, key, columns, n_continuous, penalty, k, pivots, block_rows)
+    home = cut(tree.home(queries))
+    own = cut(tree.nearest_in_blocks(home))
+    searches = cut(tree.searches(home, known_bounds(own, key, k)))
+    return first_k(own.unionByName(tree.nearest_in_blocks(searches)), key, k)
 
 
 def _k_places(found: DataFrame, table: DataFrame, k: int) -> DataFrame:

@@ -3,8 +3,8 @@
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import SF_TINY
 from pyspark.sql import functions as F
+from tables import SF_TINY
 
 from surveyspark.operators import compare, counterfactual, explain, model, oversample, report, splits, stats
 from surveyspark.plans import queries as q
@@ -129,23 +129,47 @@ def test_single_class_training_side(matrix):
         compare.fit_and_evaluate(ones, matrix, FEATURES, q.MODEL, "scenario2")
 
 
-@pytest.mark.parametrize("group_rows", [4096, 40])
-def test_nearest_neighbours_equal_brute_force(spark, group_rows):
+def brute_neighbours(x, k, n_continuous, penalty, asked):
+    d = oversample._distances(x, x, n_continuous, penalty)
+    np.fill_diagonal(d, np.inf)
+    return {q: [i for i in np.lexsort((np.arange(len(x)), d[q]))[:k] if np.isfinite(d[q, i])] for q in asked}
+
+
+@pytest.mark.parametrize(("pivots", "block_rows"), [(None, 1024), (1, 60), (6, 40), (90, 1024)])
+def test_nearest_neighbours_equal_brute_force(spark, pivots, block_rows):
     rng = np.random.default_rng(5)
     pdf = pd.DataFrame(rng.integers(0, 4, (400, 4)).astype(float), columns=list("abcd"))
     pdf.loc[:150, "a"] = 1.0  # a crowded corner
     pdf["row_id"] = np.arange(len(pdf))
     df = spark.createDataFrame(pdf)
     got = oversample.nearest_neighbours(
-        df, df.filter("row_id % 3 = 0"), "row_id", list("abcd"), 2, 1.7, 5, pivots=6, group_rows=group_rows
+        df, df.filter("row_id % 3 = 0"), "row_id", list("abcd"), 2, 1.7, 5, pivots=pivots, block_rows=block_rows
     ).toPandas()
-    x = pdf[list("abcd")].to_numpy()
-    d = oversample._distances(x, x, 2, 1.7)
-    np.fill_diagonal(d, np.inf)
-    assert got["row_id"].nunique() == len(pdf[pdf["row_id"] % 3 == 0])
-    for row_id, rows in got.groupby("row_id"):
-        want = np.lexsort((np.arange(len(pdf)), d[row_id]))[:5]
-        assert rows.sort_values("place")["other"].tolist() == want.tolist()
+    want = brute_neighbours(pdf[list("abcd")].to_numpy(), 5, 2, 1.7, range(0, 400, 3))
+    assert {q: rows.sort_values("place")["other"].tolist() for q, rows in got.groupby("row_id")} == want
+
+
+def test_nearest_neighbours_of_few_rows(spark):
+    rows = spark.createDataFrame([(k, float(k * k), 1.0) for k in range(4)], "row_id long, a double, b double")
+    got = oversample.nearest_neighbours(rows, rows, "row_id", ["a", "b"], 1, 1.0, 9).toPandas()
+    assert got.groupby("row_id")["other"].apply(list).tolist() == [[1, 2, 3], [0, 2, 3], [1, 0, 3], [2, 1, 0]]
+
+
+def test_neighbour_search_compares_far_fewer_than_all_pairs(spark):
+    """Four times the rows: all pairs grow by 16, the pairs compared by clearly less."""
+    rng = np.random.default_rng(9)
+
+    def compared(n):
+        x = np.column_stack([rng.random((n, 2)) * 100, rng.integers(0, 3, n)])
+        df = spark.createDataFrame(pd.DataFrame(x, columns=list("abc")).assign(row_id=np.arange(n)))
+        tree = oversample.PivotTree(df, "row_id", list("abc"), 2, 4.0, 5)
+        home = tree.home(df)
+        bounds = oversample.known_bounds(tree.nearest_in_blocks(home), "row_id", 5)
+        return tree.compared_pairs(home) + tree.compared_pairs(tree.searches(home, bounds))
+
+    small, large = compared(2000), compared(8000)
+    assert small < 0.2 * 2000**2 and large < 0.1 * 8000**2
+    assert large < 10 * small
 
 
 def test_oversampling_equalises_and_invents_no_category(spark):
