@@ -767,8 +767,8 @@ def shap_importance(spark, d):
 @query
 def shap_interactions(spark, d):
     train = splits.train_rows(matrix(spark, d))
-    values = explain.shap_interactions(fitted(spark, d), train, MODEL.interaction_pairs, ["region_stratum"])
-    summary = explain.interaction_summary(values, MODEL.interaction_pairs)
+    found = explain.interaction_summary(fitted(spark, d), train, MODEL.interaction_pairs)
+    summary = found.select("pair", F.col("stratum").alias("region_stratum"), "mean", "std", "count")
     codes = recode.category_codes(fx.region_labels(spark, d), "region_stratum")
     return rounded(recode.decode(summary, "region_stratum", codes, "stratum_label"))
 

@@ -1,5 +1,8 @@
 """Trees, SHAP, partial dependence, oversampling and counterfactuals."""
 
+import dataclasses
+import itertools
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -36,41 +39,91 @@ def test_shap_adds_up_to_the_log_odds(matrix, fitted):
     assert np.abs(joined["total"] - joined["margin"]).max() < 1e-9
 
 
-def test_interaction_tables(fitted):
-    tables = explain.leaf_tables(fitted)
-    phi, pair = explain.shapley_tables(tables), explain.interaction_tables(tables)
-    unused = tables.feature < 0
-    full = 2**tables.width - 1
-    # A slot no feature uses is always met and must earn nothing.
-    assert np.abs(phi[:, full][unused]).max(initial=0) < 1e-12
-    assert np.abs(pair[:, full][unused]).max(initial=0) < 1e-12
-    assert np.allclose(pair, pair.transpose(0, 1, 3, 2))
-    # Closed form of a two-feature leaf whose conditions are both met.
-    two = np.nonzero((~unused).sum(axis=1) == 2)[0]
-    for leaf in two:
-        r1, r2 = tables.ratio[leaf, :2]
-        assert pair[leaf, full, 0, 1] == pytest.approx(tables.value[leaf] * (1 - r1) * (1 - r2) / 2)
-
-
-def test_interactions_sum_to_shap_values(matrix, fitted):
-    """Main effects by brute force: phi_i minus its interactions is the effect of
-    i averaged as if it acted alone, so all entries of the matrix sum to phi."""
+def interaction_tables(tables) -> np.ndarray:
+    """leaves x masks x slots x slots: half of each pair's interaction (i != j), by its definition."""
+    d, paid = tables.width, explain._coalition_values(tables)
+    phi = np.zeros((*paid.shape[:2], d, d))
+    for i, j in itertools.combinations(range(d), 2):
+        bi, bj = 1 << i, 1 << j
+        for size, s in explain._subsets([m for m in range(d) if m not in (i, j)]):
+            weight = explain.factorial(size) * explain.factorial(d - size - 2) / (2 * explain.factorial(d - 1))
+            gain = paid[:, :, s | bi | bj] - paid[:, :, s | bi] - paid[:, :, s | bj] + paid[:, :, s]
+            phi[:, :, i, j] += weight * gain
+        phi[:, :, j, i] = phi[:, :, i, j]
+    return phi
+
+
+def random_leaves(rng, n_leaves, depth, n_features):
+    """Leaves with up to ``depth`` different features each, unused slots neutral."""
+    feature = np.full((n_leaves, depth), -1)
+    low, high, ratio = np.full(feature.shape, -np.inf), np.full(feature.shape, np.inf), np.ones(feature.shape)
+    for row in range(n_leaves):
+        used = rng.integers(1, depth + 1)
+        feature[row, :used] = rng.permutation(n_features)[:used]
+        low[row, :used] = rng.normal(-0.5, 0.5, used)
+        high[row, :used] = low[row, :used] + rng.random(used) * 2
+        ratio[row, :used] = rng.uniform(0.05, 0.95, used)
+    return explain.LeafTables(feature, low, high, ratio, rng.normal(size=n_leaves))
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3, 4, 5])
+def test_paths_equal_the_definition(depth):
+    rng = np.random.default_rng(depth)
+    leaf, x = random_leaves(rng, 300, depth, 7), rng.normal(size=(40, 7))
+    by_table = explain.table_shapley(leaf, explain.shapley_tables(leaf), x, 7)
+    assert np.abs(explain.path_shapley(leaf, x, 7) - by_table).max() < 1e-12
+    pairs, table = [(0, 1), (1, 0), (2, 6)], interaction_tables(leaf)
+    mask, wanted = leaf.masks(x, slice(None)), np.zeros((40, 3))
+    for p, (a, b) in enumerate(pairs):
+        for k in range(300):
+            for i, j in itertools.product(*(np.nonzero(leaf.feature[k] == f)[0] for f in (a, b))):
+                wanted[:, p] += table[k, mask[:, k], i, j]
+    assert np.abs(explain.path_interactions(leaf, x, pairs) - wanted).max() < 1e-12
+
+
+def test_paths_of_deep_leaves_add_up():
+    """At depth 10 tables would need 4^10 numbers a leaf; paths need ten."""
+    rng = np.random.default_rng(10)
+    leaf, x = random_leaves(rng, 400, 10, 14), rng.normal(size=(50, 14))
+    margin = leaf.met(x, slice(None)).all(axis=0) @ leaf.value
+    total = explain.path_shapley(leaf, x, 14).sum(axis=1) + leaf.base()
+    assert np.abs(total - margin).max() < 1e-9
+    # Rows of the interaction matrix: a pair's values are symmetric.
+    one, two = explain.path_interactions(leaf, x, [(3, 8), (8, 3)]).T
+    assert np.abs(one - two).max() < 1e-12 and np.abs(one).max() > 0
+
+
+def test_deep_trees_are_explained_by_paths(spark, matrix):
+    """A model of depth 7, whose leaves are too wide for tables."""
+    params = dataclasses.replace(q.MODEL, tree=dataclasses.replace(q.MODEL.tree, trees=3, depth=7))
+    deep = model.fit_trees(splits.train_rows(matrix), FEATURES, params)
+    assert explain.leaf_tables(deep).width > explain._TABLE_WIDTH
+    phi = explain.shap_values(deep, matrix.select(*q.KEY, *FEATURES), q.KEY).toPandas()
+    total = phi["base_value"] + phi[[f"phi_{f}" for f in FEATURES]].sum(axis=1)
+    margins = log_odds(deep, matrix.select(*q.KEY, *FEATURES)).select(*q.KEY, "margin").toPandas()
+    joined = phi[q.KEY].assign(total=total).merge(margins, on=q.KEY)
+    assert np.abs(joined["total"] - joined["margin"]).max() < 1e-6
+
+
+@pytest.mark.parametrize("measure", ["interaction", "attribution"])
+def test_interaction_moments_equal_those_of_the_rows(matrix, fitted, measure):
     tables = explain.leaf_tables(fitted)
-    x = np.array([list(r) for r in matrix.select(*[F.col(f).cast("double") for f in FEATURES]).limit(20).collect()])
-    phi, pair = explain.shapley_tables(tables), explain.interaction_tables(tables)
-    mask = tables.masks(x, slice(0, len(tables.value)))
-    paid = explain._coalition_values(tables)
-    rows = np.arange(len(tables.value))
-    for slot in range(tables.width):
-        # Main effect of one player from the interaction index definition.
-        alone = phi[rows, mask, slot] - pair[rows, mask, slot].sum(axis=-1)
-        others = [i for i in range(tables.width) if i != slot]
-        total = np.zeros_like(alone)
-        for size, s in explain._subsets(others):
-            weight = 1.0 / (tables.width * explain.factorial(tables.width - 1) / (explain.factorial(size) * explain.factorial(tables.width - 1 - size)))
-            total += weight * (paid[rows, mask, s | 1 << slot] - paid[rows, mask, s])
-        assert np.allclose(total, phi[rows, mask, slot])
-        assert np.isfinite(alone).all()
+    others = [f for k, f in enumerate(FEATURES) if f != "m14" and len(tables.having(FEATURES.index("m14"), k).value)]
+    pairs = [("m14", others[0]), ("m14", others[-1]), ("m14", "gone")]
+    got = explain.interaction_summary(fitted, matrix.repartition(7), pairs, measure).toPandas()
+    if measure == "interaction":
+        rows = explain.shap_interactions(fitted, matrix, pairs, ["m14"]).toPandas()
+        column = "phi_m14_x_{}".format
+    else:
+        rows = explain.shap_values(fitted, matrix, ["m14"]).toPandas()
+        column = "phi_{}".format
+    for other in {others[0], others[-1]}:
+        want = rows.groupby("m14")[column(other)].agg(["mean", "std", "count"])
+        have = got[got["pair"] == f"m14_x_{other}"].set_index("stratum").sort_index()
+        assert have["count"].tolist() == want["count"].tolist() and want["mean"].abs().max() > 0
+        assert np.allclose(have[["mean", "std"]], want[["mean", "std"]], atol=1e-12, equal_nan=True)
+    with pytest.raises(ValueError, match="unknown measure"):
+        explain.interaction_summary(fitted, matrix, pairs, "other")
 
 
 def test_partial_dependence_equals_scoring_changed_rows(matrix, fitted):
