@@ -14,7 +14,6 @@ decoder (tokens are joined by one space). Added tokens are found in the raw text
 from __future__ import annotations
 
 import heapq
-import itertools
 import json
 import re
 import unicodedata
@@ -27,9 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import documents
 
-SLICE_CHARS = 8_000_000  # text worked on at once
-MEMORY = 400_000  # pre-tokens remembered by a task before it starts afresh
-BATCH_CHARS = 2_000_000  # text handed back at once
+SLICE_CHARS = 2_000_000  # text worked on and handed back at once
+MEMORY = 400_000  # pre-tokens remembered by a task before it starts afresh ...
+MEMORY_CHARS = 4_000_000  # ... and their length
 
 
 def byte_alphabet() -> list[str]:
@@ -215,6 +214,42 @@ def slices(batches, chars: int = SLICE_CHARS):
                 lo, size = hi + 1, 0
 
 
+class Remembered:
+    """Token ids of the pre-tokens met so far, one after the other in one array."""
+
+    def __init__(self, bpe: WordBpe):
+        self._bpe = bpe
+        self._forget()
+
+    def _forget(self) -> None:
+        added = self._bpe.added
+        self.place = dict(zip(added, range(len(added))))
+        self._tokens = np.fromiter(added.values(), np.int32, len(added))
+        self._stops = np.arange(len(added) + 1)
+        self._chars = 0
+
+    def learn(self, words: set[str]) -> None:
+        fresh = [w for w in words if w not in self.place]
+        chars = sum(map(len, fresh))
+        if len(self.place) + len(fresh) > MEMORY or self._chars + chars > MEMORY_CHARS:
+            self._forget()
+            fresh = [w for w in words if w not in self.place]
+            chars = sum(map(len, fresh))
+        tokens, counts = self._bpe.encode_words(fresh)
+        self.place.update(zip(fresh, range(len(self.place), len(self.place) + len(fresh))))
+        self._stops = np.concatenate([self._stops, self._stops[-1] + np.cumsum(counts)])
+        self._tokens = np.concatenate([self._tokens, tokens])
+        self._chars += chars
+
+    def tokens(self, words: list[str]) -> np.ndarray:
+        """Ids of all the words in order."""
+        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        starts, counts = self._stops[at], self._stops[at + 1] - self._stops[at]
+        ends = np.cumsum(counts)
+        total = int(ends[-1]) if len(ends) else 0
+        return self._tokens[np.arange(total) + np.repeat(starts - (ends - counts), counts)]
+
+
 def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, ids (token ids of the whole text) and decoded (their text again), per row.
 
@@ -230,33 +265,17 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def run(batches):
         bpe = WordBpe(source, newer)
-        fixed = {t: ((i,), t) for t, i in bpe.added.items()}
-        known = dict(fixed)
+        names, known = bpe.names, Remembered(bpe)
         for ids, texts in slices(batches):
             split = [bpe.pretokens(t) for t in texts]
-            fresh = list(set(itertools.chain.from_iterable(split)).difference(known))
-            if len(known) + len(fresh) > MEMORY:
-                known = dict(fixed)
-                fresh = list(set(itertools.chain.from_iterable(split)).difference(known))
-            tokens, counts = bpe.encode_words(fresh)
-            tokens, hi = tokens.tolist(), 0
-            for word, n in zip(fresh, counts.tolist()):
-                own = tuple(tokens[hi : hi + n])
-                known[word] = own, " ".join([bpe.names[i] for i in own])
-                hi += n
-            lo = size = 0
-            for k, text in enumerate(texts):
-                size += len(text)
-                if size >= BATCH_CHARS or k + 1 == len(texts):
-                    found = [[known[w] for w in words] for words in split[lo : k + 1]]
-                    flat = [np.fromiter(itertools.chain.from_iterable([a for a, _ in doc]), np.int32) for doc in found]
-                    offsets = np.cumsum([0, *map(len, flat)]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(ids[lo : k + 1], pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat))),
-                        pa.array([" ".join([b for _, b in doc]) for doc in found], pa.string()),
-                    ], ["doc_id", "ids", "decoded"])
-                    lo, size = k + 1, 0
+            known.learn(set().union(*split))
+            found = [known.tokens(doc) for doc in split]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(ids, pa.int64()),
+                pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), pa.array(np.concatenate(found))),
+                pa.array([" ".join([names[i] for i in doc.tolist()]) for doc in found], pa.string()),
+            ], ["doc_id", "ids", "decoded"])
 
     return documents(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
