@@ -162,10 +162,12 @@ def test_bootstrap_draws_every_slot(spark):
 
 
 @pytest.mark.parametrize("distinct", [True, False])
-@pytest.mark.parametrize("limits", [{}, {"bucket_rows": 20, "draw_bytes": 700}])
-def test_bootstrap_equals_copied_rows(spark, distinct, limits):
+@pytest.mark.parametrize("limits", [{}, {"bucket_rows": 20, "block_replicates": 4}])
+@pytest.mark.parametrize("buckets", [2000, 5])
+def test_bootstrap_equals_copied_rows(spark, distinct, limits, buckets, monkeypatch):
     """Every replicate equals the metrics of rows copied as often as their cluster was drawn;
     all scores distinct, and ties across many clusters and buckets."""
+    monkeypatch.setattr(bootstrap, "_MOST_BUCKETS", buckets)
     rng = np.random.default_rng(11)
     n = 400
     proba = rng.random(n) if distinct else rng.integers(0, 6, n) / 5
@@ -180,3 +182,20 @@ def test_bootstrap_equals_copied_rows(spark, distinct, limits):
     histogram = metrics.score_histogram(copied, ["b", "g"])
     want = metrics.statistic_vector(histogram, ["b"], ["g"]).toPandas().sort_values("b")
     pd.testing.assert_frame_equal(got.reset_index(drop=True), want.reset_index(drop=True), check_dtype=False, rtol=1e-9)
+
+
+def test_bootstrap_of_many_clusters(spark):
+    """100,000 clusters: nothing of their number goes through the driver or a broadcast."""
+    n = 100_000
+    df = spark.range(4 * n).select(
+        F.pmod("id", F.lit(n)).alias("v021"), (F.xxhash64("id", F.lit(1)) % 2 == 0).cast("int").alias("y"),
+        (F.pmod(F.xxhash64("id", F.lit(2)), F.lit(100_003)) / 100_003).alias("proba"), F.lit("a").alias("g"),
+    )
+    got = bootstrap.bootstrap_statistics(df, "v021", ["g"], 6, 42).toPandas()
+    assert sorted(got["b"]) == list(range(6))
+    assert got["roc_auc"].between(0.49, 0.51).all() and got["brier_score"].between(0.32, 0.35).all()
+    draws = bootstrap.cluster_draws(df, "v021", 6, 42)
+    copied = df.join(draws, "v021").select("g", "y", "proba", F.explode("replicates").alias("b"))
+    want = metrics.statistic_vector(metrics.score_histogram(copied, ["b", "g"]), ["b"], ["g"]).toPandas()
+    pd.testing.assert_frame_equal(
+        got.sort_values("b").reset_index(drop=True), want.sort_values("b").reset_index(drop=True), check_dtype=False, rtol=1e-9)
