@@ -818,6 +818,18 @@ def counterfactuals(spark, d):
     return rounded(_counterfactuals(spark, d))
 
 
+def _cell_counterfactuals(spark, d) -> DataFrame:
+    train, fit = splits.train_rows(matrix(spark, d)), fitted(spark, d)
+    asked = splits.stratum_sample(train, "region_stratum", "sba", KEY, 3, MODEL.seed)
+    return counterfactual.cell_search(fit, asked, train, KEY, MODEL.mutable, MODEL.counterfactuals, VISIT_RANGE)
+
+
+@query
+def counterfactual_cells(spark, d):
+    """The same search with real values: the nearest points of the cells between thresholds."""
+    return rounded(_cell_counterfactuals(spark, d))
+
+
 @query
 def cf_validity(spark, d):
     train = splits.train_rows(matrix(spark, d))

@@ -63,7 +63,7 @@ def random_leaves(rng, n_leaves, depth, n_features):
         low[row, :used] = rng.normal(-0.5, 0.5, used)
         high[row, :used] = low[row, :used] + rng.random(used) * 2
         ratio[row, :used] = rng.uniform(0.05, 0.95, used)
-    return explain.LeafTables(feature, low, high, ratio, rng.normal(size=n_leaves))
+    return explain.LeafTables(feature, low, high, ratio, rng.normal(size=n_leaves), np.zeros(n_leaves, int))
 
 
 @pytest.mark.parametrize("depth", [1, 2, 3, 4, 5])
@@ -309,6 +309,95 @@ def test_counterfactual_search_is_complete(spark):
         assert have == sorted(flips)[:4]
 
 
+def random_trees(rng, n_trees, depth, n_features):
+    """Leaves of complete trees whose thresholds are real numbers."""
+    leaves = []
+
+    def grow(path, level, tree):
+        if level == depth:
+            leaves.append((dict(path), rng.normal(), tree))
+            return
+        f, cut = int(rng.integers(0, n_features)), float(rng.normal())
+        low, high = path.get(f, (-np.inf, np.inf))
+        grow({**path, f: (low, min(high, cut))}, level + 1, tree)
+        grow({**path, f: (max(low, cut), high)}, level + 1, tree)
+
+    for tree in range(n_trees):
+        grow({}, 0, tree)
+    feature = np.full((len(leaves), depth), -1)
+    low, high = np.full(feature.shape, -np.inf), np.full(feature.shape, np.inf)
+    for row, (path, _, _) in enumerate(leaves):
+        for slot, (f, (lo, hi)) in enumerate(path.items()):
+            feature[row, slot], low[row, slot], high[row, slot] = f, lo, hi
+    return explain.LeafTables(feature, low, high, np.ones(feature.shape),
+                              np.array([v for _, v, _ in leaves]), np.array([t for _, _, t in leaves]))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_nearest_flips_equal_brute_force_over_cells(seed):
+    """Every combination of cells, the nearest point of each; feature 3 is a category, 4 fixed."""
+    rng = np.random.default_rng(seed)
+    leaf = random_trees(rng, 3, 3, 5)
+    thresholds = np.concatenate([leaf.low, leaf.high], axis=1)
+    owner = np.concatenate([leaf.feature, leaf.feature], axis=1)
+    for _ in range(5):
+        x = rng.normal(size=5)
+        x[3] = rng.integers(0, 3)
+        options = {}
+        for f in range(3):
+            cells = counterfactual.cells_between(thresholds[(owner == f) & np.isfinite(thresholds)], -2.0, 2.0)
+            points = counterfactual.cell_points(cells, x[f])
+            options[f] = points, np.abs(points - x[f]) / 4.0
+        options[3] = (points := np.array([v for v in (0.0, 1.0, 2.0) if v != x[3]])), np.abs(points - x[3]) / 2.0
+        options = {f: (p[o], a[o]) for f, (p, a) in options.items() for o in [np.lexsort((p, a))]}
+        margin = lambda row: leaf.met(row[None], slice(None)).all(axis=0)[0] @ leaf.value
+        was = margin(x) >= 0
+        flips = []
+        for point in itertools.product(*[[x[f], *options[f][0]] for f in range(4)]):
+            row = np.array([*point, x[4]])
+            changed = [f for f in range(4) if row[f] != x[f]]
+            if changed and (margin(row) >= 0) != was:
+                moved = sum(abs(row[f] - x[f]) / (2.0 if f == 3 else 4.0) for f in changed)
+                flips.append((len(changed), round(moved, 9), point))
+        for batch in (1, 256):
+            got = counterfactual.nearest_flips(leaf, x, options, 6, 0.0, batch)
+            assert [(n, round(d, 9), tuple(row[:4])) for n, d, _, row in got] == sorted(flips)[:6]
+            # Real values: nothing between the row and the found point flips by this one change.
+            for n, _, _, row in got:
+                if n == 1:
+                    f = int(np.flatnonzero(row != x)[0])
+                    if f < 3:
+                        between = np.repeat(x[None], 50, axis=0)
+                        between[:, f] = np.linspace(x[f], row[f], 50)
+                        same = (leaf.met(between[:-1], slice(None)).all(axis=0) @ leaf.value >= 0) == was
+                        assert same.all() or any(d < abs(row[f] - x[f]) / 4.0 for m, d, _, _ in got if m == 1)
+
+
+def test_cells_end_at_thresholds():
+    cells = counterfactual.cells_between(np.array([1.0, 3.0, 9.0]), 0.0, 5.0)
+    assert cells.tolist() == [[0.0, 1.0], [np.nextafter(1.0, 2), 3.0], [np.nextafter(3.0, 4), 5.0]]
+    assert counterfactual.cell_points(cells, 1.0).tolist() == [np.nextafter(1.0, 2), np.nextafter(3.0, 4)]
+    assert counterfactual.cell_points(cells, 4.0).tolist() == [1.0, 3.0]
+    assert counterfactual.cell_points(cells, 7.0).tolist() == [1.0, 3.0, 5.0]
+    assert counterfactual.cells_between(np.array([]), 2.0, 2.0).tolist() == [[2.0, 2.0]]
+
+
+def test_cell_search_agrees_with_the_grid(spark, matrix, fitted):
+    """Thresholds of whole-number features lie on the grid: the nearest flip of the cells is as
+    near as the grid's, but for the half step that a whole number is past a threshold."""
+    got = q.QUERIES["counterfactual_cells"](spark, SF_TINY).toPandas()
+    grid = q.QUERIES["counterfactuals"](spark, SF_TINY).toPandas()
+    assert (got["proba"] >= 0).all() and set(map(tuple, got[q.KEY].values)) == set(map(tuple, grid[q.KEY].values))
+    first, other = (t[t["cf_rank"] == 1].set_index(q.KEY).sort_index() for t in (got, grid))
+    assert (first["n_changed"] == other["n_changed"]).all()
+    assert (first["distance"] <= other["distance"] + 1e-6).all()
+    origin = model.score(fitted, matrix).toPandas().set_index(q.KEY)["proba"]
+    rescored = model.score(fitted, q._cell_counterfactuals(spark, SF_TINY).withColumnRenamed("proba", "claimed"))
+    for row in rescored.toPandas().itertuples():
+        assert row.proba == pytest.approx(row.claimed, abs=1e-9)
+        assert (row.proba >= 0.5) != (origin.loc[(row.caseid, row.bidx)] >= 0.5)
+
+
 def test_in_distribution_keeps_training_rows(matrix):
     profile = counterfactual.Profile.collect(stats.column_profile(matrix, FEATURES))
     assert counterfactual.in_distribution(matrix, profile, FEATURES).count() == matrix.count()
