@@ -23,7 +23,7 @@ from surveyspark.functions.checkpoints import cut, staged
 from surveyspark.operators.explain import LeafTables, leaf_tables
 from surveyspark.operators.model import model_features
 from surveyspark.operators.quality import complete_case
-from surveyspark.operators.stats import column_profile
+from surveyspark.operators.stats import training_profile
 
 
 class Profile(dict):
@@ -160,7 +160,7 @@ def counterfactual_search(
     all with two, and so on, and a query leaves once it has ``per_query`` of them.
     ``score`` adds a ``proba`` column; ``key`` names a query row.
     """
-    profile = Profile.collect(column_profile(train, features))
+    profile = Profile.collect(training_profile(train, features))
     usable = in_distribution(complete_case(queries, features, "queries"), profile, features)
     waiting = cut(score(usable).withColumn("_was", F.col("proba") >= threshold).drop("proba"))
     found: DataFrame | None = None
@@ -296,7 +296,7 @@ def cell_search(
     task, best first; the model and the profile are all that is shipped.
     """
     features = model_features(model)
-    profile = Profile.collect(column_profile(train, features))
+    profile = Profile.collect(training_profile(train, features))
     usable = in_distribution(complete_case(queries, features, "queries"), profile, features)
     leaf = leaf_tables(model)
     thresholds = np.concatenate([leaf.low, leaf.high], axis=1)

@@ -53,13 +53,26 @@ def with_class_weight(df: DataFrame, y: str, name: str = _WEIGHT) -> DataFrame:
     return df.withColumn(name, F.when(F.col(y) == 1, ratio.scalar()).otherwise(1.0))
 
 
+def fixed_layout(rows: DataFrame, keys: Sequence[str], partitions: int) -> DataFrame:
+    """The rows dealt by a hash of ``keys`` and sorted inside each partition.
+
+    Row sampling in training draws by partition and position, so a fit repeats only on
+    equal layouts: this one depends on the rows and the number of partitions alone.
+    ``keys`` should name a row, or rows that share them meet in one partition.
+    """
+    spot = F.xxhash64(*keys)
+    dealt = rows.withColumn("_spot", spot).repartition(partitions, "_spot")
+    return dealt.sortWithinPartitions("_spot", *rows.columns).drop("_spot")
+
+
 def fit_trees(
     train: DataFrame, features: Sequence[str], p: SurveyParams, method: str | None = None
 ) -> PipelineModel:
     """Fit on ``train`` with the configured handling of class imbalance.
 
     ``class_weight`` weights rows, ``smote`` adds synthetic minority rows, and
-    ``none`` does neither. All of it sees the training rows only.
+    ``none`` does neither. All of it sees the training rows only. Equal rows give equal
+    fits, whatever layout they come in.
     """
     # Boosting chains each round's predictions onto the last. The chain is cut by
     # checkpoints, so their folder must be known before fitting.
@@ -69,13 +82,19 @@ def fit_trees(
     ensure_checkpoint_dir(train.sparkSession)
     y = p.outcome
     complete = assert_no_nulls(train, [*features, y], "training rows")
-    rows = complete.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(y).cast("double").alias(y))
+    named = [F.col(k).alias(f"_key_{k}") for k in p.birth_key if k in train.columns]
+    numbers = [*[F.col(f).cast("double").alias(f) for f in features], F.col(y).cast("double").alias(y)]
+    rows = complete.select(*numbers, *named)
     weight = None
     if method == "smote":
         # Boosting reads its input several times: the neighbour search runs once.
         rows = cut(smotenc(rows, features, y, p.smote_continuous, p.smote_neighbours, p.seed))
+        named = []
     elif method == "class_weight":
         rows, weight = with_class_weight(rows, y), _WEIGHT
+    partitions = p.tree.partitions or int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [f"_key_{k}" for k in p.birth_key if k in train.columns] if named else [*features, y]
+    rows = fixed_layout(rows, keys, partitions)
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
     assembled = assembler.transform(rows).select("features", y, *([weight] if weight else []))
     model = tree_classifier(p.tree, p.seed, y, weight).fit(assembled)

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from surveyspark.sources.extracts import require_columns
@@ -73,16 +73,18 @@ def complete_case_counts(df: DataFrame, required: Sequence[str], what: str = "ta
     return counts.withColumn("n_removed", F.col("n_before") - F.col("n_kept"))
 
 
-def guarded_complete_case(df: DataFrame, required: Sequence[str], what: str) -> DataFrame:
+def guarded_complete_case(
+    df: DataFrame, required: Sequence[str], what: str, guard: DataFrame | None = None
+) -> DataFrame:
     """Complete-case filter that fails the job if it would remove every row.
 
     The guard is a scalar subquery over the null flags of the required columns,
-    so the filter itself stays lazy.
+    so the filter itself stays lazy. It reads ``guard``, the same rows, if given.
     """
     everything_lost = F.raise_error(
         F.lit(f"{what}: complete-case filtering removed ALL rows")
     ).cast("boolean")
-    verdict = complete_case_counts(df, required, what).select(
+    verdict = complete_case_counts(df if guard is None else guard, required, what).select(
         F.when((F.col("n_before") > 0) & (F.col("n_kept") == 0), everything_lost).otherwise(True)
     )
     # Filtering the whole input (not the survivors) makes the guard run even
@@ -142,17 +144,17 @@ def assert_no_nulls(df: DataFrame, columns: Sequence[str], what: str = "model ma
     return df.filter(F.when(all_present(columns), True).otherwise(problem))
 
 
-def stage_funnel(df: DataFrame, stages: Sequence[tuple[str, Column]]) -> DataFrame:
-    """Rows surviving each successive filter, counted in one pass.
-
-    Each stage is (name, condition); a row reaches a stage only if it passed
-    all earlier ones. A null condition counts as not passed.
-    """
+def _funnel_counts(stages: Sequence[tuple[str, Column]]) -> list[Column]:
+    """n_0, n_1, ...: rows in all, and rows that passed the first 1, 2, ... stages."""
     passed = F.lit(True)
     counts = [F.count(F.lit(1)).alias("n_0")]
     for i, (_, condition) in enumerate(stages, start=1):
         passed = passed & F.coalesce(condition, F.lit(False))
         counts.append(F.count_if(passed).alias(f"n_{i}"))
+    return counts
+
+
+def _funnel_table(row: DataFrame, names: Sequence[str]) -> DataFrame:
     entries = [
         F.struct(
             F.lit(i).alias("step"),
@@ -160,13 +162,39 @@ def stage_funnel(df: DataFrame, stages: Sequence[tuple[str, Column]]) -> DataFra
             F.col(f"n_{i - 1}").alias("n_before"),
             F.col(f"n_{i}").alias("n_after"),
         )
-        for i, (name, _) in enumerate(stages, start=1)
+        for i, name in enumerate(names, start=1)
     ]
-    return (
-        df.agg(*counts)
-        .select(F.inline(F.array(*entries)))
-        .withColumn("n_dropped", F.col("n_before") - F.col("n_after"))
-    )
+    return row.select(F.inline(F.array(*entries))).withColumn("n_dropped", F.col("n_before") - F.col("n_after"))
+
+
+def stage_funnel(df: DataFrame, stages: Sequence[tuple[str, Column]]) -> DataFrame:
+    """Rows surviving each successive filter, counted in one pass.
+
+    Each stage is (name, condition); a row reaches a stage only if it passed
+    all earlier ones. A null condition counts as not passed.
+    """
+    return _funnel_table(df.agg(*_funnel_counts(stages)), [name for name, _ in stages])
+
+
+class Funnel:
+    """The same counts, observed while a job reads the rows anyway.
+
+    ``watch`` marks the rows; whatever action first runs on them fills the counts, and
+    ``table`` waits for it. Filters above the mark are not pushed below it.
+    """
+
+    def __init__(self, name: str):
+        self._observation = Observation(f"funnel of {name}")
+        self._names: list[str] = []
+
+    def watch(self, df: DataFrame, stages: Sequence[tuple[str, Column]]) -> DataFrame:
+        self._names = [name for name, _ in stages]
+        return df.observe(self._observation, *_funnel_counts(stages))
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        counts = self._observation.get
+        row = spark.createDataFrame([tuple(counts.values())], ", ".join(f"{n} long" for n in counts))
+        return _funnel_table(row, self._names)
 
 
 def label_collisions(codebook: DataFrame) -> DataFrame:

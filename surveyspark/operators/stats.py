@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from surveyspark.functions.checkpoints import cut
+
 
 def prevalence(df: DataFrame, outcome: str) -> DataFrame:
     """Valid n and unweighted prevalence of a nullable 0/1 outcome."""
@@ -113,39 +117,80 @@ def spread(df: DataFrame, group: str, value: str) -> DataFrame:
     )
 
 
-def column_profile(
+def value_states(df: DataFrame, columns: Sequence[str], whole: Sequence[str], limit: int) -> DataFrame:
+    """(column, low, high, values) of each task: its extremes and its ``limit`` + 1 smallest
+    distinct values, of the columns in ``whole`` all of them. Nulls do not count; NaN counts
+    as the largest value."""
+    columns, whole = list(columns), set(whole)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        ends: dict[str, tuple[float, float]] = {}
+        for batch in batches:
+            for name, column in zip(columns, batch.columns):
+                found = np.unique(column.drop_null().to_numpy(zero_copy_only=False))  # NaN comes last
+                if not len(found):
+                    continue
+                if name in held:
+                    low, high = ends[name]
+                    ends[name] = np.fmin(low, found[0]), found[-1] if np.isnan(found[-1]) else np.maximum(high, found[-1])
+                    found = np.unique(np.concatenate([held[name], found]))
+                else:
+                    ends[name] = found[0], found[-1]
+                held[name] = found if name in whole else found[: limit + 1]
+        names = list(held)
+        yield pa.RecordBatch.from_arrays([
+            pa.array(names, pa.string()), pa.array([ends[n][0] for n in names], pa.float64(), from_pandas=False),
+            pa.array([ends[n][1] for n in names], pa.float64(), from_pandas=False),
+            pa.array([held[n].tolist() for n in names], pa.list_(pa.float64())),
+        ], ["column", "low", "high", "values"])
+
+    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    return numbers.mapInArrow(run, "column string, low double, high double, values array<double>")
+
+
+def training_profile(
     df: DataFrame, columns: Sequence[str], never_continuous: Sequence[str] = ("region_stratum",),
     distinct_limit: int = 10,
 ) -> DataFrame:
-    """Per column: min, max, number of distinct values, and whether it counts as
-    continuous (more than ``distinct_limit`` values, and not a declared category).
+    """Per column: min, max, whether it counts as continuous (more than
+    ``distinct_limit`` values, and not a declared category), and the values of a
+    categorical column.
 
-    The table is first unpivoted inside each task and reduced to (column, value)
-    pairs on the map side, so every column is profiled by one shuffle of its
-    distinct values. ``values`` lists the categories of a categorical column and
-    is null for a continuous one.
+    Tasks keep a bounded state per column, so a continuous column's values are never
+    shuffled: a column with more distinct values than the limit in all has more than it
+    in some task, or in what the tasks kept.
     """
-    pairs = F.array(
-        *[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]
-    )
-    distinct = df.select(F.inline(pairs)).filter(F.col("value").isNotNull()).distinct()
-    summary = distinct.groupBy("column").agg(
-        F.min("value").alias("min_value"),
-        F.max("value").alias("max_value"),
-        F.count(F.lit(1)).alias("n_distinct"),
-    )
-    is_category = F.col("column").isin(list(never_continuous))
-    summary = summary.withColumn(
-        "is_continuous", (F.col("n_distinct") > distinct_limit) & ~is_category
+    states = value_states(df, columns, never_continuous, distinct_limit)
+    ends = states.groupBy("column").agg(F.min("low").alias("min_value"), F.max("high").alias("max_value"))
+    distinct = states.select("column", F.explode("values").alias("value")).distinct()
+    listed = distinct.groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("values"))
+    continuous = (F.size("values") > distinct_limit) & ~F.col("column").isin(list(never_continuous))
+    return ends.join(listed, "column").select(
+        "column", "min_value", "max_value", continuous.alias("is_continuous"),
+        F.when(~continuous, F.col("values")).alias("values"),
     )
-    # Only categorical columns are gathered, so no list outgrows the limit
-    # except that of a declared category.
-    lists = (
-        distinct.join(summary.filter(~F.col("is_continuous")).select("column"), "column", "left_semi")
-        .groupBy("column")
-        .agg(F.sort_array(F.collect_list("value")).alias("values"))
-    )
-    return summary.join(lists, "column", "left")
+
+
+def column_profile(
+    df: DataFrame, columns: Sequence[str], never_continuous: Sequence[str] = ("region_stratum",),
+    distinct_limit: int = 10,
+) -> DataFrame:
+    """The training profile and the exact number of distinct values of each column.
+
+    Only for reports: counting a continuous column's values shuffles them. Searches and
+    filters use ``training_profile``.
+    """
+    profile = cut(training_profile(df, columns, never_continuous, distinct_limit))
+    many = [r[0] for r in profile.filter("is_continuous").select("column").collect()]  # names of columns
+    if not many:
+        return profile.withColumn("n_distinct", F.size("values").cast("long"))
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in many])
+    values = df.select(F.inline(pairs)).filter(F.col("value").isNotNull()).distinct()
+    counted = values.groupBy("column").agg(F.count(F.lit(1)).alias("n"))
+    return profile.join(counted, "column", "left").withColumn(
+        "n_distinct", F.coalesce("n", F.size("values").cast("long"))
+    ).drop("n")
 
 
 def fold_mean(df: DataFrame, value: str) -> DataFrame:

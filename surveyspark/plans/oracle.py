@@ -326,6 +326,16 @@ ORACLE: dict[str, str] = {
         "UNION ALL SELECT 2, 'complete', (SELECT count(*) FROM births WHERE m14 IS NULL OR m14 <= 20), (SELECT count(*) FROM clean_births) "
         "UNION ALL SELECT 3, 'eligible', (SELECT count(*) FROM clean_births), (SELECT count(*) FROM clean_births WHERE b19 <= 59))"
     ),
+    "observed_funnel": _with(
+        "SELECT step, stage, n_before, n_after, n_before - n_after AS n_dropped FROM ("
+        "SELECT 1 AS step, 'plausible' AS stage, (SELECT count(*) FROM births) AS n_before, "
+        "(SELECT count(*) FROM births WHERE m14 IS NULL OR m14 <= 20) AS n_after "
+        "UNION ALL SELECT 2, 'complete', (SELECT count(*) FROM births WHERE m14 IS NULL OR m14 <= 20), (SELECT count(*) FROM clean_births) "
+        "UNION ALL SELECT 3, 'eligible', (SELECT count(*) FROM clean_births), (SELECT count(*) FROM clean_births WHERE b19 <= 59))"
+    ),
+    "stage_reuse": _with(" UNION ALL ".join(
+        f"SELECT survey_year, v190, count(*) AS n, {run} AS run FROM women WHERE survey_year = {year} GROUP BY survey_year, v190"
+        for run, year in enumerate((2024, 2024, 2016)))),
     "label_collisions": _with(
         "SELECT region_stratum AS label, count(DISTINCT code) AS n_codes, string_agg(CAST(code AS VARCHAR), ',' ORDER BY CAST(code AS VARCHAR)) AS codes "
         "FROM region_labels GROUP BY region_stratum HAVING count(DISTINCT code) > 1"

@@ -35,7 +35,7 @@ from surveyspark.params import (
 )
 from surveyspark.plans import fixtures as fx
 from surveyspark.plans import rounds
-from surveyspark.sources import extracts
+from surveyspark.sources import extracts, stages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -103,14 +103,18 @@ def _once(spark: SparkSession, d: str, name: str, build: Callable[[], object]):
 
 
 def matrix(spark: SparkSession, d: str) -> DataFrame:
-    """The complete-case model matrix, written once: a checkpoint also ends the
+    """The complete-case model matrix, written once: a stage also ends the
     long cleaning lineage for the many jobs that training runs on it."""
     def build() -> DataFrame:
         coded = rounds.round_matrix(featured(spark, d, MODEL), MODEL)
         # What this leaves out is counted by ``training_rejects``.
-        return cut(quality.complete_case(coded, MODEL.features, "model matrix"))
+        return quality.complete_case(coded, MODEL.features, "model matrix")
 
-    return _once(spark, d, "matrix", build)
+    def stage() -> DataFrame:
+        store = stages.StageStore(spark, stage_path(spark, "stages"))
+        return store.once("matrix", build, {"data": d, "round": MODEL.survey_year, "features": MODEL.features})
+
+    return _once(spark, d, "matrix", stage)
 
 
 def fitted(spark: SparkSession, d: str):
@@ -215,6 +219,18 @@ def stage_funnel(spark, d):
     )
 
 
+@query
+def observed_funnel(spark, d):
+    """The same counts, read off the run that builds the model matrix."""
+    funnel = quality.Funnel("births")
+    births = fx.births(spark, d)
+    matrix = rounds.round_matrix(
+        rounds.featured_round(births, fx.women(spark, d), P, fx.region_labels(spark, d), funnel), P
+    )
+    cut(matrix)
+    return funnel.table(spark)
+
+
 @query
 def label_collisions(spark, d):
     labels = fx.region_labels(spark, d)
@@ -532,21 +548,21 @@ def column_profile(spark, d):
 @query
 def in_distribution(spark, d):
     asked, train = _profile_sides(spark, d)
-    profile = counterfactual.Profile.collect(stats.column_profile(train, PROFILED))
+    profile = counterfactual.Profile.collect(stats.training_profile(train, PROFILED))
     return counterfactual.in_distribution(asked, profile, PROFILED).select(*KEY, "bord", "b19")
 
 
 @query
 def out_of_distribution_counts(spark, d):
     asked, train = _profile_sides(spark, d)
-    profile = counterfactual.Profile.collect(stats.column_profile(train, PROFILED))
+    profile = counterfactual.Profile.collect(stats.training_profile(train, PROFILED))
     return counterfactual.out_of_distribution_counts(asked, profile, PROFILED)
 
 
 @query
 def permitted_range(spark, d):
     _, train = _profile_sides(spark, d)
-    profile = stats.column_profile(train, PROFILED)
+    profile = stats.training_profile(train, PROFILED)
     return counterfactual.permitted_range(profile, ("m14", "b19", "v467b"), VISIT_RANGE)
 
 
@@ -559,7 +575,7 @@ def counterfactual_grid(spark, d):
     births, train = _profile_sides(spark, d)
     derived = recode.with_outcome(births, P.attendants, P.attendant_target, "sba")
     asked = splits.stratum_sample(derived, "v022", "sba", KEY, 3, P.seed).select(*KEY, *GRID)
-    profile = counterfactual.Profile.collect(stats.column_profile(train, GRID))
+    profile = counterfactual.Profile.collect(stats.training_profile(train, GRID))
     varied = stats.union_all(
         [counterfactual.variations(asked, profile, GRID, n, VISIT_RANGE) for n in (1, 2, 3)]
     )
@@ -833,7 +849,7 @@ def counterfactual_cells(spark, d):
 @query
 def cf_validity(spark, d):
     train = splits.train_rows(matrix(spark, d))
-    profile = counterfactual.Profile.collect(stats.column_profile(train, MODEL.features))
+    profile = counterfactual.Profile.collect(stats.training_profile(train, MODEL.features))
     return rounded(counterfactual.validity_rate(_counterfactuals(spark, d), profile, MODEL.features))
 
 
@@ -884,6 +900,22 @@ def checkpoint_roundtrip(spark, d):
     )
 
 
+@query
+def stage_reuse(spark, d):
+    """A stage built once, read again for the same inputs, built anew for others, removed."""
+    with stages.StageStore(spark, stage_path(spark, "reuse")) as store:
+        counts = []
+        for year in (2024, 2024, 2016):
+            def build(year=year):
+                women = fx.women(spark, d).filter(F.col("survey_year") == year)
+                return women.groupBy("v024", "v190").agg(F.count(F.lit(1)).alias("n"), F.lit(year).alias("survey_year"))
+
+            # The second time another year would be built, if it were not the same input.
+            stage = store.once("women", build if len(counts) != 1 else lambda: build(2016), {"year": year})
+            counts.append(stage.groupBy("survey_year", "v190").agg(F.sum("n").alias("n")).withColumn("run", F.lit(len(counts))))
+        return cut(stats.union_all(counts))
+
+
 @query
 def run_summary(spark, d):
     scored = fx.scored(spark, d)

@@ -1,25 +1,36 @@
 """One survey round from raw extracts to the model matrix, as chained DataFrames.
 
-Only the cluster cells and the cluster table of the survey design run jobs of their
-own. The rest is lazy: Catalyst sees scan to matrix as one plan.
+Only the featured rows (for the matrix) and the cluster table of the survey design are
+written on the way. The rest is lazy.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyspark.functions import recode
-from surveyspark.functions.checkpoints import cut
+from surveyspark.functions.checkpoints import cut, staged
 from surveyspark.operators import joins, quality, splits
 from surveyspark.params import SurveyParams
 
 
-def clean_births(births: DataFrame, p: SurveyParams) -> DataFrame:
-    kept = quality.plausible(births, p.visits, p.visits_max)
-    return quality.guarded_complete_case(kept, p.birth_required, "births")
+def birth_stages(p: SurveyParams) -> list[tuple[str, Column]]:
+    """The filters that births pass, as the stages of a funnel."""
+    return [
+        ("plausible", F.coalesce(F.col(p.visits) <= p.visits_max, F.lit(True))),
+        ("complete", quality.all_present(p.birth_required)),
+        ("eligible", F.col(p.recency_var) <= p.recency_max),
+    ]
+
+
+def clean_births(births: DataFrame, p: SurveyParams, funnel: quality.Funnel | None = None) -> DataFrame:
+    """``funnel`` watches the rows on their way; the guard reads them unwatched."""
+    watched = births if funnel is None else funnel.watch(births, birth_stages(p))
+    plausible = [quality.plausible(b, p.visits, p.visits_max) for b in (watched, births)]
+    return quality.guarded_complete_case(plausible[0], p.birth_required, "births", plausible[1])
 
 
 def clean_women(women: DataFrame, p: SurveyParams) -> DataFrame:
@@ -27,8 +38,10 @@ def clean_women(women: DataFrame, p: SurveyParams) -> DataFrame:
     return quality.guarded_complete_case(filled, p.women_required, "women")
 
 
-def merged_round(births: DataFrame, women: DataFrame, p: SurveyParams) -> DataFrame:
-    return joins.merge_many_to_one(clean_births(births, p), clean_women(women, p), p.woman_key)
+def merged_round(
+    births: DataFrame, women: DataFrame, p: SurveyParams, funnel: quality.Funnel | None = None
+) -> DataFrame:
+    return joins.merge_many_to_one(clean_births(births, p, funnel), clean_women(women, p), p.woman_key)
 
 
 def with_known_outcome(df: DataFrame, p: SurveyParams) -> DataFrame:
@@ -65,9 +78,11 @@ def with_reporting_recodes(df: DataFrame, p: SurveyParams) -> DataFrame:
 
 
 def featured_round(
-    births: DataFrame, women: DataFrame, p: SurveyParams, labels: DataFrame | None = None
+    births: DataFrame, women: DataFrame, p: SurveyParams, labels: DataFrame | None = None,
+    funnel: quality.Funnel | None = None,
 ) -> DataFrame:
-    known = with_known_outcome(merged_round(births, women, p), p)
+    """``funnel`` counts the births filters in the first job that reads the rows."""
+    known = with_known_outcome(merged_round(births, women, p, funnel), p)
     regions = with_regions(known, p, labels)
     tagged = recode.with_round(with_reporting_recodes(regions, p), p.survey_year)
     return tagged.withColumn("weight", recode.scaled_weight(p.weight_var, p.weight_divisor))
@@ -109,10 +124,14 @@ def design_matrix(
     return recode.encode(matrix, "region_stratum", codes)
 
 
-def round_matrix(featured: DataFrame, p: SurveyParams) -> DataFrame:
-    """Featured rows to the model matrix: one pass for the cells, one for the rows."""
-    cells = cluster_cells(featured, p)
-    return design_matrix(survey_design(featured, p, cells), p, cells=cells)
+def round_matrix(featured: DataFrame, p: SurveyParams, extra_ids: Sequence[str] = ()) -> DataFrame:
+    """Featured rows to the model matrix. The columns it needs are written once: cells
+    and rows both come from there, and the joins behind them run once."""
+    ids = [*p.birth_key, p.cluster, p.fold_cluster, "weight", p.outcome, *extra_ids]
+    names = dict.fromkeys([*ids, "region_stratum", *p.features])
+    rows = staged(featured.select(*[c for c in names if c in featured.columns]), "featured")
+    cells = rows.groupBy(p.fold_cluster, "region_stratum").count()
+    return design_matrix(survey_design(rows, p, cells), p, extra_ids, cells)
 
 
 def canonical_round(

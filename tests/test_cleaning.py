@@ -1,12 +1,15 @@
 """Edge frames for cleaning, derivations, joins and sources."""
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from surveyspark.functions import recode
 from surveyspark.operators import joins, quality, stats
 from surveyspark.params import CANONICAL_STRATUM_CODES, round_2016, round_2024
-from surveyspark.sources import extracts
+from surveyspark.sources import extracts, stages
 
 
 def column(df, name):
@@ -150,3 +153,71 @@ def test_result_columns_take_labels(spark):
     df = spark.createDataFrame([(1, 2)], "m14 int, other int")
     got = recode.relabel_columns(df, {"m14": "Visits", "v012": "Age"})
     assert got.columns == ["Visits", "other"]
+
+
+def test_stages_are_committed_used_again_and_removed(spark, tmp_path):
+    root = f"{tmp_path}/store"
+    made = []
+
+    def build(n):
+        made.append(n)
+        return spark.range(n).withColumn("part", F.col("id") % 2)
+
+    with stages.StageStore(spark, root) as store:
+        with pytest.raises(stages.UnfinishedStage, match="matrix"):
+            store.read("matrix")
+        assert store.once("matrix", lambda: build(5), {"year": 2024, "files": ["a", "b"]}).count() == 5
+        assert store.once("matrix", lambda: build(6), {"files": ["a", "b"], "year": 2024}).count() == 5
+        assert made == [5]
+        first = store.read("matrix")
+        assert store.once("matrix", lambda: build(6), {"year": 2016, "files": ["a", "b"]}).count() == 6
+        # A reader of the earlier version keeps it, and the new one counts from now on.
+        assert (first.count(), store.read("matrix").count(), made) == (5, 6, [5, 6])
+        assert store.read("matrix").schema == first.schema and store.names() == ["matrix"]
+        # A writer that dies leaves no record: the stage is refused, whatever files there are.
+        spark.range(3).write.parquet(f"{root}/half/0123")
+        with pytest.raises(stages.UnfinishedStage):
+            store.read("half")
+
+        def fail():
+            return spark.range(3).select(F.raise_error(F.lit("lost")).cast("long").alias("id"))
+
+        with pytest.raises(Exception, match="lost"):
+            store.write("matrix", fail())
+        assert store.read("matrix").count() == 6
+    assert not (tmp_path / "store").exists()
+
+
+def test_training_profile_keeps_bounded_states(spark):
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({
+        "many": rng.normal(size=500), "eleven": np.arange(500) % 11, "ten": np.arange(500) % 10,
+        "named": np.arange(500) % 40, "holes": np.where(np.arange(500) % 3 == 0, np.nan, 2.0),
+    })
+    df = spark.createDataFrame(pdf).withColumn("holes", F.when(~F.isnan("holes"), F.col("holes")))
+    df = df.withColumn("odd", F.when(F.col("ten") == 3, float("nan")).when(F.col("ten") > 3, 1.0)).withColumn(
+        "none", F.lit(None).cast("double"))
+    columns = ["many", "eleven", "ten", "named", "holes", "odd", "none"]
+    for parts in (1, 7):
+        got = {r["column"]: r for r in stats.training_profile(df.repartition(parts), columns, ("named",)).collect()}
+        assert set(got) == set(columns) - {"none"}
+        assert [got[c]["is_continuous"] for c in columns[:5]] == [True, True, False, False, False]
+        assert got["many"]["values"] is None and got["eleven"]["values"] is None
+        assert (got["many"]["min_value"], got["many"]["max_value"]) == (pdf["many"].min(), pdf["many"].max())
+        assert got["ten"]["values"] == list(range(10)) and got["named"]["values"] == list(range(40))
+        assert got["holes"]["values"] == [2.0] and np.isnan(got["odd"]["max_value"]) and len(got["odd"]["values"]) == 2
+    # No task keeps more than its extremes and a few values of a continuous column.
+    states = stats.value_states(df.repartition(7), ["many"], (), 10).collect()
+    assert {len(r["values"]) for r in states} == {11}
+    full = stats.column_profile(df, columns, ("named",)).collect()
+    assert {r["column"]: r["n_distinct"] for r in full} == {
+        "many": 500, "eleven": 11, "ten": 10, "named": 40, "holes": 1, "odd": 2}
+    assert stats.training_profile(df.limit(0), columns).count() == 0
+
+
+def test_funnel_is_read_off_the_job(spark):
+    df = spark.createDataFrame([(1, None), (2, 5), (None, 5), (3, 9)], "a int, b int")
+    stages_ = [("a", F.col("a").isNotNull()), ("b", F.col("b") > 4)]
+    funnel = quality.Funnel("test")
+    funnel.watch(df, stages_).filter("a > 1").write.format("noop").mode("overwrite").save()
+    assert funnel.table(spark).collect() == quality.stage_funnel(df, stages_).collect()

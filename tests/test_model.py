@@ -171,6 +171,16 @@ def test_cross_validation_learns(matrix):
     assert cv and all(r["roc_auc"] > 0.5 for r in cv)
 
 
+def test_a_fit_repeats_whatever_the_layout(matrix):
+    """The same rows in one and in five partitions, and without their key."""
+    train = splits.train_rows(matrix)
+    sample = matrix.orderBy(*q.KEY).limit(200)
+    for rows in (train, train.drop(*q.KEY)):
+        layouts = (rows.coalesce(1), rows.repartition(5, "v190"))
+        one, two = (model.score(model.fit_trees(r, FEATURES, q.MODEL), sample).orderBy(*q.KEY) for r in layouts)
+        assert one.select("proba").collect() == two.select("proba").collect()
+
+
 def test_unknown_imbalance_method(matrix):
     with pytest.raises(ValueError, match="unknown imbalance method"):
         model.fit_trees(matrix, FEATURES, q.MODEL, "other")
