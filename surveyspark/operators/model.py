@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from surveyspark.functions.checkpoints import cut, ensure_checkpoint_dir
 from surveyspark.operators import metrics
-from surveyspark.operators.oversample import smotenc
+from surveyspark.operators.oversample import FoldNeighbours, smotenc
 from surveyspark.operators.quality import assert_no_nulls
 from surveyspark.operators.splits import train_rows
 from surveyspark.operators.stats import union_all
@@ -66,12 +66,13 @@ def fixed_layout(rows: DataFrame, keys: Sequence[str], partitions: int) -> DataF
 
 
 def fit_trees(
-    train: DataFrame, features: Sequence[str], p: SurveyParams, method: str | None = None
+    train: DataFrame, features: Sequence[str], p: SurveyParams, method: str | None = None,
+    oversample: Callable[[DataFrame], DataFrame] | None = None,
 ) -> PipelineModel:
     """Fit on ``train`` with the configured handling of class imbalance.
 
     ``class_weight`` weights rows, ``smote`` adds synthetic minority rows, and
-    ``none`` does neither. All of it sees the training rows only. Equal rows give equal
+    ``none`` does neither. ``oversample`` stands in for the search of "smote". All of it sees the training rows only. Equal rows give equal
     fits, whatever layout they come in.
     """
     # Boosting chains each round's predictions onto the last. The chain is cut by
@@ -88,7 +89,8 @@ def fit_trees(
     weight = None
     if method == "smote":
         # Boosting reads its input several times: the neighbour search runs once.
-        rows = cut(smotenc(rows, features, y, p.smote_continuous, p.smote_neighbours, p.seed))
+        made = oversample or (lambda r: smotenc(r, features, y, p.smote_continuous, p.smote_neighbours, p.seed))
+        rows = cut(made(rows))
         named = []
     elif method == "class_weight":
         rows, weight = with_class_weight(rows, y), _WEIGHT
@@ -136,16 +138,29 @@ def run_parallel(tasks: Sequence[Callable], parallelism: int) -> list:
         return [f.result() for f in [pool.submit(t) for t in tasks]]
 
 
+def fold_neighbours(pool: DataFrame, features: Sequence[str], p: SurveyParams) -> FoldNeighbours:
+    """One neighbour search that serves SMOTENC on the pool and without any one fold."""
+    rows = assert_no_nulls(pool, [*features, p.outcome], "training rows").select(
+        *[F.col(f).cast("double").alias(f) for f in features], F.col(p.outcome).cast("double").alias(p.outcome), "cv_fold"
+    )
+    return FoldNeighbours(rows, features, p.outcome, p.smote_continuous, "cv_fold", p.smote_neighbours, p.seed)
+
+
 def cluster_cv(
     pool: DataFrame, features: Sequence[str], p: SurveyParams,
-    method: str | None = None, parallelism: int = 2,
+    method: str | None = None, parallelism: int = 2, shared: FoldNeighbours | None = None,
 ) -> DataFrame:
     """(cv_fold, roc_auc, n_test): each fold scored by a model that never saw it.
 
-    ``pool`` should be persisted or a table: every fold reads it.
+    ``pool`` should be persisted or a table: every fold reads it. With "smote" the folds
+    share one neighbour search, ``shared`` if it was made before.
     """
+    if (method or p.imbalance) == "smote" and shared is None:
+        shared = fold_neighbours(pool, features, p)
+
     def one_fold(fold: int) -> DataFrame:
-        model = fit_trees(pool.filter(F.col("cv_fold") != fold), features, p, method)
+        made = (lambda rows: shared.oversampled(rows, fold)) if shared else None
+        model = fit_trees(pool.filter(F.col("cv_fold") != fold), features, p, method, made)
         test = pool.filter(F.col("cv_fold") == fold)
         return score(model, test).select("cv_fold", F.col(p.outcome).alias("y"), "proba")
 
@@ -157,7 +172,8 @@ def cluster_cv(
 
 
 def fit_final(
-    matrix: DataFrame, features: Sequence[str], p: SurveyParams, method: str | None = None
+    matrix: DataFrame, features: Sequence[str], p: SurveyParams, method: str | None = None,
+    shared: FoldNeighbours | None = None,
 ) -> PipelineModel:
     """Fit on everything outside the hold-out."""
-    return fit_trees(train_rows(matrix), features, p, method)
+    return fit_trees(train_rows(matrix), features, p, method, shared.oversampled if shared else None)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -184,7 +185,8 @@ class PivotTree:
         return asked.mapInPandas(run, f"{key} long, {fields}, block long")
 
     def nearest_in_blocks(self, searches: DataFrame) -> DataFrame:
-        """(key, other, distance): the k nearest rows in each block searched, never all pairs."""
+        """(key, other, distance, squared, differ): the k nearest rows in each block searched,
+        never all pairs. ``squared``: the continuous part; ``differ``: differing categories."""
         key, columns, k, n_continuous, penalty = self.key, self.columns, self.k, self.n_continuous, self.penalty
         load = searches.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / self.block_rows).alias("query_pieces"))
         layout = cut(self.blocks.join(load, "block").select("block", F.col("pieces").alias("row_pieces"), "query_pieces"))
@@ -198,7 +200,7 @@ class PivotTree:
 
         def best_in_group(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
             if q.empty or r.empty:
-                return pd.DataFrame({key: [], "other": [], "distance": []})
+                return pd.DataFrame({key: [], "other": [], "distance": [], "squared": [], "differ": []})
             r = r.sort_values(key)
             ids, against = r[key].to_numpy(), r[columns].to_numpy()
             one_hot = _OneHot(against[:, n_continuous:])
@@ -208,12 +210,12 @@ class PivotTree:
             for part in _slabs(q, 512):
                 own, x = part[key].to_numpy(), part[columns].to_numpy()
                 measured = x[:, :n_continuous]
-                d = (measured @ against[:, :n_continuous].T) * -2.0
-                d += (measured**2).sum(axis=1)[:, None]
-                d += lengths
-                agreeing = one_hot(x[:, n_continuous:]) @ encoded.T
-                d += penalty * (len(columns) - n_continuous - agreeing)
-                np.maximum(d, 0.0, out=d)
+                squared = (measured @ against[:, :n_continuous].T) * -2.0
+                squared += (measured**2).sum(axis=1)[:, None]
+                squared += lengths
+                np.maximum(squared, 0.0, out=squared)
+                differ = len(columns) - n_continuous - one_hot(x[:, n_continuous:]) @ encoded.T
+                d = squared + penalty * differ
                 d[own[:, None] == ids[None, :]] = np.inf
                 place = min(k, d.shape[1]) - 1
                 limit = np.partition(d, place, axis=1)[:, place]
@@ -225,17 +227,21 @@ class PivotTree:
                 query, column, found = query[order], column[order], found[order]
                 first = np.searchsorted(query, query)
                 keep = np.arange(len(query)) - first < k
+                query, column = query[keep], column[keep]
                 out.append(
-                    pd.DataFrame(
-                        {key: own[query[keep]], "other": ids[column[keep]], "distance": np.sqrt(found[keep])}
-                    )
+                    pd.DataFrame({
+                        key: own[query], "other": ids[column], "distance": np.sqrt(found[keep]),
+                        "squared": squared[query, column], "differ": differ[query, column].astype(int),
+                    })
                 )
             return pd.concat(out)
 
         groups = ["block", "row_piece", "query_piece"]
         left = dealt(searches, "query_pieces", "row_pieces").groupBy(*groups)
         right = dealt(self.placed, "row_pieces", "query_pieces").groupBy(*groups)
-        return left.cogroup(right).applyInPandas(best_in_group, f"{key} long, other long, distance double")
+        return left.cogroup(right).applyInPandas(
+            best_in_group, f"{key} long, other long, distance double, squared double, differ int"
+        )
 
     def compared_pairs(self, searches: DataFrame) -> int:
         """How many pairs of query and row the searches compare."""
@@ -273,7 +279,8 @@ def nearest_neighbours(
     rows: DataFrame, queries: DataFrame, key: str, columns: Sequence[str], n_continuous: int,
     penalty: float, k: int, pivots: int | None = None, block_rows: int = _BLOCK_ROWS,
 ) -> DataFrame:
-    """(key, other, distance, place): the k nearest other rows of each query row, exactly.
+    """(key, other, distance, squared, differ, place): the k nearest other rows of each
+    query row, exactly.
 
     First each query, one of the rows, searches the block it lies in; the k-th distance
     there is its bound in the tree, and only blocks that can hold something as near are
@@ -324,6 +331,44 @@ def _spread_copies(df: DataFrame, count: str, name: str, chunk: int = 10_000) ->
     ).drop("_chunk")
 
 
+class _Sizes(NamedTuple):
+    minority: object  # its label
+    k: int
+    n_new: int
+
+
+def _plan(sizes: Mapping[object, int], neighbours: int) -> _Sizes | None:
+    """What to make from class sizes; None if there is nothing to make."""
+    sizes = {label: n for label, n in sizes.items() if n}
+    if len(sizes) < 2:
+        return None
+    minority = min(sizes, key=lambda label: (sizes[label], label))
+    k, n_new = min(neighbours, sizes[minority] - 1), max(sizes.values()) - sizes[minority]
+    return _Sizes(minority, k, n_new) if k >= 1 and n_new >= 1 else None
+
+
+def _split_columns(features: Sequence[str], continuous: Sequence[str]) -> tuple[list[str], list[str]]:
+    measured = [f for f in features if f in set(continuous)]
+    return measured, [f for f in features if f not in set(continuous)]
+
+
+def _penalty(small: DataFrame, measured: Sequence[str]) -> float:
+    """What a differing category costs: the squared median deviation."""
+    deviations = small.agg(*[F.stddev_pop(c) for c in measured]).first() if measured else []
+    return float(np.median(deviations)) ** 2 if measured else 1.0
+
+
+def _numbered(distinct: DataFrame, columns: Sequence[str], n_new: int, seed: int, keep: Sequence[str] = ()) -> DataFrame:
+    """(row_id, columns, copies, n_new): distinct rows numbered in hash order, each with its
+    share of the new rows in proportion to its copies. Written down, as it is read often."""
+    hashed = distinct.withColumn("_hash", hash_key(*columns, seed)).withColumn("_one", F.lit(1))
+    running = prefix_sum(hashed, (), "_hash", ["copies", "_one"], bucket=hash_bucket("_hash"))
+    upto = lambda stop: F.floor(F.lit(n_new) * (stop / F.col("total_copies")))
+    share = upto(F.col("cum_copies")) - upto(F.col("cum_copies") - F.col("copies"))
+    row_id = (F.col("cum__one") - 1).cast("long").alias("row_id")
+    return cut(running.select(row_id, *columns, *keep, "copies", share.alias("n_new")))
+
+
 def smotenc(
     rows: DataFrame, features: Sequence[str], y: str, continuous: Sequence[str],
     neighbours: int, seed: int,
@@ -335,45 +380,29 @@ def smotenc(
     on ties). The number of neighbours is capped at minority size - 1. With one
     class, or a minority of one row, the rows are returned as they are.
     """
-    sizes = {r[y]: r["count"] for r in rows.groupBy(y).count().collect()}
-    if len(sizes) < 2:
-        return rows
-    minority = min(sizes, key=lambda label: (sizes[label], label))
-    n_minority, n_majority = sizes[minority], max(sizes.values())
-    k = min(neighbours, n_minority - 1)
-    n_new = n_majority - n_minority
-    if k < 1 or n_new < 1:
-        return rows
-
-    measured = [f for f in features if f in set(continuous)]
-    categories = [f for f in features if f not in set(continuous)]
+    plan = _plan({r[y]: r["count"] for r in rows.groupBy(y).count().collect()}, neighbours)
+    if plan is None:
+        return rows.select(*features, y)
+    measured, categories = _split_columns(features, continuous)
     columns = measured + categories
-    small = rows.filter(F.col(y) == minority).select(*columns)
-    deviations = small.agg(*[F.stddev_pop(c) for c in measured]).first() if measured else []
-    # Each differing category costs the squared median deviation.
-    penalty = float(np.median(deviations)) ** 2 if measured else 1.0
-
+    small = rows.filter(F.col(y) == plan.minority).select(*columns)
+    penalty = _penalty(small, measured)
     # Equal rows collapse to one with a copy count, so a vector shared by many
-    # rows is searched once. Hash order numbers the distinct rows; each then
-    # gets its share of the new rows in proportion to its copies.
-    distinct = (
-        small.groupBy(*columns)
-        .agg(F.count(F.lit(1)).alias("copies"))
-        .withColumn("_hash", hash_key(*columns, seed))
-        .withColumn("_one", F.lit(1))
-    )
-    running = prefix_sum(distinct, (), "_hash", ["copies", "_one"], bucket=hash_bucket("_hash"))
-    upto = lambda stop: F.floor(F.lit(n_new) * (stop / F.col("total_copies")))
-    share = upto(F.col("cum_copies")) - upto(F.col("cum_copies") - F.col("copies"))
-    # The table is read several times below: write it down once, reliably.
-    table = cut(
-        running.select(
-            (F.col("cum__one") - 1).cast("long").alias("row_id"), *columns, "copies", share.alias("n_new")
-        )
-    )
+    # rows is searched once.
+    distinct = small.groupBy(*columns).agg(F.count(F.lit(1)).alias("copies"))
+    table = _numbered(distinct, columns, plan.n_new, seed)
+    found = nearest_neighbours(table, table.filter("n_new > 0"), "row_id", columns, len(measured), penalty, plan.k)
+    return _with_synthetic(rows, features, y, measured, table, found, plan, seed)
+
 
+def _with_synthetic(
+    rows: DataFrame, features: Sequence[str], y: str, measured: Sequence[str],
+    table: DataFrame, found: DataFrame, plan: _Sizes, seed: int,
+) -> DataFrame:
+    categories = [f for f in features if f not in measured]
+    columns = [*measured, *categories]
+    k = plan.k
     bases = table.filter("n_new > 0")
-    found = nearest_neighbours(table, bases, "row_id", columns, len(measured), penalty, k)
     places = _k_places(found, table, k)
     values = table.select(
         F.col("row_id").alias("other"), *[F.col(c).alias(f"o_{c}") for c in columns]
@@ -400,7 +429,92 @@ def smotenc(
                 else F.col(f"m_{f}").alias(f)
                 for f in features
             ],
-            F.lit(minority).cast(rows.schema[y].dataType).alias(y),
+            F.lit(plan.minority).cast(rows.schema[y].dataType).alias(y),
         )
     )
     return rows.select(*features, y).unionByName(synthetic)
+
+
+class FoldNeighbours:
+    """One neighbour search for SMOTENC on every fold's training rows.
+
+    The distinct minority rows of the whole pool keep their ``depth`` nearest others, with
+    the continuous and the categorical part of the distance apart. A fold's lists are read
+    off: rows that only the fold has are left out, and the rest is ranked by the distance
+    that holds there, as the price of a category depends on the rows. Rows beyond the depth
+    are at least as far as the last one kept; a list that this does not settle, or
+    that has too few left, is searched again among the fold's rows. Lists are therefore
+    those of a search of its own.
+    """
+
+    def __init__(
+        self, pool: DataFrame, features: Sequence[str], y: str, continuous: Sequence[str], fold: str,
+        neighbours: int, seed: int, depth: int | None = None,
+    ):
+        self.features, self.y, self.fold = list(features), y, fold
+        self.continuous, self.neighbours, self.seed = list(continuous), neighbours, seed
+        self.depth = depth or 2 * neighbours + 6
+        self.measured, categories = _split_columns(features, continuous)
+        self.columns = self.measured + categories
+        self.sizes = {(r[0], r[1]): r[2] for r in pool.groupBy(y, fold).count().collect()}  # classes x folds
+        plan = self._plan(None)
+        self.minority = plan.minority if plan else None
+        if plan is None:
+            return
+        small = pool.filter(F.col(y) == plan.minority)
+        self.penalty = _penalty(small, self.measured)
+        counted = small.groupBy(*self.columns, fold).agg(F.count(F.lit(1)).alias("n"))
+        distinct = counted.groupBy(*self.columns).agg(
+            F.map_from_entries(F.collect_list(F.struct(fold, "n"))).alias("by_fold"), F.sum("n").alias("copies")
+        )
+        self.table = _numbered(distinct, self.columns, 0, seed, ["by_fold"])
+        found = nearest_neighbours(
+            self.table, self.table, "row_id", self.columns, len(self.measured), self.penalty, self.depth
+        )
+        self.found = cut(found.select("row_id", "other", "squared", "differ", "place"))
+
+    def _plan(self, left_out) -> _Sizes | None:
+        sizes: dict[object, int] = {}
+        for (label, fold), n in self.sizes.items():
+            if left_out is None or fold != left_out:
+                sizes[label] = sizes.get(label, 0) + n
+        return _plan(sizes, self.neighbours)
+
+    def oversampled(self, rows: DataFrame, left_out=None) -> DataFrame:
+        """``smotenc`` of ``rows``: the pool, without the fold ``left_out`` if given."""
+        plan = self._plan(left_out)
+        if plan is None or plan.minority != self.minority:
+            return smotenc(rows, self.features, self.y, self.continuous, self.neighbours, self.seed)
+        penalty = _penalty(rows.filter(F.col(self.y) == plan.minority), self.measured)
+        gone = F.lit(0) if left_out is None else F.coalesce(F.col("by_fold")[F.lit(left_out)], F.lit(0))
+        own = self.table.withColumn("copies", F.col("copies") - gone).filter("copies > 0")
+        own = own.select(F.col("row_id").alias("pool_id"), *self.columns, "copies")
+        table = _numbered(own, self.columns, plan.n_new, self.seed, ["pool_id"])
+        settled, open_rows = self._read_off(table, plan.k, penalty)
+        bases = table.join(open_rows, "row_id", "left_semi")
+        if not bases.isEmpty():
+            again = nearest_neighbours(table, bases, "row_id", self.columns, len(self.measured), penalty, plan.k)
+            settled = settled.unionByName(again.select(*settled.columns))
+        return _with_synthetic(rows, self.features, self.y, self.measured, table.drop("pool_id"), settled, plan, self.seed)
+
+    def _read_off(self, table: DataFrame, k: int, penalty: float) -> tuple[DataFrame, DataFrame]:
+        """(row_id, other, distance, place) of lists that the depth settles; row_id of the rest."""
+        ids = table.select(F.col("pool_id").alias("pool_id"), F.col("row_id").alias("row_id"), "n_new")
+        bases = ids.filter("n_new > 0").select("pool_id", "row_id")
+        kept = self.found.withColumnRenamed("row_id", "pool_id").withColumnRenamed("other", "pool_other")
+        last = kept.groupBy("pool_id").agg(
+            F.count(F.lit(1)).alias("n"), F.max(F.col("squared") + self.penalty * F.col("differ")).alias("edge")
+        )
+        others = ids.select(F.col("pool_id").alias("pool_other"), F.col("row_id").alias("other"))
+        distance = F.sqrt(F.col("squared") + penalty * F.col("differ"))
+        lists = kept.join(bases, "pool_id").join(others, "pool_other").select("row_id", "other", distance.alias("distance"))
+        lists = first_k(lists, "row_id", k)
+        # At another price of a category, what lies beyond the edge keeps at least this share of it.
+        share = min(1.0, penalty / self.penalty) if self.penalty > 0 else 1.0
+        reach = lists.groupBy("row_id").agg(F.max("place").alias("have"), F.max("distance").alias("far"))
+        state = bases.join(last, "pool_id", "left").join(reach, "row_id", "left")
+        whole = F.coalesce(F.col("n"), F.lit(0)) < self.depth  # all other rows of the pool are in the list
+        inside = (F.col("have") == k) & (F.col("far") * F.col("far") < F.col("edge") * share * (1 - 1e-9))
+        state = cut(state.select("row_id", F.coalesce(whole | inside, F.lit(False)).alias("settled")))
+        settled = lists.join(state.filter("settled"), "row_id", "left_semi")
+        return settled, state.filter("NOT settled").select("row_id")

@@ -258,6 +258,37 @@ def test_oversampling_equalises_and_invents_no_category(spark):
     assert made["age"].between(minority["age"].min(), minority["age"].max()).all()
 
 
+@pytest.mark.parametrize("depth", [None, 4])
+def test_shared_neighbours_give_each_fold_its_own_oversampling(spark, depth, monkeypatch):
+    """Equal to a fresh search per fold, also where few neighbours are left (a small depth) and
+    where a fold changes the price of a category; and one search where the depth settles all."""
+    rng = np.random.default_rng(4)
+    n = 900
+    pdf = pd.DataFrame({
+        "age": rng.integers(15, 50, n).astype(float), "visits": rng.integers(0, 9, n).astype(float),
+        "kind": rng.choice([-1.0, 1.0, 2.0], n), "place": rng.choice([0.0, 1.0], n),
+        "y": (rng.random(n) < 0.3).astype(float), "cv_fold": rng.integers(0, 4, n),
+    })
+    pdf.loc[pdf["cv_fold"] == 3, "age"] *= 2.0
+    pdf.loc[:60, ["age", "visits", "kind", "place", "y"]] = [20.0, 3.0, 2.0, 1.0, 1.0]  # copies in all folds
+    pool = spark.createDataFrame(pdf)
+    features, args = ["age", "kind", "visits", "place"], ("y", ["age", "visits"])
+    searches = []
+    search = oversample.nearest_neighbours
+    monkeypatch.setattr(oversample, "nearest_neighbours", lambda *a, **k: searches.append(1) or search(*a, **k))
+    shared = oversample.FoldNeighbours(pool, features, *args, "cv_fold", 4, 42, depth)
+    for fold in (None, 0, 3):
+        rows = pool if fold is None else pool.filter(F.col("cv_fold") != fold)
+        got = shared.oversampled(rows.select(*features, "y"), fold).toPandas()
+        monkeypatch.undo()
+        want = oversample.smotenc(rows.select(*features, "y"), features, *args, 4, 42).toPandas()
+        monkeypatch.setattr(oversample, "nearest_neighbours", lambda *a, **k: searches.append(1) or search(*a, **k))
+        order = [*features, "y"]
+        got, want = (t.round(9).sort_values(order).reset_index(drop=True) for t in (got, want))
+        pd.testing.assert_frame_equal(got, want)
+    assert len(searches) <= (4 if depth else 2)
+
+
 def test_oversampling_small_minorities(spark):
     def frame(n_minority):
         rows = [(float(i), 1.0, 0) for i in range(20)] + [(float(i), 2.0, 1) for i in range(n_minority)]
