@@ -493,6 +493,23 @@ ORACLE: dict[str, str] = {
     ),
     "null_cluster_rows": _with(_null_union("births", ["v021", "v467c"], "count(*) FILTER ({c} IS NULL) AS n_null")),
     "cv_fold_sizes": _with("SELECT cv_fold, count(*) AS n_test, true AS better_than_chance FROM pool GROUP BY cv_fold", MATRIX),
+    "scenario_sizes": _with(
+        "SELECT scenario, count(*) FILTER (role = 'train') AS n_train, count(*) FILTER (role = 'test') AS n_test, "
+        "round(avg(sba) FILTER (role = 'train'), 6) AS train_prevalence, round(avg(sba) FILTER (role = 'test'), 6) AS test_prevalence "
+        "FROM sides GROUP BY scenario", ROUNDS + "," + SIDES),
+    "imbalance_folds": _with(
+        "SELECT method, cv_fold, count(*) AS n_test, true AS better_than_chance FROM pool, "
+        "(VALUES ('class_weight'), ('smote'), ('none')) m(method) GROUP BY method, cv_fold", MATRIX),
+    "fitted_equity_sizes": _with(
+        " UNION ALL ".join(
+            f"SELECT '{g}' AS \"group\", CAST({g} AS INT) AS value, count(*) AS n, round(avg(sba), 6) AS observed_sba_rate FROM matrix WHERE held GROUP BY {g}"
+            for g in P.equity_groups
+        ), MATRIX),
+    "summary_keys": _with(
+        "SELECT 'provenance' AS part, 1 AS n UNION ALL SELECT 'holdout_metrics', 1 UNION ALL SELECT 'equity_gaps', 1 "
+        "UNION ALL SELECT 'cluster_cv', count(DISTINCT cv_fold) FROM pool "
+        f"UNION ALL SELECT 'shap_top_features', least(10, {len(P.features)}) "
+        "UNION ALL SELECT 'equity_by_wealth', count(DISTINCT v190) FROM matrix WHERE held", MATRIX),
     "holdout_keys": _with("SELECT caseid, bidx, sba FROM matrix WHERE held", MATRIX),
     "shap_additivity": _with("SELECT count(*) AS n_rows, count(*) AS n_additive FROM pool", MATRIX),
     "dependence_sizes": _with(

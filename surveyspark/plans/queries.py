@@ -722,7 +722,9 @@ def _cv(spark, d) -> DataFrame:
 
 @query
 def gbt_cv(spark, d):
-    return rounded(_cv(spark, d))
+    """Every fold's AUC next to their mean."""
+    cv = _cv(spark, d)
+    return rounded(cv.withColumn("roc_auc_mean", stats.fold_mean(cv, "roc_auc").scalar()))
 
 
 @query
@@ -878,9 +880,101 @@ def scenario_metrics(spark, d):
     return rounded(compare.scenario_comparison(*sides, MODEL.features, MODEL, parallelism=4))
 
 
+@query
+def scenario_sizes(spark, d):
+    """Rows and prevalences on both sides of each scenario that was fitted."""
+    return scenario_metrics(spark, d).select("scenario", "n_train", "n_test", "train_prevalence", "test_prevalence")
+
+
+def _study(spark, d) -> compare.ImbalanceStudy:
+    return _once(spark, d, "study", lambda: compare.imbalance_study(matrix(spark, d), MODEL.features, MODEL, parallelism=3))
+
+
 @query
 def imbalance_compare(spark, d):
-    return rounded(compare.imbalance_comparison(matrix(spark, d), MODEL.features, MODEL, parallelism=3))
+    table = _study(spark, d).table
+    return rounded(table.withColumn("cluster_cv_auc_folds", F.transform("cluster_cv_auc_folds", lambda a: F.round(a, 6))))
+
+
+@query
+def imbalance_folds(spark, d):
+    """The rows each method's folds were tested on, and whether they rank better than chance."""
+    return _study(spark, d).folds.select("method", "cv_fold", "n_test", (F.col("roc_auc") > 0.5).alias("better_than_chance"))
+
+
+@query
+def imbalance_calibration(spark, d):
+    return rounded(_study(spark, d).calibration)
+
+
+# --- The fitted model on the hold-out ----------------------------------------
+def _fitted_scores(spark, d) -> DataFrame:
+    scored = model.score(fitted(spark, d), splits.holdout_rows(matrix(spark, d)))
+    return scored.select(*KEY, "v001", "v190", "v025", F.col("sba").alias("y"), "proba")
+
+
+@query
+def fitted_equity(spark, d):
+    """Equity by wealth and residence of the model's own hold-out scores."""
+    scored = _fitted_scores(spark, d)
+    tables = [
+        metrics.equity_table(scored, g).withColumnRenamed(g, "value").withColumn("group", F.lit(g)) for g in P.equity_groups
+    ]
+    return rounded(stats.union_all(tables))
+
+
+@query
+def fitted_equity_sizes(spark, d):
+    return fitted_equity(spark, d).select("group", "value", "n", "observed_sba_rate")
+
+
+@query
+def fitted_ci(spark, d):
+    """Bootstrap intervals of the model's own hold-out metrics."""
+    return rounded(bootstrap.bootstrap_intervals(_fitted_scores(spark, d), "v001", P.equity_groups, REPLICATES, P.seed))
+
+
+@query
+def counterfactual_changes(spark, d):
+    """Each changed feature of each counterfactual with its label, from and to."""
+    origin = matrix(spark, d).select(*KEY, *[F.col(f).cast("double").alias(f"was_{f}") for f in MODEL.mutable])
+    found = _counterfactuals(spark, d).join(origin, KEY)
+    entries = F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.col(f"was_{f}").alias("before"), F.col(f).cast("double").alias("after"))
+        for f in MODEL.mutable
+    ])
+    long = found.select(*KEY, "cf_rank", "n_changed", F.inline(F.filter(entries, lambda e: e["before"] != e["after"])))
+    return recode.codebook(long, "feature", VARIABLE_LABELS)
+
+
+def _fitted_summary(spark, d) -> DataFrame:
+    scored = _fitted_scores(spark, d)
+    wide = explain.shap_values(fitted(spark, d), splits.train_rows(matrix(spark, d)), ["weight"])
+    importance = stats.importance_wide(wide, {f: f"phi_{f}" for f in MODEL.features})
+    return report.run_summary(
+        {
+            "cluster_cv": rounded(_cv(spark, d)),
+            "holdout_metrics": rounded(metrics.holdout_metrics(scored, size_name="n_holdout")),
+            "equity_by_wealth": rounded(metrics.equity_table(scored, "v190")),
+            "equity_gaps": rounded(metrics.equity_gaps(scored, "v190")),
+        },
+        rounded(importance), {"data": "synthetic test tables", "note": "associational estimates, not causal effects"},
+    )
+
+
+@query
+def fitted_summary(spark, d):
+    return _fitted_summary(spark, d)
+
+
+@query
+def summary_keys(spark, d):
+    """The parts of the fitted model's summary and how many rows each has."""
+    parts = _fitted_summary(spark, d).select(
+        F.from_json("summary", "map<string,string>").alias("parts")
+    ).select(F.explode("parts").alias("part", "body"))
+    rows = F.when(F.col("part") == "provenance", 1).otherwise(F.json_array_length("body"))
+    return parts.select("part", rows.alias("n"))
 
 
 # --- Reports and sinks -------------------------------------------------------
