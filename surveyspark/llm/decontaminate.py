@@ -1,21 +1,31 @@
 """Benchmark decontamination: BM25 over an inverted index of test items, block-max WAND.
 
-Spark builds the postings (item, word, impact) from statistics over all items. The
-index is read in blocks of at most ``block_items`` items, each shipped to the tasks in
-turn, so neither the driver nor a task holds more than one block of it. Every text is
-cut into overlapping passages, each one a query. Items are laid out in runs of similar
-threshold; a passage's sum of block maxima rules out whole runs, the rest is scored in
-full, and pairs that reach the item's threshold are verified on the words themselves.
+Spark builds the postings (item, word, impact) from statistics over all items. Every text is
+cut into overlapping passages, each one a query. A pair of text and item is found
+if some window of the text, as long as the item allows (``window``), passes the
+verification on its words. Passages are cut so that every window lies whole in one of
+them, whatever the item and wherever it starts.
 
 An item's threshold is its own score less the impacts of as many of its words as may be
-missing from a passage that still passes the verification, so the search loses no pair.
+missing from a window that still passes, so the search loses no pair. Items lie in runs of
+similar threshold, and each word's postings in blocks, one a run, with their largest
+impact. For a batch of passages:
+
+1. the pivot of a passage is the word at which the sums of its words' largest impacts,
+   smallest first, reach the least threshold. An item with none of the words from there
+   on cannot reach it: only runs that hold one of these are looked at;
+2. of these, runs whose block maxima add up to less than their least threshold are skipped;
+3. the postings of the rest are added up, and items that reach their threshold verified.
 """
 
 from __future__ import annotations
 
+import bisect
 import itertools
 import math
 import re
+from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,11 +34,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import documents, id_of, row_key, table
+from .common import documents, id_of, row_key, table, written
 
 SHINGLE, OVERLAP = 5, 0.8
 K1, B = 1.2, 0.75
 RUN = 8  # items whose block maxima are summed together
+STRETCH, SPARE = 2, 32  # a window has so many times the words of its item, and so many more
+ROWS = 2_000_000  # blocks or postings unfolded at once
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
@@ -57,169 +69,235 @@ def may_miss(question: list[str], answer: list[str]) -> int:
     return lost + len(answer) - math.ceil(OVERLAP * len(answer) - 1e-9)
 
 
-def overlaps(question: list[str], answer: list[str], passage: list[str]) -> tuple[float, float]:
-    """Shares of the question's shingles and of the answer's words that the passage has."""
-    own = shingles(question)
-    sizes = {len(s) for s in own}
-    held = {t for size in sizes for t in (shingles(passage, size) if len(passage) >= size else ())}
-    words = set(passage)
-    return (
-        sum(s in held for s in own) / len(own) if own else 1.0,
-        sum(w in words for w in answer) / len(answer) if answer else 1.0,
-    )
+def window(size: int) -> int:
+    """Words of text in which an item of ``size`` words has to be found."""
+    return STRETCH * size + SPARE
 
 
 def postings(items: DataFrame) -> DataFrame:
-    """item_id, word, impact: BM25 weight of the word in the item, over all items."""
+    """item, word, impact: BM25 weight of the word in the item, over all items."""
 
     def split(frames):
         for frame in frames:
-            found = [(i, w) for i, t in zip(frame["item_id"], frame["text"]) for w in words_of(t)]
-            yield pd.DataFrame(found, columns=["item_id", "word"])
+            found = [(i, w) for i, t in zip(frame["item"], frame["text"]) for w in words_of(t)]
+            yield pd.DataFrame(found, columns=["item", "word"])
 
-    words = items.select("item_id", "text").mapInPandas(split, "item_id long, word string")
-    counts = words.groupBy("item_id", "word").agg(F.count(F.lit(1)).alias("tf"))
-    sizes = counts.groupBy("item_id").agg(F.sum("tf").alias("size"))
+    words = items.select("item", "text").mapInPandas(split, "item string, word string")
+    counts = words.groupBy("item", "word").agg(F.count(F.lit(1)).alias("tf"))
+    sizes = counts.groupBy("item").agg(F.sum("tf").alias("size"))
     spread = counts.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     total, mean = sizes.agg(F.count(F.lit(1)), F.coalesce(F.avg("size"), F.lit(1.0))).first()
     idf = F.log(1 + (total - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = K1 * (1 - B + B * F.col("size") / mean)
     return (
-        counts.join(sizes, "item_id").join(spread, "word")
-        .select("item_id", "word", (idf * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("impact"))
+        counts.join(sizes, "item").join(spread, "word")
+        .select("item", "word", "size", (idf * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("impact"))
     )
 
 
+def index_data(items: list[tuple[str, str]], found: pd.DataFrame) -> tuple:
+    """One block of the inverted index as plain lists and arrays, to be shipped to tasks."""
+    own = dict(tuple(found.groupby("item")["impact"]))
+    entries = []
+    for item, text in items:
+        question, answer = parts(text)
+        if item in own:
+            impacts = np.sort(own[item].to_numpy())[::-1]
+            entries.append((impacts[may_miss(question, answer) :].sum() - 1e-9, item, question, answer))
+    entries.sort(key=lambda e: (e[0], e[1]))
+    limits = np.array([e[0] for e in entries])
+    place = {e[1]: k for k, e in enumerate(entries)}
+    codes, names = pd.factorize(found["word"])
+    at, impact = found["item"].map(place).to_numpy(np.int64), found["impact"].to_numpy(float)
+    order = np.lexsort((at, codes))
+    return entries, limits, list(names), codes[order], at[order], impact[order]
+
+
+def unfolded(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges one after the other, and which range each is of."""
+    sizes = stops - starts
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes), owner
+
+
 class Index:
-    """One block of the inverted index with the block maxima of its runs of items."""
-
-    def __init__(self, items: list[tuple[int, str]], found: pd.DataFrame):
-        own = dict(tuple(found.groupby("item_id")["impact"]))
-        entries = []
-        for item, text in items:
-            question, answer = parts(text)
-            if item in own and (question or answer):
-                impacts = np.sort(own[item].to_numpy())[::-1]
-                entries.append((impacts[may_miss(question, answer) :].sum() - 1e-9, item, question, answer))
-        entries.sort(key=lambda e: (e[0], e[1]))
-        self.entries = entries
-        self.longest = max((len(q) + len(a) for _, _, q, a in entries), default=1)
-        self.limits = np.array([e[0] for e in entries])
-        place = {e[1]: k for k, e in enumerate(entries)}
-        found = found[found["item_id"].isin(place)]
-        codes, names = pd.factorize(found["word"])
+    """One block of the inverted index; made in the task from ``index_data``."""
+
+    def __init__(self, data: tuple):
+        self.entries, self.limits, names, codes, self.items, self.impacts = data
         self.terms = {w: k for k, w in enumerate(names)}
-        item = found["item_id"].map(place).to_numpy(np.int64)
-        impact = found["impact"].to_numpy()
-        order = np.argsort(codes, kind="stable")
-        self.items, self.impacts = item[order], impact[order]
-        self.starts = np.searchsorted(codes[order], np.arange(len(names) + 1))
-        runs = -(-len(entries) // RUN)
-        self.maxima = np.zeros((len(names), max(runs, 1)), np.float32)
-        np.maximum.at(self.maxima, (codes, item // RUN), impact)
-        self.maxima *= 1.00001  # single precision must not fall below the exact sum
-        self.run_limits = np.minimum.reduceat(self.limits, np.arange(0, len(entries), RUN)) if entries else np.empty(0)
-
-    def candidates(self, term: np.ndarray, passage: np.ndarray, count: int) -> list[tuple[int, int, float]]:
-        """(passage, item place, score) that reach the item's threshold. One row a distinct term of a passage."""
-        if not len(term):
-            return []
-        heads = np.flatnonzero(np.diff(passage, prepend=-1))
-        bound = np.add.reduceat(self.maxima[term], heads, axis=0)
-        alive = np.zeros((count, bound.shape[1]), bool)
-        alive[passage[heads]] = bound >= self.run_limits
-        live = alive.any(axis=1)[passage]
-        term, passage = term[live], passage[live]
+        # Posting blocks: the postings of one word in one run of items.
+        run = self.items // RUN
+        heads = np.flatnonzero((np.diff(codes, prepend=-1) != 0) | (np.diff(run, prepend=-1) != 0))
+        self.block_run, self.block_start = run[heads], np.append(heads, len(codes))
+        self.block_most = np.maximum.reduceat(self.impacts, heads) if len(heads) else np.empty(0)
+        self.term_start = np.searchsorted(codes[heads], np.arange(len(names) + 1))
+        self.term_most = np.zeros(len(names))
+        np.maximum.at(self.term_most, codes, self.impacts)
+        firsts = np.arange(0, len(self.limits), RUN)
+        self.run_limits = np.minimum.reduceat(self.limits, firsts) if len(firsts) else np.empty(0)
+        self.scored = 0  # postings added up so far
+        self.word_codes = [tuple([self.terms[w] for w in q] for q in e[2:]) for e in self.entries]
+        self.own: dict[int, dict[int, float]] = {}
+
+    def candidates(self, term: np.ndarray, passage: np.ndarray) -> list[tuple[int, int]]:
+        """(passage, item place) that reach the item's threshold; one row a distinct term of a
+        passage, passages in order."""
         out = []
-        # Full scores, some passages at a time.
+        load = np.cumsum(self.term_start[term + 1] - self.term_start[term])
         heads = np.flatnonzero(np.diff(passage, prepend=-1))
-        edges = [*heads[:: 2000], len(term)]
-        for lo, hi in zip(edges, edges[1:]):
-            t, p = term[lo:hi], passage[lo:hi]
-            size = self.starts[t + 1] - self.starts[t]
-            at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.starts[t], size)
-            item, owner = self.items[at], np.repeat(p, size)
-            kept = alive[owner, item // RUN]
-            key = (owner - p[0]) * len(self.entries) + item
-            score = np.bincount(key[kept], weights=self.impacts[at][kept])
-            hit = np.flatnonzero(score > 0)
-            hit = hit[score[hit] >= self.limits[hit % len(self.entries)]]
-            out += [(int(k // len(self.entries) + p[0]), int(k % len(self.entries)), float(score[k])) for k in hit]
+        lo = 0
+        while lo < len(heads):  # so many passages that their blocks fit
+            done = load[heads[lo] - 1] if heads[lo] else 0
+            ends = load[np.append(heads[lo + 1 :], len(term)) - 1]
+            hi = lo + max(1, int(np.searchsorted(ends, done + ROWS, side="right")))
+            rows = slice(heads[lo], heads[hi] if hi < len(heads) else len(term))
+            out += self._candidates(term[rows], passage[rows])
+            lo = hi
         return out
 
-    def search(self, texts: list[str]):
-        """(text number, item, first word, score, question overlap, answer overlap), best passage each."""
-        length = max(2 * self.longest, 64)
-        stride = length - self.longest
+    def _candidates(self, term: np.ndarray, passage: np.ndarray) -> list[tuple[int, int]]:
+        runs = len(self.run_limits)
+        first = passage[0]
+        own = passage - first
+        # The pivot: words below it cannot reach the least threshold together.
+        most = self.term_most[term]
+        order = np.lexsort((most, own))
+        sums = np.cumsum(most[order])
+        heads = np.flatnonzero(np.diff(own[order], prepend=-1))
+        base = np.concatenate([[0.0], sums])[heads]
+        reached = np.empty(len(term), bool)
+        reached[order] = sums - np.repeat(base, np.diff(np.append(heads, len(term)))) >= self.limits[0] * (1 - 1e-9)
+        block, row = unfolded(self.term_start[term], self.term_start[term + 1])
+        key = own[row] * runs + self.block_run[block]
+        looked = np.zeros((own[-1] + 1) * runs, bool)
+        looked[key[reached[row]]] = True
+        bound = np.bincount(key, self.block_most[block], len(looked))
+        looked &= bound >= np.tile(self.run_limits, own[-1] + 1) * (1 - 1e-9)
+        live = looked[key]
+        block, key = block[live], key[live]
+        if not len(block):
+            return []
+        order = np.argsort(key, kind="stable")
+        block, key = block[order], key[order]
+        at, row = unfolded(self.block_start[block], self.block_start[block + 1])
+        self.scored += len(at)
+        pair, place = np.unique(key[row] // runs * len(self.limits) + self.items[at], return_inverse=True)
+        score = np.bincount(place, self.impacts[at])
+        item = pair % len(self.limits)
+        hit = score >= self.limits[item] * (1 - 1e-12)
+        return list(zip((pair[hit] // len(self.limits) + first).tolist(), item[hit].tolist()))
+
+    def verified(self, codes: list[int], place: int) -> tuple[int, float, float, float] | None:
+        """(first word, score, question overlap, answer overlap) of the first window of a
+        passage that passes, None if none does."""
+        question, answer = self.word_codes[place]
+        length = window(len(question) + len(answer))
+        size = min(SHINGLE, len(question))
+        wanted = Counter(shingles(question, size)) if size else Counter()
+        needs = Counter(answer)
+        found: dict[object, list[int]] = {}
+        for k, code in enumerate(codes):
+            if size and (piece := tuple(codes[k : k + size])) in wanted:
+                found.setdefault(piece, []).append(k)
+            if code in needs:
+                found.setdefault(code, []).append(k)
+        # A window that passes can be moved on to the first thing of the item in it.
+        for start in sorted({k for own in found.values() for k in own}):
+            held = {
+                name for name, own in found.items()
+                if (k := bisect.bisect_left(own, start)) < len(own)
+                and own[k] + (size if isinstance(name, tuple) else 1) <= start + length
+            }
+            shares = [
+                sum(n for name, n in parts_.items() if name in held) / parts_.total() if parts_ else 1.0
+                for parts_ in (wanted, needs)
+            ]
+            if min(shares) >= OVERLAP - 1e-9:
+                if place not in self.own:
+                    at = np.flatnonzero(self.items == place)
+                    terms = np.searchsorted(self.block_start, at, side="right") - 1
+                    names = np.searchsorted(self.term_start, terms, side="right") - 1
+                    self.own[place] = dict(zip(names.tolist(), self.impacts[at].tolist()))
+                own = self.own[place]
+                score = sum(own.get(c, 0.0) for c in sorted(set(codes[start : start + length])))
+                return start, score, *shares
+        return None
+
+    def search(self, texts: list[str], longest: int):
+        """(text number, item, first word, score, question overlap, answer overlap) of each pair's
+        first window. ``longest``: words of the longest of all items, not only this block's."""
+        stride = window(longest)
+        length = 2 * stride
         split = [words_of(t) for t in texts]
         flat = np.array([self.terms.get(w, -1) for w in itertools.chain.from_iterable(split)], np.int64)
         sizes = np.fromiter(map(len, split), np.int64, len(split))
         begin = np.cumsum(sizes) - sizes
-        counts = np.maximum(1, -(-(sizes - self.longest) // stride))
+        counts = np.maximum(1, -(-sizes // stride) - 1)
         owner = np.repeat(np.arange(len(texts)), counts)
         first = (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)) * stride
         span = np.minimum(length, sizes[owner] - first)
-        passage = np.repeat(np.arange(len(owner)), span)
-        inside = np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span)
-        term = flat[np.repeat(begin[owner] + first, span) + inside]
+        places, passage = unfolded(begin[owner] + first, begin[owner] + first + span)
+        term = flat[places]
         width = len(self.terms) + 1
         known = term >= 0
         pairs = np.unique(passage[known] * width + term[known])
         best: dict[tuple[int, int], tuple] = {}
-        for p, place, score in self.candidates(pairs % width, pairs // width, len(owner)):
-            _, item, question, answer = self.entries[place]
+        for p, place in self.candidates(pairs % width, pairs // width) if len(pairs) else ():
             text, at = int(owner[p]), int(first[p])
-            found = overlaps(question, answer, split[text][at : at + length])
-            if min(found) >= OVERLAP - 1e-9 and ((text, item) not in best or score > best[text, item][0]):
-                best[text, item] = (score, at, *found)
-        return [(text, item, at, score, q, a) for (text, item), (score, at, q, a) in best.items()]
-
-
-def found_rows(docs: DataFrame, benchmark: DataFrame, block_items: int = 4000) -> DataFrame:
-    """row (its key) and item_id of pairs with first_word and bm25 of the best passage and both overlaps.
-
-    A pair is found if a passage holds at least 0.8 of the question's five-word shingles
-    (with fewer words the whole question) and 0.8 of the answer's words; words are runs
-    of letters, digits and underscores, lower-cased. Passages have twice the words of the
-    block's longest item and overlap by that item's length. Null or empty texts and items
-    without words match nothing. An empty table gives an empty result; other columns are
-    ignored.
+            if (text, place) in best:  # passages come in order: an earlier window was found
+                continue
+            # Windows that begin in the passage are seen to their end.
+            codes = flat[begin[text] + at : begin[text] + min(at + length + stride, sizes[text])].tolist()
+            if (found := self.verified(codes, place)) is not None:
+                best[text, place] = (at + found[0], *found[1:])
+        return [(text, self.entries[place][1], *rest) for (text, place), rest in best.items()]
+
+
+def found_rows(docs: DataFrame, benchmark: DataFrame, block_items: int = 50_000) -> DataFrame:
+    """row and item (their keys) of pairs with first_word and bm25 of the first window and both overlaps.
+
+    A pair is found if a window of the text holds at least 0.8 of the question's five-word
+    shingles (with fewer words the whole question) and 0.8 of the answer's words; words
+    are runs of letters, digits and underscores, lower-cased. A window has twice the words of
+    the item and 32 more. Rows of the benchmark are items of their own by id and text, null
+    and repeated ids too. Null or empty texts and items without words match nothing. An empty
+    table gives an empty result; other columns are ignored. A pass over ``docs`` serves
+    ``block_items`` items: neither the driver nor a task holds more of the index.
     """
     spark = docs.sparkSession
-    items = benchmark.select("item_id", "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
-    items = items.groupBy("item_id").agg(F.min("text").alias("text"))
-    blocks = max(1, -(-items.count() // block_items))
-    shard = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
-    weights = postings(items)
+    items = benchmark.select("item_id", "text").filter("text IS NOT NULL").select(
+        F.concat(F.sha2("text", 256), F.coalesce(F.col("item_id").cast("string"), F.lit(""))).alias("item"), "text"
+    ).distinct()
+    weights = written(postings(items), "postings")
+    count, longest = weights.agg(F.count_distinct("item"), F.coalesce(F.max("size"), F.lit(1))).first()
+    blocks = max(1, -(-count // block_items))
+    shard = F.pmod(F.xxhash64("item"), F.lit(blocks))
     plain = documents(docs).select(row_key().alias("row"), "text")
-    schema = "row string, item_id long, first_word long, bm25 double, question_overlap double, answer_overlap double"
+    schema = "row string, item string, first_word long, bm25 double, question_overlap double, answer_overlap double"
     found = []
     for k in range(blocks):
         part = items.filter(shard == k).collect()
-        index = spark.sparkContext.broadcast(
-            Index([(r[0], r[1]) for r in part], weights.filter(shard == k).toPandas())
-        )
-        found.append(plain.mapInArrow(_searcher(index), schema))
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
-    return pairs
+        data = index_data([(r[0], r[1]) for r in part], weights.filter(shard == k).toPandas())
+        found.append(plain.mapInArrow(_searcher(spark.sparkContext.broadcast(data), longest), schema))
+    return reduce(DataFrame.unionByName, found)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, block_items: int = 4000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, block_items: int = 50_000) -> DataFrame:
     """Pairs doc_id, item_id as ``found_rows`` has them, the best score of equal pairs."""
-    pairs = found_rows(docs, benchmark, block_items).withColumn("doc_id", id_of("row"))
-    best = F.max_by(F.struct("first_word", "bm25", "question_overlap", "answer_overlap"), F.col("bm25"))
+    pairs = found_rows(docs, benchmark, block_items).withColumns({"doc_id": id_of("row"), "item_id": id_of("item")})
+    best = F.max_by(F.struct("first_word", "bm25", "question_overlap", "answer_overlap"), F.struct("bm25", "first_word"))
     return pairs.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.*")
 
 
-def _searcher(index):
+def _searcher(shipped, longest: int):
     def run(batches):
+        index = Index(shipped.value)
         for ids, texts in slices(batches, 2_000_000):
-            rows = index.value.search(texts) if index.value.entries else []
+            rows = index.search(texts, longest) if index.entries else []
             columns = list(zip(*[(ids[text], *rest) for text, *rest in rows])) or [()] * 6
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
-            names = ("row", "item_id", "first_word", "bm25", "question_overlap", "answer_overlap")
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+            names = ("row", "item", "first_word", "bm25", "question_overlap", "answer_overlap")
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], list(names))
 
     return run

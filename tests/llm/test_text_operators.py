@@ -3,10 +3,12 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from surveyspark.llm import decontaminate, html_text, lm_score, toxicity, url_filter
@@ -235,51 +237,117 @@ def test_article_blocks_of_the_given_pages(spark):
 
 
 def brute_pairs(docs, items):
-    """Pairs by the verification alone, over every passage of every text."""
-    longest = max((sum(map(len, decontaminate.parts(t or ""))) for _, t in items), default=1)
-    length = max(2 * longest, 64)
+    """Pairs by the definition alone: every window of every text, no passages, no scores."""
     out = set()
     for i, text in docs:
-        words = decontaminate.words_of(text or "")
-        for at in range(0, max(1, len(words)), length - longest):
-            for item, t in items:
-                question, answer = decontaminate.parts(t or "")
-                if (question or answer) and min(decontaminate.overlaps(question, answer, words[at : at + length])) >= 0.8 - 1e-9:
+        words = re.findall(r"\w+", (text or "").lower())
+        for item, t in items:
+            question, answer = decontaminate.parts(t or "")
+            size = len(question) + len(answer)
+            if not size or not set(question + answer) & set(words):
+                continue
+            n = min(5, len(question))
+            own = [question[k : k + n] for k in range(len(question) - n + 1)] if n else []
+            for at in range(max(1, len(words))):
+                part = words[at : at + 2 * size + 32]
+                pieces = {tuple(part[k : k + n]) for k in range(len(part) - n + 1)}
+                asked = sum(tuple(s) in pieces for s in own) >= 0.8 * len(own) - 1e-9
+                if asked and sum(w in part for w in answer) >= 0.8 * len(answer) - 1e-9:
                     out.add((i, item))
+                    break
     return out
 
 
-@pytest.mark.parametrize("block_items", [4000, 7])
-def test_pairs_match_brute_force(spark, frame, clash, block_items):
-    rng = random.Random(8)
-    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 5))) for _ in range(500)]
+def small_benchmark(rng, vocabulary):
     common = vocabulary[:30]
     word = lambda: rng.choice(common if rng.random() < 0.6 else vocabulary)
     sentence = lambda n: " ".join(word() for _ in range(n)) + "."
-    items = [(k, " ".join(sentence(rng.randint(3, 12)) for _ in range(rng.randint(1, 4)))) for k in range(60)]
-    items += [(100, None), (101, ""), (102, "one"), (0, items[0][1])]
-    docs = [(k, " ".join(sentence(rng.randint(3, 20)) for _ in range(rng.randint(0, 40)))) for k in range(60)]
-    for k in range(60, 160):  # copies with edits, around the threshold
-        own = rng.choice(items[:60])[1].split()
+    return word, sentence, [(k, " ".join(sentence(rng.randint(3, 12)) for _ in range(rng.randint(1, 4)))) for k in range(60)]
+
+
+@pytest.mark.parametrize("block_items", [50_000, 7])
+def test_pairs_match_brute_force(spark, frame, clash, block_items):
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 5))) for _ in range(500)]
+    word, sentence, items = small_benchmark(rng, vocabulary)
+    # A null and a repeated id are items of their own.
+    items += [(100, None), (101, ""), (102, "one"), (0, sentence(20)), (None, sentence(18)), (3, items[3][1])]
+    docs = [(k, " ".join(sentence(rng.randint(3, 20)) for _ in range(rng.randint(0, 20)))) for k in range(40)]
+    for k in range(60, 140):  # copies with edits and words put in between, around the threshold
+        own = rng.choice([t for _, t in items if t]).split()
         for _ in range(rng.randint(0, 3)):
             own[rng.randrange(len(own))] = word()
-        docs.append((k, f"{sentence(rng.randint(1, 150))} {' '.join(own).upper()} {sentence(rng.randint(1, 150))}"))
-    docs += [(900, None), (901, ""), (902, "one"), (60, docs[60][1])]
+        if k % 2:
+            own.insert(rng.randrange(len(own) + 1), " ".join(word() for _ in range(rng.randint(5, 70))))
+        docs.append((k, f"{sentence(rng.randint(1, 90))} {' '.join(own).upper()} {sentence(rng.randint(1, 90))}"))
+    docs += [(900, None), (901, ""), (902, "one"), (60, docs[40][1]), (903, items[-2][1]), (904, items[-3][1])]
     source = clash(frame(docs))
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    if block_items == 4000:
-        found = decontaminate.contaminated(source, benchmark, block_items)
-        pairs = {(r["doc_id"], r["item_id"]) for r in found.collect()}
-        assert pairs == brute_pairs(docs, items) and found.count() == len(pairs)
+    found = decontaminate.contaminated(source, benchmark, block_items)
+    pairs = {(r["doc_id"], r["item_id"]) for r in found.collect()}
+    want = brute_pairs(docs, items)
+    assert pairs == want and found.count() == len(pairs) and any(i is None for _, i in pairs)
+    if block_items > 7:
         kept = decontaminate.decontaminate(source, benchmark)
         assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in docs} - {i for i, _ in pairs}
         assert decontaminate.contaminated(source.limit(0), benchmark).count() == 0
         assert decontaminate.contaminated(source, benchmark.limit(0)).count() == 0
-    else:  # passages depend on the block's longest item; whole copies are found in any
-        found = decontaminate.contaminated(source, benchmark, block_items)
-        pairs = {(r["doc_id"], r["item_id"]) for r in found.collect()}
-        whole = {(i, k) for i, t in docs for k, x in items if x and t and x.upper() in t.upper()}
-        assert whole <= pairs
+
+
+@pytest.mark.parametrize("companions", [0, 1, 5])
+def test_a_stretched_copy_is_found_at_every_offset(spark, companions):
+    """40 words with 20 put between question and answer, behind 0 to 199 words; other items do not matter."""
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(400)]
+    question, answer = rng.sample(words, 32), rng.sample(words, 8)
+    items = [("x", " ".join(question) + ". " + " ".join(answer) + ".")]
+    items += [(f"o{k}", " ".join(rng.choices(words, k=60 + k)) + ".") for k in range(companions)]
+    benchmark = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(items)], "item_id long, text string")
+    filler = [f"f{k}" for k in range(500)]
+    texts = [(n, " ".join([*rng.choices(filler, k=n), *question, *rng.choices(filler, k=20), *answer, *rng.choices(filler, k=300)]))
+             for n in range(200)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = decontaminate.contaminated(docs, benchmark).filter("item_id = 0").collect()
+    assert sorted(r["doc_id"] for r in found) == list(range(200))
+    assert all(r["first_word"] == r["doc_id"] for r in found)
+    assert len({round(r["bm25"], 9) for r in found}) == 1
+
+
+def test_runs_are_skipped_and_nothing_is_lost():
+    """Against adding up all postings, for many items; memory of one large slice stays small."""
+    rng = random.Random(5)
+    rare = [f"r{k}" for k in range(20_000)]
+    common = [f"c{k}" for k in range(1000)]
+    pick = lambda n: [rng.choice(common if rng.random() < 0.5 else rare) for _ in range(n)]
+    items = [(f"{k:04}", " ".join(pick(rng.randint(15, 50))) + ".") for k in range(4000)]
+    sizes = {i: len(decontaminate.words_of(t)) for i, t in items}
+    df = Counter(w for _, t in items for w in set(decontaminate.words_of(t)))
+    found = pd.DataFrame([
+        (i, w, math.log(1 + (4000 - df[w] + 0.5) / (df[w] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * sizes[i] / 32)))
+        for i, t in items for w, n in Counter(decontaminate.words_of(t)).items()
+    ], columns=["item", "word", "impact"])
+    index = decontaminate.Index(decontaminate.index_data(items, found))
+    texts = [" ".join(pick(150) + (rng.choice(items)[1].split() if k % 5 == 0 else []) + pick(100)) for k in range(400)]
+    split = [[index.terms.get(w, -1) for w in decontaminate.words_of(t)] for t in texts]
+    term = np.concatenate([np.array(sorted({c for c in s if c >= 0})) for s in split])
+    passage = np.concatenate([np.full(len({c for c in s if c >= 0}), k) for k, s in enumerate(split)])
+    tracemalloc.start()
+    got = set(index.candidates(term, passage))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    by_word = {}
+    for code, item, impact in zip(np.repeat(np.arange(len(index.terms)), np.diff(index.block_start[index.term_start])), index.items, index.impacts):
+        by_word.setdefault(int(code), []).append((int(item), impact))
+    want, everything = set(), 0
+    for k, s in enumerate(split):
+        score = Counter()
+        for c in set(s) - {-1}:
+            everything += len(by_word[c])
+            for item, impact in by_word[c]:
+                score[item] += impact
+        want |= {(k, i) for i, v in score.items() if v >= index.limits[i]}
+    assert got == want and len(want) >= 80
+    assert index.scored < 0.1 * everything and peak < 300e6
 
 
 def test_only_the_contaminated_rows_of_an_id_go(spark, frame):
