@@ -221,6 +221,75 @@ def test_pages(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+LONG = "This is a long paragraph, with several clauses; it has commas, and it goes on for a while. It ends here."
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    # Words in names that also stand for parts of an article do not drop them.
+    (f"<article><div class='section-header'><h1>Big title</h1></div><p>{LONG}</p></article>", f"Big title\n{LONG}"),
+    (f"<article><header><h2>Own header</h2></header><p>{LONG}</p></article>", f"Own header\n{LONG}"),
+    (f"<article><p>{LONG}</p><div class='search-results'><p>{LONG}</p></div></article>", f"{LONG}\n{LONG}"),
+    (f"<article><p>{LONG}</p><p class='social'>Social life, short.</p></article>", f"{LONG}\nSocial life, short."),
+    # Reader comments go, whatever they are called.
+    (f"<article><p>{LONG}</p><div class='reader-opinions'><p>Nice, I like it.</p></div></article>", LONG),
+    (f"<article><p>{LONG}</p><section id='comments'><p>{LONG}</p></section></article>", LONG),
+    # Without an article element.
+    (f"<body><h1>Title</h1><p>{LONG}</p><p>{LONG}</p><div>Site map</div></body>", f"Title\n{LONG}\n{LONG}"),
+    (f"<body><div class='x1'>Home</div><div class='q7'><h2>Head</h2><p>{LONG}</p><p>Short one.</p><ul><li>a</li></ul></div>"
+     "<div class='z9'><p>Imprint</p></div></body>", f"Head\n{LONG}\nShort one.\na"),
+    # Of two plain elements the ratio decides.
+    (f"<div class=a><p>Top</p><p>News</p><p>Sport</p></div><div class=b><p>{LONG}</p><p>{LONG}</p></div>", f"{LONG}\n{LONG}"),
+])
+def test_ratios_decide_and_names_are_evidence(page, want):
+    assert html_text.main_text(page) == want
+
+
+def plain_ratios(leaves, share=0.5):
+    """Path ratios step by step, without arrays."""
+    punctuation = set(".,;:!?…。，、؟¿¡")
+    per_leaf = []
+    for path, _, _ in leaves:
+        same = [t for p, _, t in leaves if p == path]
+        per_leaf.append((sum(map(len, same)) / len(same), sum(c in punctuation for t in same for c in t) / len(same)))
+    fused = []
+    for k, (_, weight, _) in enumerate(leaves):
+        left, right = per_leaf[max(k - 1, 0)], per_leaf[min(k + 1, len(leaves) - 1)]
+        chars, marks = ((left[i] + 2 * per_leaf[k][i] + right[i]) / 4 for i in (0, 1))
+        fused.append(chars * (1 + marks) * weight)
+    limit = share * sum(f * len(t) for f, (_, _, t) in zip(fused, leaves)) / sum(len(t) for _, _, t in leaves)
+    values = {}
+    for f, (path, _, _) in zip(fused, leaves):
+        values.setdefault(path, []).append(f)
+    return {p for p, v in values.items() if sum(v) / len(v) >= limit}
+
+
+def made_page(rng):
+    """A page without article tags whose element names say nothing."""
+    words = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma,", "delta.", "eps"]) for _ in range(n))
+    name = lambda: "".join(rng.choice("klmnop") for _ in range(5))
+    body = [f"<h1>{words(4)}</h1>"] + [f"<p>{words(rng.randint(40, 90))}</p>" for _ in range(rng.randint(3, 8))]
+    other = ["".join(f"<p>{words(2)}</p>" for _ in range(rng.randint(2, 6))) for _ in range(rng.randint(1, 3))]
+    parts = [f"<div class='{name()}'>{o}</div>" for o in other]
+    at = rng.randint(0, len(parts))
+    parts.insert(at, f"<div class='{name()}'>{''.join(body)}</div>")
+    return "<html><body>" + "".join(parts) + "</body></html>", "\n".join(re.sub("<.*?>", "", b) for b in body)
+
+
+def test_ratios_equal_a_plain_implementation_and_find_planted_text():
+    rng = random.Random(12)
+    same = 0
+    for _ in range(60):
+        page, want = made_page(rng)
+        parser = html_text.Leaves()
+        parser.feed(page)
+        parser.end_block()
+        assert html_text.content_paths(parser.blocks) == plain_ratios(parser.blocks)
+        assert html_text.main_text(page) == want
+        # Without the ratios everything on the page would stay.
+        same += html_text.main_text(page, lambda leaves: {p for p, _, _ in leaves}) == want
+    assert same == 0
+
+
 def test_article_blocks_of_the_given_pages(spark):
     import html
 
