@@ -139,8 +139,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     again = kept.filter("_rows > 1").drop("_rows")
     if again.isEmpty():
         return rows
-    once = named(rows, again, "left_semi").withColumn("_text", F.coalesce("text", F.lit("")))
-    once = once.dropDuplicates(["doc_id", "_text"]).drop("_text")
+    once = named(rows, again, "left_semi")
+    spare = "_text" + "_" * max(map(len, once.columns))  # longer than any column's name
+    once = once.withColumn(spare, F.coalesce("text", F.lit(""))).dropDuplicates(["doc_id", spare]).drop(spare)
     return named(rows, again, "left_anti").unionByName(once)
 
 

@@ -9,9 +9,11 @@ sees more than one range. The probability of a word is
     w2 * count(context, word) / count(context) + w1 * count(word) / tokens + w0 / (words + 1)
 
 with weights by frequency bucket of the context. They are learned by expectation
-maximisation on held-out counts: for a twentieth of the training documents each event is
-looked up in the corpus counts less its own document's. N-grams are compared as 64-bit
-hashes of their words.
+maximisation on held-out counts: every token of every training document is an event, looked
+up in the corpus counts less its own document's. Events of one bucket whose two estimates lie
+within an eighth of a binary order of each other are counted together with their sums, so
+what the maximisation goes through is bounded, whatever the corpus. N-grams are compared
+as 64-bit hashes of their words.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ from .common import fold, written
 
 CHUNK = 500_000
 BUCKETS = 20  # context frequency buckets: 0, 1, 2-3, 4-7, ...
-TUNING, FOLDS, HELD_OUT = 0, 5, 1
+FOLDS, HELD_OUT = 5, 1
+STEPS, LEVELS = 8, 512  # cells a binary order of an estimate; cells in all
 END, START = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC3A5C85C97CB3127)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -81,40 +84,34 @@ def tokens_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def chunks_of(docs: DataFrame) -> DataFrame:
-    """Tokenised groups of documents; tuning documents are in chunks of their own."""
+    """Tokenised groups of documents."""
 
     def emit(rows):
         words, tokens, sizes = tokens_of([t for _, _, t in rows])
         return pa.RecordBatch.from_arrays([
             pa.array([uuid.uuid4().int >> 65], pa.int64()),
-            pa.array([bool(rows[0][1] == TUNING)]),
             pa.array([[i for i, _, _ in rows]], pa.list_(pa.int64())),
-            pa.array([[f % FOLDS == HELD_OUT for _, f, _ in rows]], pa.list_(pa.bool_())),
+            pa.array([[f == HELD_OUT for _, f, _ in rows]], pa.list_(pa.bool_())),
             pa.array([sizes.tolist()], pa.list_(pa.int64())),
             pa.array([words.tobytes()], pa.binary()), pa.array([tokens.tobytes()], pa.binary()),
-        ], ["chunk", "tuning", "ids", "held_out", "sizes", "words", "tokens"])
+        ], ["chunk", "ids", "held_out", "sizes", "words", "tokens"])
 
     def run(batches):
-        waiting = {True: [[], 0], False: [[], 0]}
+        rows, size = [], 0
         for batch in batches:
             for i, f, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(1)):
                 text = text.as_py()
-                own = waiting[f == TUNING]
-                own[0].append((i, f, text))
-                own[1] += text.count(" ") + text.count("\n") + 1
-                if own[1] >= CHUNK:
-                    yield emit(own[0])
-                    own[:] = [[], 0]
-        for rows, _ in waiting.values():
-            if rows:
-                yield emit(rows)
-
-    plain = docs.select(
-        "doc_id", F.coalesce("text", F.lit("")).alias("text"), fold("doc_id", 4 * FOLDS).alias("fold")
-    )
+                rows.append((i, f, text))
+                size += text.count(" ") + text.count("\n") + 1
+                if size >= CHUNK:
+                    yield emit(rows)
+                    rows, size = [], 0
+        if rows:
+            yield emit(rows)
+
+    plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), fold("doc_id", FOLDS).alias("fold"))
     return plain.mapInArrow(
-        run, "chunk long, tuning boolean, ids array<long>, held_out array<boolean>, sizes array<long>, "
-        "words binary, tokens binary",
+        run, "chunk long, ids array<long>, held_out array<boolean>, sizes array<long>, words binary, tokens binary"
     )
 
 
@@ -149,12 +146,12 @@ class Chunk:
 
 def requests_of(chunks: DataFrame, ranges: int) -> DataFrame:
     shift = np.uint64(64 - (ranges.bit_length() - 1))
-    names = ("chunk", "tuning", "gram", "part", "asked", "counts")
+    names = ("chunk", "gram", "part", "asked", "counts")
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                row = {n: batch.column(n)[k].as_py() for n in ("chunk", "tuning", "sizes", "held_out", "words", "tokens")}
+                row = {n: batch.column(n)[k].as_py() for n in ("chunk", "sizes", "held_out", "words", "tokens")}
                 own = Chunk(row["sizes"], row["held_out"], row["words"], row["tokens"])
                 for order in own.grams:
                     distinct, counts, _ = own.asked(order)
@@ -164,13 +161,11 @@ def requests_of(chunks: DataFrame, ranges: int) -> DataFrame:
                     rows = []
                     for a, b in zip(edges, edges[1:]):
                         steps = np.diff(distinct[a:b], prepend=np.uint64(0))
-                        rows.append((row["chunk"], row["tuning"], order, int(part[a]), pack(steps), pack(counts[a:b])))
-                    kinds = (pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+                        rows.append((row["chunk"], order, int(part[a]), pack(steps), pack(counts[a:b])))
+                    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], list(names))
 
-    return chunks.mapInArrow(
-        run, "chunk long, tuning boolean, gram int, part long, asked binary, counts binary"
-    )
+    return chunks.mapInArrow(run, "chunk long, gram int, part long, asked binary, counts binary")
 
 
 def answers_of(requests: DataFrame) -> DataFrame:
@@ -185,14 +180,14 @@ def answers_of(requests: DataFrame) -> DataFrame:
         np.add.at(total, back, np.concatenate([unpack(c) for c in rows["counts"]]).astype(np.int64))
         found = total[back].astype(np.uint64)
         edges = np.cumsum([0, *sizes])
-        out = rows[["chunk", "tuning", "gram", "part"]].copy()
+        out = rows[["chunk", "gram", "part"]].copy()
         out["counts"] = [pack(found[a:b]) for a, b in zip(edges, edges[1:])]
         out["total"], out["distinct"] = 0, 0
         out.iloc[0, -2:] = int(total.sum()), int((total > 0).sum())
         return out
 
     return requests.groupBy("gram", "part").applyInPandas(
-        answer, "chunk long, tuning boolean, gram int, part long, counts binary, total long, distinct long"
+        answer, "chunk long, gram int, part long, counts binary, total long, distinct long"
     )
 
 
@@ -236,57 +231,77 @@ def _rows_of(batches):
             yield {n: batch.column(n)[k].as_py() for n in batch.schema.names}
 
 
-def events_of(tuning: DataFrame, tokens: int, starts: int) -> DataFrame:
-    """Held-out events: bucket and the two estimates without the event's own document."""
+def _cell(estimate: np.ndarray) -> np.ndarray:
+    """0 for zero, else by the binary logarithm, ``STEPS`` cells an order."""
+    level = LEVELS - 1 + np.floor(np.log2(np.where(estimate > 0, estimate, 1.0)) * STEPS).astype(np.int64)
+    return np.where(estimate > 0, np.clip(level, 1, LEVELS - 1), 0)
+
+
+def events_of(chunks: DataFrame, tokens: int, starts: int) -> DataFrame:
+    """Held-out events of all training documents by cell: bucket, n, and the sums of the two
+    estimates without the event's own document."""
 
     def run(batches):
+        held: dict[int, np.ndarray] = {}
         for row in _rows_of(batches):
             own, count, place = _looked_up(row)
+            if not own.learned.any():
+                continue
             apart = {k: own.own_counts(place[k]) for k in count}
             two, one = count[2] - apart[2], count[1] - apart[1]
             context = _context(own, one, starts - 1)
             rest = tokens - own.sizes[own.owner]
-            yield pa.RecordBatch.from_arrays([
-                pa.array([bucket_of(context).astype(np.uint8).tobytes()], pa.binary()),
-                pa.array([_share(two, context).tobytes()], pa.binary()),
-                pa.array([_share(one, rest).tobytes()], pa.binary()),
-            ], ["bucket", "two", "one"])
-
-    return tuning.mapInArrow(run, "bucket binary, two binary, one binary")
+            used = own.learned
+            two, one, bucket = _share(two, context)[used], _share(one, rest)[used], bucket_of(context)[used]
+            keys, back = np.unique((bucket * LEVELS + _cell(two)) * LEVELS + _cell(one), return_inverse=True)
+            sums = np.stack([np.bincount(back, w, len(keys)) for w in (None, two, one)], 1)
+            for key, values in zip(keys.tolist(), sums):
+                held[key] = held[key] + values if key in held else values
+        sums = np.array(list(held.values())).reshape(-1, 3)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(held), pa.int64()), *map(pa.array, sums.T.copy())], ["cell", "n", "two", "one"]
+        )
+
+    found = chunks.mapInArrow(run, "cell long, n double, two double, one double").groupBy("cell").agg(
+        *[F.sum(c).alias(c) for c in ("n", "two", "one")]
+    )
+    return found.select((F.col("cell") / LEVELS**2).cast("int").alias("bucket"), "n", "two", "one")
 
 
-def learn_weights(events: DataFrame, words: int, rounds: int = 12, enough: float = 1e-4) -> np.ndarray:
-    """Mixture weights by bucket: one pass over the events and 3 sums a bucket each round."""
-    weights = np.tile([0.6, 0.35, 0.05], (BUCKETS, 1))
-    weights[0] = [0.0, 0.9, 0.1]
+def maximised(events: np.ndarray, floor: float, parts: tuple[int, ...], rounds: int, enough: float) -> np.ndarray:
+    """Mixture weights of one group of cells (n, two, one), from equal ones to the tolerance."""
+    weights = np.zeros(3)
+    weights[list(parts)] = 1 / len(parts)
+    n = events[:, 0]
+    estimates = np.column_stack([events[:, 1] / n, events[:, 2] / n, np.full(len(n), floor)])
     for _ in range(rounds):
-        now = weights.copy()
-
-        def expect(frames):
-            total = np.zeros((BUCKETS, 3))
-            for frame in frames:
-                for b, two, one in zip(frame["bucket"], frame["two"], frame["one"]):
-                    bucket = np.frombuffer(b, np.uint8)
-                    parts = np.stack([np.frombuffer(two), np.frombuffer(one), np.full(len(bucket), 1 / (words + 1))], 1)
-                    parts = parts * now[bucket]
-                    parts /= parts.sum(axis=1, keepdims=True)
-                    for k in range(3):
-                        total[:, k] += np.bincount(bucket, parts[:, k], BUCKETS)
-            yield pd.DataFrame({"bucket": np.repeat(np.arange(BUCKETS), 3), "part": np.tile(np.arange(3), BUCKETS), "n": total.ravel()})
-
-        sums = events.mapInPandas(expect, "bucket int, part int, n double").groupBy("bucket", "part").agg(F.sum("n").alias("n"))
-        total = np.zeros((BUCKETS, 3))
-        for row in sums.collect():
-            total[row[0], row[1]] = row[2]
-        seen = total.sum(axis=1) > 0
+        share = estimates * weights
+        share /= share.sum(1, keepdims=True)
+        now = n @ share
         # Half an event a part keeps every weight above zero.
-        weights[seen] = (total[seen] + 0.5) / (total[seen].sum(axis=1, keepdims=True) + 1.5)
-        weights[0, 0], weights[0, 1:] = 0.0, weights[0, 1:] / weights[0, 1:].sum()
-        if np.abs(weights - now).max() < enough:
+        now[list(parts)] += 0.5
+        now /= now.sum()
+        done = np.abs(now - weights).max() < enough
+        weights = now
+        if done:
             break
     return weights
 
 
+def learn_weights(events: DataFrame, words: int, rounds: int = 10_000, enough: float = 1e-7) -> np.ndarray:
+    """Mixture weights by bucket. A bucket without events has the weights of all events
+    together; without any events they are equal."""
+    cells = events.toPandas()  # at most BUCKETS x LEVELS x LEVELS
+    floor = 1 / (words + 1)
+    columns = ["n", "two", "one"]
+    weights = np.empty((BUCKETS, 3))
+    for parts, rows in (((0, 1, 2), slice(1, None)), ((1, 2), slice(0, 1))):
+        weights[rows] = maximised(cells[columns].to_numpy(), floor, parts, rounds, enough)
+    for bucket, own in cells.groupby("bucket"):
+        weights[bucket] = maximised(own[columns].to_numpy(), floor, (0, 1, 2) if bucket else (1, 2), rounds, enough)
+    return weights
+
+
 def lm_scores(docs: DataFrame) -> DataFrame:
     """One row per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -306,8 +321,9 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     starts = chunks.select(F.expr("size(filter(held_out, h -> NOT h))").alias("n")).agg(
         F.coalesce(F.sum("n"), F.lit(0))
     ).first()[0]
-    tuning = counted(chunks.filter("tuning"), answers.filter("tuning"))
-    weights = learn_weights(written(events_of(tuning, tokens, starts), "events", 1), words)
+    # Chunks are large: few pass to Python at once while the events are gathered.
+    events = written(events_of(counted(chunks, answers), tokens, starts), "events", 1)
+    weights = learn_weights(events, words)
 
     def run(batches):
         for row in _rows_of(batches):

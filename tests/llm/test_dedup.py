@@ -248,3 +248,11 @@ def test_components_of_long_chains(spark):
     got = {r["node"]: r["component"] for r in near_dedup.components(edges).collect()}
     assert got == {**{k: 0 for k in range(61)}, 100: 100, 101: 100, 200: 100}
     assert near_dedup.components(edges.limit(0)).count() == 0
+
+
+def test_a_column_of_any_name_survives_exact_dedup(spark):
+    rows = [(1, "a", "x"), (1, "a", "x"), (2, "b", "y"), (3, "b", "z"), (None, None, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _text string").withColumn("_text__", F.lit(1))
+    kept = exact_dedup.deduplicate(docs)
+    assert kept.columns == docs.columns
+    assert sorted(kept.select("doc_id", "_text").collect(), key=str) == [(1, "x"), (3, "z"), (None, "n")]

@@ -130,6 +130,29 @@ def test_words_have_the_same_buckets_in_any_company():
     assert one[2, 1] == one[3, 1] and (one[1, 1:] == 0).all()
 
 
+def test_url_verdicts_of_rows_held_out(spark):
+    """Labels by host suffix and digits, one in twenty turned; learned from half of the URLs."""
+    rng = random.Random(2)
+    rows = []
+    for k in range(3000):
+        suffix, digits = rng.choice(["org", "info", "shop", "dev"]), rng.randint(0, 9)
+        label = int(suffix == "shop" or (suffix == "info" and digits > 4))
+        url = f"http://h{rng.randint(0, 400)}.{suffix}/{'p/' * rng.randint(0, 3)}{'7' * digits}x"
+        rows.append((k, url, label, 1 - label if rng.random() < 0.05 else label))
+    urls = spark.createDataFrame(rows, "page_id long, url string, truth int, label int")
+    got = url_filter.judge(urls.filter("page_id % 2 = 0"), urls.filter("page_id % 2 = 1").select("url", "label"), rules=())
+    truth = {r[0]: r[2] for r in rows}
+    right = [(r["verdict"] == "block") == bool(truth[r["page_id"]]) for r in got.collect()]
+    assert len(right) == 1500 and sum(right) >= 0.95 * len(right)
+
+
+def test_shares_leave_a_rows_own_label_out(spark):
+    rows = [("u1", 1.0, "a", "x.a"), ("u2", 0.0, "a", "y.a"), ("u3", 1.0, "b", "x.b")]
+    labelled = spark.createDataFrame(rows, "url string, label double, _last string, _two string")
+    got = {r["url"]: r["share_last"] for r in url_filter.with_shares(labelled, labelled, 0.5, 2.0, own=True).collect()}
+    assert got == {"u1": 1.0 / 3, "u2": 2.0 / 3, "u3": 0.5}
+
+
 # ----------------------------------------------------------------- language model
 
 
@@ -176,16 +199,75 @@ def test_model_is_a_mixture_that_beats_the_base(spark):
 
 def test_weights_reach_the_best_likelihood(spark):
     rng = np.random.default_rng(1)
-    bucket = np.full(4000, 3, np.uint8)
     two, one = rng.random(4000) * (rng.random(4000) < 0.5), rng.random(4000) * 0.01
-    events = spark.createDataFrame([(bucket.tobytes(), two.tobytes(), one.tobytes())], "bucket binary, two binary, one binary")
-    weights = lm_score.learn_weights(events, 999, rounds=200, enough=1e-7)[3]
+    events = spark.createDataFrame(
+        pd.DataFrame({"bucket": 3, "n": 1.0, "two": two, "one": one}), "bucket int, n double, two double, one double")
+    weights = lm_score.learn_weights(events, 999)
     parts = np.stack([two, one, np.full(4000, 0.001)], 1)
-    best = np.log(parts @ weights).sum()
+    best = np.log(parts @ weights[3]).sum()
     for a in np.linspace(0.01, 0.98, 40):
         for b in np.linspace(0.01, 0.99 - a, 20):
             assert np.log(parts @ [a, b, 1 - a - b]).sum() <= best + 1.0
-    assert math.isclose(weights.sum(), 1.0)
+    assert np.allclose(weights.sum(axis=1), 1.0) and (weights[0, 0], weights[5].tolist()) == (0.0, weights[3].tolist())
+    none = lm_score.learn_weights(events.limit(0), 999)
+    assert np.allclose(none[4], 1 / 3) and np.allclose(none[0], [0, 0.5, 0.5])
+
+
+def brute_mixture(rows):
+    """The model from plain counts: every training token an event without its own document,
+    in the bucket of its context, and expectation maximisation over the single events."""
+    fold = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 1
+    grams = lambda own: list(zip(["<start>", *own], own))
+    texts = [(i, lm_tokens(t), fold(i)) for i, t in rows]
+    one, two = Counter(), Counter()
+    for _, own, out in texts:
+        if not out:
+            one.update(own)
+            two.update(grams(own))
+    starts = sum(not out for _, _, out in texts)
+    tokens, words = sum(one.values()), len(one)
+    bucket = lambda c: min(int(math.log2(c)) + 1, lm_score.BUCKETS - 1) if c > 0 else 0
+    events = {}
+    for _, own, out in texts:
+        if out:
+            continue
+        mine, pairs = Counter(own), Counter(grams(own))
+        for before, word in grams(own):
+            context = starts - 1 if before == "<start>" else one[before] - mine[before]
+            chance = (two[before, word] - pairs[before, word]) / context if context else 0.0
+            events.setdefault(bucket(context), []).append((chance, (one[word] - mine[word]) / max(tokens - len(own), 1)))
+    weights = {}
+    for b, found in [*events.items(), ("all", sum(events.values(), [])), ("none", sum(events.values(), []))]:
+        parts = np.column_stack([np.array(found), np.full(len(found), 1 / (words + 1))])
+        free = [1, 2] if b in (0, "none") else [0, 1, 2]
+        w = np.zeros(3)
+        w[free] = 1 / len(free)
+        for _ in range(3000):
+            share = parts * w
+            now = (share / share.sum(1, keepdims=True)).sum(0)
+            now[free] += 0.5
+            w, last = now / now.sum(), w
+            if np.abs(w - last).max() < 1e-7:
+                break
+        weights[b] = w
+    out = {}
+    for i, own, _ in texts:
+        total = 0.0
+        for before, word in grams(own):
+            context = starts if before == "<start>" else one[before]
+            b = bucket(context)
+            w = weights.get(b, weights["all" if b else "none"])
+            total += math.log10(w @ [two[before, word] / context if context else 0.0, one[word] / tokens, 1 / (words + 1)])
+        out[i] = total
+    return out
+
+
+def test_mixture_scores_match_brute_force(spark):
+    """All but for the cells in which events are counted together."""
+    docs = spark.read.parquet(f"{TINY}/documents.parquet").filter("length(text) < 3000")
+    want = brute_mixture([tuple(r) for r in docs.select("doc_id", "text").collect()])
+    for r in lm_score.lm_scores(docs).collect():
+        assert math.isclose(r["score"], want[r["doc_id"]], rel_tol=2e-3), r
 
 
 def test_packed_integers_come_back():
