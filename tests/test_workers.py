@@ -1,0 +1,42 @@
+"""Python workers need not have the package: queries run from a folder outside the repository."""
+
+import subprocess
+import sys
+from pathlib import Path
+
+import pytest
+from tables import SF_TINY
+
+REPO = str(Path(__file__).resolve().parents[1])
+SCRIPT = """
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+import __spark_entry__ as contract
+spark = (SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4")
+         .config("spark.driver.memory", "4g").config("spark.ui.enabled", "false")
+         .config("spark.checkpoint.dir", {folder!r}).getOrCreate())
+
+def lost(_):
+    try:
+        import surveyspark
+    except ModuleNotFoundError:
+        return 1
+    return 0
+
+assert all(spark.sparkContext.parallelize(range(8), 4).map(lost).collect()), "workers have the package"
+queries = contract.queries()
+for name in {names!r}:
+    print("done", name, queries[name](spark, {data!r}).count(), flush=True)
+"""
+
+
+@pytest.mark.parametrize("names", [
+    ["bootstrap_ci", "column_profile", "counterfactual_cells", "shap_importance", "shap_interactions", "smotenc",
+     "partial_dependence"],
+])
+def test_workers_without_the_package(names, tmp_path):
+    script = SCRIPT.format(repo=REPO, folder=str(tmp_path / "stages"), names=names, data=SF_TINY)
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True, timeout=900)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert done.stdout.count("done ") == len(names)
