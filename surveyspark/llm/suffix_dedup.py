@@ -371,15 +371,17 @@ def _windows(length: int):
 
 def repeated_spans(plain: DataFrame, length: int, gram: int, crowd: int) -> DataFrame:
     """id, version, from, upto: byte ranges (upto exclusive) that repeated windows cover."""
+    # Counts by gram are written before they are joined, so that the join can split a hot gram.
     twice = grams_of(plain, length, gram).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    places = written(places_of(plain, length, gram).join(twice.select("gram"), "gram", "left_semi"), "places")
+    twice = written(twice.select("gram"), "twice")
+    places = written(places_of(plain, length, gram).join(twice, "gram", "left_semi"), "places")
     spans = written(
         places.groupBy("gram", "digest").agg(
             F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "version", "first", "last")).alias("one")
         ), "spans",
     )
-    kinds = spans.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"))
-    ranked = written(spans.join(kinds, "gram"), "kinds")
+    kinds = written(spans.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")), "kinds")
+    ranked = written(spans.join(kinds, "gram"), "ranked")
     whole = ranked.filter("kinds = 1").select(
         "gram", "digest", F.lit(0).alias("from"), (F.col("one.last") - F.col("one.first")).alias("upto")
     )
@@ -463,4 +465,5 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(
         "doc_id", "n_bytes", "n_removed", F.size("removed_from").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        F.length("kept").cast("long").alias("kept_bytes"), (F.col("n_removed") > 0).alias("repeated"),
     )
