@@ -16,7 +16,8 @@ from surveyspark.functions.checkpoints import cut
 from surveyspark.functions.hashing import hash_key, uniform
 from surveyspark.operators.prefix import hash_bucket, prefix_sum
 
-_BLOCK_ROWS = 1024  # rows of either side in one neighbour-search group
+_BLOCK_ROWS = 1024  # rows of a pivot that are ruled out or compared together
+_SHELF_ROWS = 8192  # rows of either side in one neighbour-search group
 _MOST_PIVOTS = 4096  # in a broadcast
 _MOST_BLOCKS = 200_000  # in a broadcast
 _SLOTS = 256  # parts that the rows of a pivot can be cut into
@@ -67,7 +68,8 @@ class PivotTree:
     pivot or a block if its distance to the pivot lies further from the range of
     distances there than its bound, which no row nearer than the bound can. The bound is the
     distance within which k other rows certainly lie: counted over whole pivots, or
-    known from a search (``bounds``).
+    known from a search (``bounds``). Blocks that follow one another, mostly those of an
+    upper pivot, lie on a shelf: a query is sent to a shelf once, with the blocks it needs.
     """
 
     def __init__(
@@ -84,14 +86,16 @@ class PivotTree:
         self.pivots = _pivot_tree(np.array([list(r) for r in chosen.collect()], dtype=float), n_continuous, penalty)
         self.edges = cut(self._slot_edges(self._celled(rows)))
         placed = cut(self._blocked(self._celled(rows)))
-        # Rows at one distance of a pivot cannot be cut by it: such blocks are dealt in pieces.
-        self.blocks = cut(
-            placed.groupBy("block", "cell").agg(
-                F.count(F.lit(1)).alias("n"), F.min("reach").alias("low"), F.max("reach").alias("high"),
-                F.min("upper").alias("upper_low"), F.max("upper").alias("upper_high"),
-            ).withColumn("pieces", F.ceil(F.col("n") / self.block_rows))
-        )
-        self.placed = placed.drop("cell", "upper", "reach")
+        table = placed.groupBy("block", "cell").agg(
+            F.count(F.lit(1)).alias("n"), F.min("reach").alias("low"), F.max("reach").alias("high"),
+            F.min("upper").alias("upper_low"), F.max("upper").alias("upper_high"),
+        ).toPandas().sort_values("block")  # at most _MOST_BLOCKS and one for each pivot
+        table["shelf"] = _shelves(table["n"].to_numpy())
+        self.layout = {c: table[c].to_numpy() for c in table.columns}
+        spark = rows.sparkSession
+        self.blocks = spark.createDataFrame(table[["block", "shelf", "n"]]) if count else spark.createDataFrame(
+            [], "block long, shelf long, n long")
+        self.placed = placed.drop("cell", "upper", "reach").join(F.broadcast(self.blocks.select("block", "shelf")), "block")
 
     def _celled(self, df: DataFrame) -> DataFrame:
         columns, n_continuous, penalty = self.columns, self.n_continuous, self.penalty
@@ -132,18 +136,20 @@ class PivotTree:
         return found.withColumn("block", F.col("cell") * _SLOTS + slot).drop("edges")
 
     def home(self, queries: DataFrame) -> DataFrame:
-        """Each query next to the block it lies in."""
-        return self._blocked(self._celled(queries)).drop("cell", "upper", "reach")
+        """Each query next to the block it lies in, and that block's shelf."""
+        found = self._blocked(self._celled(queries)).drop("cell", "upper", "reach")
+        found = found.join(F.broadcast(self.blocks.select("block", "shelf")), "block")
+        return found.withColumn("needed", F.array("block"))
 
     def searches(self, home: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
-        """Each query of ``home`` next to every other block that may hold one of its k nearest rows.
+        """Each query of ``home`` next to every shelf, and the blocks of it (``needed``) other
+        than its own that may hold one of its k nearest rows.
 
         ``bounds`` (key, bound): distances within which k other rows are known.
         """
         key, columns, k, n_continuous, penalty = self.key, self.columns, self.k, self.n_continuous, self.penalty
-        table = self.blocks.toPandas().sort_values("block")  # at most _MOST_BLOCKS and one for each pivot
-        layout = {c: table[c].to_numpy() for c in table.columns}
-        shipped = home.sparkSession.sparkContext.broadcast((*self.pivots, layout))
+        shipped = home.sparkSession.sparkContext.broadcast((*self.pivots, self.layout))
+        home = home.drop("shelf", "needed")
         asked = home.join(bounds, key, "left") if bounds is not None else home.withColumn("bound", F.lit(None).cast("double"))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -179,43 +185,62 @@ class PivotTree:
                         found.append(own["block"][block])
                 query, found = np.concatenate(query), np.concatenate(found)
                 elsewhere = found != pdf["block"].to_numpy()[query]
-                yield pdf[[key, *columns]].iloc[query[elsewhere]].assign(block=found[elsewhere])
+                query, found = query[elsewhere], found[elsewhere]
+                shelf = at["shelf"][np.searchsorted(at["block"], found)]
+                order = np.lexsort((found, shelf, query))
+                query, found, shelf = query[order], found[order], shelf[order]
+                heads = np.flatnonzero((np.diff(query, prepend=-1) != 0) | (np.diff(shelf, prepend=-1) != 0))
+                needed = np.split(found, heads[1:]) if len(heads) else []
+                yield pdf[[key, *columns]].iloc[query[heads]].assign(shelf=shelf[heads], needed=needed)
 
         fields = ", ".join(f"{c} double" for c in columns)
-        return asked.mapInPandas(run, f"{key} long, {fields}, block long")
+        return asked.mapInPandas(run, f"{key} long, {fields}, shelf long, needed array<long>")
 
     def nearest_in_blocks(self, searches: DataFrame) -> DataFrame:
-        """(key, other, distance, squared, differ): the k nearest rows in each block searched,
+        """(key, other, distance, squared, differ): the k nearest rows on each shelf searched,
         never all pairs. ``squared``: the continuous part; ``differ``: differing categories."""
         key, columns, k, n_continuous, penalty = self.key, self.columns, self.k, self.n_continuous, self.penalty
-        load = searches.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / self.block_rows).alias("query_pieces"))
-        layout = cut(self.blocks.join(load, "block").select("block", F.col("pieces").alias("row_pieces"), "query_pieces"))
+        load = searches.groupBy("shelf").agg(F.ceil(F.count(F.lit(1)) / _SHELF_ROWS).alias("query_pieces"))
+        # Rows at one distance of a pivot cannot be cut by it: such shelves are dealt in pieces.
+        sizes = self.blocks.groupBy("shelf").agg(F.ceil(F.sum("n") / (2 * _SHELF_ROWS)).alias("row_pieces"))
+        layout = cut(sizes.join(load, "shelf"))
 
-        def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        def dealt(df: DataFrame, own: str, other: str, extra: str) -> DataFrame:
             """Keep a row in one piece of its own side, next to every piece of the other."""
-            sized = df.select(*[F.col(c).alias(c) for c in (key, *columns, "block")]).join(layout, "block")
+            sized = df.select(*[F.col(c).alias(c) for c in (key, *columns, "shelf", extra)]).join(layout, "shelf")
             mine = F.pmod(F.xxhash64(key), F.col(own)).alias(own[:-1])
             theirs = F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(other[:-1])
-            return sized.select(F.col("block").alias("block"), mine, theirs, key, *columns)
+            return sized.select(F.col("shelf").alias("shelf"), mine, theirs, key, *columns, extra)
 
         def best_in_group(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
             if q.empty or r.empty:
                 return pd.DataFrame({key: [], "other": [], "distance": [], "squared": [], "differ": []})
             r = r.sort_values(key)
-            ids, against = r[key].to_numpy(), r[columns].to_numpy()
+            ids, against, block = r[key].to_numpy(), r[columns].to_numpy(), r["block"].to_numpy()
             one_hot = _OneHot(against[:, n_continuous:])
             encoded = one_hot(against[:, n_continuous:])
             lengths = (against[:, :n_continuous] ** 2).sum(axis=1)
+            members = {b: np.flatnonzero(block == b) for b in np.unique(block).tolist()}
             out = []
             for part in _slabs(q, 512):
                 own, x = part[key].to_numpy(), part[columns].to_numpy()
-                measured = x[:, :n_continuous]
-                squared = (measured @ against[:, :n_continuous].T) * -2.0
-                squared += (measured**2).sum(axis=1)[:, None]
-                squared += lengths
-                np.maximum(squared, 0.0, out=squared)
-                differ = len(columns) - n_continuous - one_hot(x[:, n_continuous:]) @ encoded.T
-                d = squared + penalty * differ
+                measured, nominal = x[:, :n_continuous], one_hot(x[:, n_continuous:])
+                asking: dict[int, list[int]] = {}
+                for row, needed in enumerate(part["needed"]):
+                    for b in needed:
+                        asking.setdefault(int(b), []).append(row)
+                d = np.full((len(x), len(r)), np.inf)
+                squared, differ = np.zeros(d.shape), np.zeros(d.shape, np.float32)
+                for b, rows in asking.items():
+                    if b not in members:  # another piece has it
+                        continue
+                    at = np.ix_(rows, members[b])
+                    apart = (measured[rows] @ against[members[b], :n_continuous].T) * -2.0
+                    apart += (measured[rows] ** 2).sum(axis=1)[:, None]
+                    apart += lengths[members[b]]
+                    np.maximum(apart, 0.0, out=apart)
+                    unlike = len(columns) - n_continuous - nominal[rows] @ encoded[members[b]].T
+                    squared[at], differ[at], d[at] = apart, unlike, apart + penalty * unlike
                 d[own[:, None] == ids[None, :]] = np.inf
                 place = min(k, d.shape[1]) - 1
                 limit = np.partition(d, place, axis=1)[:, place]
@@ -236,19 +261,29 @@ class PivotTree:
                 )
             return pd.concat(out)
 
-        groups = ["block", "row_piece", "query_piece"]
-        left = dealt(searches, "query_pieces", "row_pieces").groupBy(*groups)
-        right = dealt(self.placed, "row_pieces", "query_pieces").groupBy(*groups)
+        groups = ["shelf", "row_piece", "query_piece"]
+        left = dealt(searches, "query_pieces", "row_pieces", "needed").groupBy(*groups)
+        right = dealt(self.placed, "row_pieces", "query_pieces", "block").groupBy(*groups)
         return left.cogroup(right).applyInPandas(
             best_in_group, f"{key} long, other long, distance double, squared double, differ int"
         )
 
     def compared_pairs(self, searches: DataFrame) -> int:
         """How many pairs of query and row the searches compare."""
-        found = searches.groupBy("block").count().join(self.blocks, "block")
+        found = searches.select(F.explode("needed").alias("block")).groupBy("block").count().join(self.blocks, "block")
         return found.agg(F.coalesce(F.sum(F.col("count") * F.col("n")), F.lit(0))).first()[0]
 
 
+def _shelves(sizes: np.ndarray) -> np.ndarray:
+    """Numbers blocks in a row so that a shelf has some ``_SHELF_ROWS`` rows; larger blocks stand alone."""
+    out, shelf, held = np.zeros(len(sizes), np.int64), 0, 0
+    for k, n in enumerate(sizes.tolist()):
+        if held and held + n > _SHELF_ROWS:
+            shelf, held = shelf + 1, 0
+        out[k], held = shelf, held + n
+    return out
+
+
 def _slack(limit: np.ndarray) -> np.ndarray:
     """Distances come from two formulas, whose rounding must not drop a row."""
     return limit + 1e-6 * (1 + limit)
@@ -285,8 +320,8 @@ def nearest_neighbours(
     First each query, one of the rows, searches the block it lies in; the k-th distance
     there is its bound in the tree, and only blocks that can hold something as near are
     searched then (``PivotTree``). Groups send back their k best per query, never all
-    pairs, and no task holds more than about ``block_rows`` rows of either side. Ties go
-    to the smaller key.
+    pairs, and no group holds more than some 16,000 rows of either side. Ties go to the
+    smaller key.
     """
     tree = PivotTree(rows, key, columns, n_continuous, penalty, k, pivots, block_rows)
     home = cut(tree.home(queries))
