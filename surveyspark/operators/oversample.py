@@ -222,43 +222,45 @@ class PivotTree:
             lengths = (against[:, :n_continuous] ** 2).sum(axis=1)
             members = {b: np.flatnonzero(block == b) for b in np.unique(block).tolist()}
             out = []
-            for part in _slabs(q, 512):
+            for part in _slabs(q):
                 own, x = part[key].to_numpy(), part[columns].to_numpy()
                 measured, nominal = x[:, :n_continuous], one_hot(x[:, n_continuous:])
-                asking: dict[int, list[int]] = {}
-                for row, needed in enumerate(part["needed"]):
-                    for b in needed:
-                        asking.setdefault(int(b), []).append(row)
-                d = np.full((len(x), len(r)), np.inf)
-                squared, differ = np.zeros(d.shape), np.zeros(d.shape, np.float32)
-                for b, rows in asking.items():
-                    if b not in members:  # another piece has it
+                own_lengths = (measured**2).sum(axis=1)[:, None]
+                sizes = part["needed"].map(len).to_numpy()
+                asked, rows = np.concatenate(part["needed"].to_numpy()), np.repeat(np.arange(len(part)), sizes)
+                found = []
+                for b, at in members.items():
+                    row = rows[asked == b]
+                    if not len(row):
                         continue
-                    at = np.ix_(rows, members[b])
-                    apart = (measured[rows] @ against[members[b], :n_continuous].T) * -2.0
-                    apart += (measured[rows] ** 2).sum(axis=1)[:, None]
-                    apart += lengths[members[b]]
-                    np.maximum(apart, 0.0, out=apart)
-                    unlike = len(columns) - n_continuous - nominal[rows] @ encoded[members[b]].T
-                    squared[at], differ[at], d[at] = apart, unlike, apart + penalty * unlike
-                d[own[:, None] == ids[None, :]] = np.inf
-                place = min(k, d.shape[1]) - 1
-                limit = np.partition(d, place, axis=1)[:, place]
-                # Everything up to the k-th distance, ties included, then the first k
-                # of each query by (distance, key): columns are in key order.
-                query, column = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
-                found = d[query, column]
-                order = np.lexsort((column, found, query))
-                query, column, found = query[order], column[order], found[order]
-                first = np.searchsorted(query, query)
-                keep = np.arange(len(query)) - first < k
-                query, column = query[keep], column[keep]
+                    squared = (measured[row] @ against[at, :n_continuous].T) * -2.0
+                    squared += own_lengths[row]
+                    squared += lengths[at]
+                    np.maximum(squared, 0.0, out=squared)
+                    differ = len(columns) - n_continuous - nominal[row] @ encoded[at].T
+                    d = squared + penalty * differ
+                    d[own[row][:, None] == ids[at][None, :]] = np.inf
+                    place = min(k, d.shape[1]) - 1
+                    limit = np.partition(d, place, axis=1)[:, place]
+                    # Everything up to the k-th distance of the block, ties included.
+                    i, j = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
+                    found.append((row[i], at[j], d[i, j], squared[i, j], differ[i, j]))
+                if not found:  # other pieces have these blocks
+                    continue
+                query, column, distance, squared, differ = map(np.concatenate, zip(*found))
+                # The first k of each query by (distance, key): rows are in key order.
+                order = np.lexsort((column, distance, query))
+                query = query[order]
+                kept = order[np.arange(len(query)) - np.searchsorted(query, query) < k]
+                query = query[np.arange(len(query)) - np.searchsorted(query, query) < k]
                 out.append(
                     pd.DataFrame({
-                        key: own[query], "other": ids[column], "distance": np.sqrt(found[keep]),
-                        "squared": squared[query, column], "differ": differ[query, column].astype(int),
+                        key: own[query], "other": ids[column[kept]], "distance": np.sqrt(distance[kept]),
+                        "squared": squared[kept], "differ": differ[kept].astype(int),
                     })
                 )
+            if not out:
+                return pd.DataFrame({key: [], "other": [], "distance": [], "squared": [], "differ": []})
             return pd.concat(out)
 
         groups = ["shelf", "row_piece", "query_piece"]
