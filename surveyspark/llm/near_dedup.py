@@ -6,12 +6,11 @@ only the class goes on. A pool of ``POOL`` minhash values is read in ``TREES``
 fixed orders; each order sorts the classes, and classes that share a prefix of an order
 are a region of that tree. Candidates come region by region:
 
-1. each class and the first class that shares a prefix with it (``DEPTHS[0]`` values);
-2. each class and the first class of every deeper region it is in, if not linked yet;
-3. all pairs of a region whose members are still in several components. Shingles that no
+1. each class and the first class of every region it is in, at each of ``DEPTHS``;
+2. all pairs of a region whose members are still in several components. Shingles that no
    other member has bound what a pair can share: pairs that cannot reach the limit any
    more, or whose minhash pools differ too much, are not made;
-4. the members of such regions of more than ``REGION`` classes are joined on their rarest
+3. the members of such regions of more than ``REGION`` classes are joined on their rarest
    shingles instead, which finds every linked pair among them (``crowded_pairs``).
 
 Every link is confirmed by intersecting the full shingle sets. Sets are compared as
@@ -27,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -265,6 +264,7 @@ def components(edges: DataFrame) -> DataFrame:
     current = written(edges.select(high, low).filter("a <> b").distinct(), "edges")
     seen = None
     while True:
+        state = Observation()
         both = current.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
             current.select(F.col("b").alias("u"), F.col("a").alias("v"))
         )
@@ -276,11 +276,13 @@ def components(edges: DataFrame) -> DataFrame:
             large.join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
             .unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
         )
-        current = written(small.filter("a <> b").distinct(), "edges")
-        now = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-        if now == seen:
+        watched = small.filter("a <> b").distinct().observe(
+            state, F.count(F.lit(1)).alias("edges"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("names")
+        )
+        current = written(watched, "edges")
+        if state.get == seen:
             break
-        seen = now
+        seen = state.get
     roots = current.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 
@@ -317,37 +319,23 @@ def near_rows(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
             *name, "pool", F.col("least.row").alias("row"), F.monotonically_increasing_id().alias("node")
         ), "classes"
     )
-    shared = prefixes(classes, DEPTHS[:1]).groupBy("key").agg(
-        F.min("node").alias("lead"), F.count(F.lit(1)).alias("size")
-    ).filter("size > 1")
-    led = written(
-        prefixes(classes, DEPTHS[:1]).join(shared, "key").groupBy("node").agg(F.min("lead").alias("lead")), "led"
-    )
-    crowd = classes.join(led.select("node"), "node", "left_semi").select("node", "pool")
-    wanted = classes.join(led, "node", "left_semi").select("row", "node")
+    shared = prefixes(classes, DEPTHS[:1]).groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    met = written(prefixes(classes, DEPTHS[:1]).join(shared, "key").select("node").distinct(), "met")
+    crowd = classes.join(met, "node", "left_semi").select("node", "pool")
+    wanted = classes.join(met, "node", "left_semi").select("row", "node")
     chosen = plain.join(wanted, "row")
     repeats = full.groupBy("row").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").join(wanted, "row")
     if not repeats.isEmpty():  # a set is wanted once, though rows may repeat id and text
         chosen = chosen.dropDuplicates(["node"])
     sets = written(packed_sets(chosen, words), "sets", ROWS)
 
-    first = led.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
-    edges = written(confirmed(first, sets, percent), "links", ROWS)
-    labels = written(components(edges), "labels")
-
-    # Regions at every depth, with their members' components so far.
-    members = _labelled(prefixes(crowd, DEPTHS), "node", labels, "component")
-    regions = members.groupBy("key").agg(
-        F.min("node").alias("lead"), F.count(F.lit(1)).alias("size"),
-        (F.min("component") != F.max("component")).alias("open"),
-    )
-    members = written(
-        members.join(regions.filter("open"), "key").drop("open").withColumnRenamed("component", "own"), "regions"
-    )
-    stars = members.select(F.col("lead").alias("a"), F.col("node").alias("b"), "own").filter("a <> b").distinct()
-    stars = _labelled(stars, "a", labels, "other").filter("own <> other").select("a", "b")
-    stars = stars.join(first, ["a", "b"], "left_anti")
-    edges = edges.unionByName(written(confirmed(stars, sets, percent), "links", ROWS))
+    # Regions at every depth: each member and the first one.
+    members = prefixes(crowd, DEPTHS)
+    regions = members.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    members = written(members.join(regions, "key"), "regions")
+    stars = members.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    stars = written(stars, "stars")
+    edges = written(confirmed(stars, sets, percent), "links", ROWS)
     labels = written(components(edges), "labels")
 
     members = _labelled(members.select("node", "depth", "key", "size"), "node", labels, "component")
@@ -373,7 +361,7 @@ def near_rows(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         & (F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")) & (agreed >= least_agreement(percent))
     ).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     across = across.unionByName(crowded_pairs(packed, sets, percent)).distinct()
-    across = across.join(first.unionByName(stars), ["a", "b"], "left_anti")
+    across = across.join(stars, ["a", "b"], "left_anti")
     edges = edges.unionByName(written(confirmed(across, sets, percent), "links", ROWS))
     labels = written(components(edges), "labels")
 
