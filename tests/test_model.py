@@ -235,6 +235,30 @@ def test_neighbour_search_compares_far_fewer_than_all_pairs(spark):
     assert large < 10 * small
 
 
+def test_neighbour_search_returns_nothing_beyond_the_bounds(spark):
+    """Shelves send back rows within a query's bound only, not k each."""
+    rng = np.random.default_rng(9)
+    x = np.column_stack([rng.random((3000, 2)) * 100, rng.integers(0, 3, 3000)])
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("abc")).assign(row_id=np.arange(3000)))
+    tree = oversample.PivotTree(df, "row_id", list("abc"), 2, 4.0, 5)
+    home = tree.home(df)
+    bounds = oversample.known_bounds(tree.nearest_in_blocks(home), "row_id", 5)
+    found = tree.nearest_in_blocks(tree.searches(home, bounds)).join(bounds, "row_id")
+    assert found.count() > 0
+    assert found.filter(F.col("distance") > F.col("bound") * (1 + 1e-5) + 1e-5).isEmpty()
+
+
+def test_nearest_neighbours_far_from_the_origin(spark):
+    """Small distances between large values: more than single precision holds."""
+    rng = np.random.default_rng(6)
+    x = np.column_stack([1e7 + rng.random((300, 2)), rng.integers(0, 3, 300)])
+    x[:100, 0] *= -1e3
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("abc")).assign(row_id=np.arange(300)))
+    got = oversample.nearest_neighbours(df, df, "row_id", list("abc"), 2, 0.1, 5, pivots=6, block_rows=40).toPandas()
+    want = brute_neighbours(x, 5, 2, 0.1, range(300))
+    assert {q: rows.sort_values("place")["other"].tolist() for q, rows in got.groupby("row_id")} == want
+
+
 def test_oversampling_equalises_and_invents_no_category(spark):
     rng = np.random.default_rng(2)
     n = 600
