@@ -192,6 +192,28 @@ def test_single_class_training_side(matrix):
         compare.fit_and_evaluate(ones, matrix, FEATURES, q.MODEL, "scenario2")
 
 
+def test_training_rows_are_laid_out_once(spark, matrix, monkeypatch):
+    """Training reads a kept layout, not a shuffle and a sort for each of its passes."""
+    plans = []
+    fit = model.GBTClassifier.fit
+
+    def watched(self, rows):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return fit(self, rows)
+
+    monkeypatch.setattr(model.GBTClassifier, "fit", watched)
+    model.fit_trees(matrix, FEATURES, q.MODEL, "none")
+    assert len(plans) == 1 and "InMemoryTableScan" in plans[0]
+    assert spark._jsparkSession.sharedState().cacheManager().isEmpty()
+
+
+def test_large_fits_run_one_after_another(spark):
+    assert model.fits_at_once(spark.range(1000), 4) == 4
+    assert model.fits_at_once(spark.range(3_000_000), 4) == 2
+    assert model.fits_at_once(spark.range(20_000_000), 4) == 1
+    assert model.fits_at_once(spark.range(0), 4) == 4
+
+
 def brute_neighbours(x, k, n_continuous, penalty, asked):
     d = oversample._distances(x, x, n_continuous, penalty)
     np.fill_diagonal(d, np.inf)
