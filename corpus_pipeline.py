@@ -14,7 +14,7 @@ from surveyspark.llm import bpe, common, decontaminate, exact_dedup, near_dedup,
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.5."""
-    model = toxicity.fit_on_sample(docs, common.table(spark, sf_dir, "labels"))
+    model = toxicity.fit_on_labels(docs, common.table(spark, sf_dir, "labels"))
     return toxicity.reject(docs, model)
 
 

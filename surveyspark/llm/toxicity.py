@@ -2,11 +2,13 @@
 
 A word's embedding is the sum of hashed embeddings of the word and of its leading
 bytes; filters of several widths slide over the words, each filter's largest answer
-over the whole text feeds a logistic output. The classifier is fitted in one task on a
-bounded sample of labelled rows. Its thresholds are calibrated per language on the part
-of the sample left out of the fit; the language is guessed from the text's own function
-words, so a score depends on the text alone. Scores are shifted so that a language's
-threshold becomes 0.5. Scoring runs over whole texts in all tasks.
+over the whole text feeds a logistic output. The classifier is fitted on all labelled rows:
+they are dealt into parts of like size, in each round every part goes on from the last
+round's model by itself, and the changes are averaged, a bucket's over the parts that met
+it. Its thresholds are calibrated per language on all labelled rows left out of the fit
+(a fifth); the language is guessed from the text's own function words, so a score
+depends on the text alone. Scores are shifted so that a language's threshold becomes
+0.5. Scoring runs over whole texts in all tasks.
 """
 
 from __future__ import annotations
@@ -23,10 +25,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import documents, fold, table
+from .common import arrow_rows, documents, fold, table, written
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 17, 12, 16, (1, 2, 3)
 PREFIXES = (3, 4, 5, 6)
+BATCH, BATCH_CHARS = 32, 1_000_000  # texts of a gradient step
+PART_ROWS, PART_CHARS = 8192, 16_000_000  # labelled rows of a part on average; characters held at once
+MARKS = 1 << 25  # bits that tell most rows without a label before they are shuffled
+PIECE = 2048  # buckets whose changes are averaged together
+GRID = 128  # thresholds are found on logits cut to this part of 1
 # Frequent function words by language.
 FUNCTION_WORDS = {
     "de": {"der", "die", "und", "das", "ist", "nicht", "von", "mit"},
@@ -89,6 +96,16 @@ class Words:
         names_of = [*FUNCTION_WORDS, "?"]
         self.languages = [names_of[k] for k in np.where(seen.any(axis=1), seen.argmax(axis=1), width)]
 
+    def subset(self, rows: np.ndarray) -> Words:
+        """The texts ``rows`` alone, without their languages."""
+        out = object.__new__(Words)
+        out.lengths = self.lengths[rows]
+        out.begin = np.cumsum(out.lengths) - out.lengths
+        place = np.repeat(self.begin[rows] - out.begin, out.lengths) + np.arange(int(out.lengths.sum()))
+        used, out.tokens = np.unique(self.tokens[place], return_inverse=True)  # padding, word 0, stays first
+        out.buckets, out.padding = self.buckets[used], self.padding[place]
+        return out
+
     def embed(self, table: np.ndarray) -> np.ndarray:
         total = table[self.buckets[:, 0]]
         for k in range(1, self.buckets.shape[1]):
@@ -118,8 +135,7 @@ def logits(words: Words, model: dict) -> np.ndarray:
     return hidden @ model["out"] + model["out_bias"]
 
 
-def fit(texts: list[str], labels: np.ndarray, steps: int = 1500, batch: int = 32, seed: int = 5) -> dict:
-    """Fit on whole texts: log loss, Adam, positive rows weighted up to half; at least 6 passes."""
+def initial(seed: int = 5) -> dict:
     rng = np.random.default_rng(seed)
     model = {"table": (rng.standard_normal((BUCKETS, DIM)) * 0.05).astype(np.float32)}
     model["table"][0] = 0
@@ -128,61 +144,153 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = 1500, batch: int = 32
     model["bias"] = np.zeros(FILTERS * len(WIDTHS), np.float32)
     model["out"] = (rng.standard_normal(FILTERS * len(WIDTHS)) * 0.3).astype(np.float32)
     model["out_bias"] = np.zeros(1, np.float32)
-    first = {k: np.zeros_like(v) for k, v in model.items()}
-    second = {k: np.zeros_like(v) for k, v in model.items()}
-    weight = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-6), 0.5 / max(1 - labels.mean(), 1e-6))
-    step = 0
-    groups = [np.arange(k, min(k + batch, len(texts))) for k in range(0, len(texts), batch)]
-    order = rng.permutation(len(texts))
-    prepared = [Words([texts[i] for i in order[g]]) for g in groups]
-    epochs = max(6, -(-steps // max(len(groups), 1)))
-    for epoch in range(epochs):
-        rate = 0.01 * (1 - epoch / (epochs + 1))
-        for g in rng.permutation(len(groups)):
-            words, rows = prepared[g], order[groups[g]]
-            y, w = labels[rows], weight[rows]
-            embedded, responses = words.embed(model["table"]), _responses(words, model)
-            pooled, where = [], []
-            for r in responses:
-                best = np.stack([r[b : b + n].argmax(axis=0) + b for b, n in zip(words.begin, words.lengths)])
-                where.append(best)
-                pooled.append(np.take_along_axis(r, best, axis=0))
-            before = np.concatenate(pooled, axis=1) + model["bias"]
-            hidden = np.maximum(before, 0)
-            chance = 1 / (1 + np.exp(-np.clip(hidden @ model["out"] + model["out_bias"], -30, 30)))
-            slope = ((chance - y) * w / len(rows)).astype(np.float32)
-            grads = {"out": hidden.T @ slope, "out_bias": slope.sum(keepdims=True)}
-            down = (slope[:, None] * model["out"]) * (before > 0)
-            grads["bias"] = down.sum(axis=0)
-            met, gains = [], []
-            for j, width in enumerate(WIDTHS):
-                part = down[:, j * FILTERS : (j + 1) * FILTERS]
-                own = np.empty_like(model[f"w{width}"])
-                for k in range(width):
-                    spot = np.minimum(where[j] + k, len(words.tokens) - 1)
-                    number = np.where(words.padding[where[j]], 0, words.tokens[spot])
-                    own[k] = np.einsum("bfd,bf->df", embedded[number], part)
-                    met.append(number.ravel())
-                    gains.append((part[:, :, None] * model[f"w{width}"][k].T[None]).reshape(-1, DIM))
-                grads[f"w{width}"] = own
-            step += 1
-            # Words that won a filter pass their gradient to all their buckets.
-            number, gain = np.concatenate(met), np.concatenate(gains)
-            live = np.abs(gain).sum(axis=1) > 0
-            number, gain = number[live], gain[live]
-            if len(number):
-                own = words.buckets[number]
-                bucket, owner = own.ravel(), np.repeat(np.arange(len(number)), own.shape[1])
-                by = np.argsort(bucket, kind="stable")
-                rows_of, cut = np.unique(bucket[by], return_index=True)
-                summed = np.add.reduceat(gain[owner][by], cut, axis=0)
-                keep = rows_of > 0
-                _adam(model["table"], first["table"], second["table"], summed[keep], rate, step, rows_of[keep])
-            for name, grad in grads.items():
-                _adam(model[name], first[name], second[name], grad, rate, step)
     return model
 
 
+def _batches(texts: list[str], order: np.ndarray) -> list[np.ndarray]:
+    out, held, size = [], [], 0
+    for i in order:
+        if held and (len(held) == BATCH or size + len(texts[i]) > BATCH_CHARS):
+            out.append(np.array(held))
+            held, size = [], 0
+        held.append(i)
+        size += len(texts[i])
+    return [*out, np.array(held)] if held else out
+
+
+class Descent:
+    """Passes over labelled texts by a copy of ``model``: log loss, Adam, positive rows weighted up to half.
+
+    ``share``: the positive rows' share of all rows that are fitted. ``met`` counts each bucket's steps.
+    """
+
+    def __init__(self, model: dict, share: float, seed: int):
+        self.model = {k: v.copy() for k, v in model.items()}
+        self.first = {k: np.zeros_like(v) for k, v in model.items()}
+        self.second = {k: np.zeros_like(v) for k, v in model.items()}
+        self.weights = 0.5 / max(1 - share, 1e-6), 0.5 / max(share, 1e-6)
+        self.rng = np.random.default_rng(seed)
+        self.met = np.zeros(BUCKETS, np.int64)
+        self.step = self.rows = 0
+
+    def passes(self, texts: list[str], labels: np.ndarray, rates: list[float]) -> None:
+        """One pass for each rate."""
+        groups = _batches(texts, self.rng.permutation(len(texts)))
+        words = Words(texts)
+        self.rows += len(texts)
+        for rate in rates:
+            for g in self.rng.permutation(len(groups)):
+                y = labels[groups[g]]
+                self._descend(words.subset(groups[g]), y, np.where(y == 1, self.weights[1], self.weights[0]), rate)
+
+    def _descend(self, words: Words, y: np.ndarray, w: np.ndarray, rate: float) -> None:
+        model, first, second = self.model, self.first, self.second
+        embedded, responses = words.embed(model["table"]), _responses(words, model)
+        pooled, where = [], []
+        for r in responses:
+            best = np.stack([r[b : b + n].argmax(axis=0) + b for b, n in zip(words.begin, words.lengths)])
+            where.append(best)
+            pooled.append(np.take_along_axis(r, best, axis=0))
+        before = np.concatenate(pooled, axis=1) + model["bias"]
+        hidden = np.maximum(before, 0)
+        chance = 1 / (1 + np.exp(-np.clip(hidden @ model["out"] + model["out_bias"], -30, 30)))
+        slope = ((chance - y) * w / len(y)).astype(np.float32)
+        grads = {"out": hidden.T @ slope, "out_bias": slope.sum(keepdims=True)}
+        down = (slope[:, None] * model["out"]) * (before > 0)
+        grads["bias"] = down.sum(axis=0)
+        met, gains = [], []
+        for j, width in enumerate(WIDTHS):
+            part = down[:, j * FILTERS : (j + 1) * FILTERS]
+            own = np.empty_like(model[f"w{width}"])
+            for k in range(width):
+                spot = np.minimum(where[j] + k, len(words.tokens) - 1)
+                number = np.where(words.padding[where[j]], 0, words.tokens[spot])
+                own[k] = np.einsum("bfd,bf->df", embedded[number], part)
+                met.append(number.ravel())
+                gains.append((part[:, :, None] * model[f"w{width}"][k].T[None]).reshape(-1, DIM))
+            grads[f"w{width}"] = own
+        self.step += 1
+        # Words that won a filter pass their gradient to all their buckets.
+        number, gain = np.concatenate(met), np.concatenate(gains)
+        live = np.abs(gain).sum(axis=1) > 0
+        number, gain = number[live], gain[live]
+        if len(number):
+            own = words.buckets[number]
+            bucket, owner = own.ravel(), np.repeat(np.arange(len(number)), own.shape[1])
+            by = np.argsort(bucket, kind="stable")
+            rows_of, cut = np.unique(bucket[by], return_index=True)
+            summed = np.add.reduceat(gain[owner][by], cut, axis=0)
+            keep = rows_of > 0
+            self.met[rows_of[keep]] += 1
+            _adam(model["table"], first["table"], second["table"], summed[keep], rate, self.step, rows_of[keep])
+        for name, grad in grads.items():
+            _adam(model[name], first[name], second[name], grad, rate, self.step)
+
+    def changes(self, start: dict, part: int) -> pd.DataFrame:
+        """(piece, part, rows, weight, change): weighted changes since ``start`` of the buckets met, by
+        pieces of the table, and of all other parameters (piece -1, row 0)."""
+        others = np.concatenate([(self.model[n] - start[n]).ravel() for n in _others(start)])
+        out = [(-1, part, *_packed([0], [self.rows], others[None] * self.rows))]
+        rows = np.flatnonzero(self.met)
+        for piece in np.unique(rows // PIECE):
+            own = rows[rows // PIECE == piece]
+            change = (self.model["table"][own] - start["table"][own]) * self.met[own, None]
+            out.append((piece, part, *_packed(own - piece * PIECE, self.met[own], change)))
+        return pd.DataFrame(out, columns=["piece", "part", "rows", "weight", "change"])
+
+
+def _others(model: dict) -> list[str]:
+    return sorted(k for k in model if k != "table")
+
+
+def _packed(rows, weight, change) -> tuple[bytes, bytes, bytes]:
+    return np.asarray(rows, np.int32).tobytes(), np.asarray(weight, np.float32).tobytes(), np.asarray(change, np.float32).tobytes()
+
+
+def _averaged(frames):
+    """Weighted means of ``Descent.changes``, which come in the order of their pieces; one sum at a time."""
+    piece = total = weight = None
+
+    def mean():
+        rows = np.flatnonzero(weight)
+        return pd.DataFrame(
+            [(piece, 0, *_packed(rows, weight[rows], total[rows] / weight[rows, None]))],
+            columns=["piece", "part", "rows", "weight", "change"],
+        )
+
+    for pdf in frames:
+        for r in pdf.itertuples(index=False):
+            rows = np.frombuffer(r.rows, np.int32)
+            change = np.frombuffer(r.change, np.float32).reshape(len(rows), -1)
+            if r.piece != piece:
+                if piece is not None:
+                    yield mean()
+                piece = r.piece
+                total = np.zeros((PIECE if piece >= 0 else 1, change.shape[1]))
+                weight = np.zeros(len(total))
+            total[rows] += change
+            weight[rows] += np.frombuffer(r.weight, np.float32)
+    if piece is not None:
+        yield mean()
+
+
+def _moved(model: dict, means) -> dict:
+    """``model`` after the mean changes of a round."""
+    out = {k: v.copy() for k, v in model.items()}
+    for r in means:
+        rows = np.frombuffer(r["rows"], np.int32)
+        change = np.frombuffer(r["change"], np.float32).reshape(len(rows), -1)
+        if r["piece"] >= 0:
+            out["table"][r["piece"] * PIECE + rows] += change
+            continue
+        at = 0
+        for name in _others(model):
+            size = model[name].size
+            out[name] += change[0, at : at + size].reshape(model[name].shape)
+            at += size
+    return out
+
+
 def _adam(value, first, second, grad, rate, step, rows=slice(None)) -> None:
     first[rows] = 0.9 * first[rows] + 0.1 * grad
     second[rows] = 0.999 * second[rows] + 0.001 * grad * grad
@@ -190,36 +298,15 @@ def _adam(value, first, second, grad, rate, step, rows=slice(None)) -> None:
     value[rows] -= (scale * first[rows] / (np.sqrt(second[rows]) + 1e-7)).astype(np.float32)
 
 
-def best_threshold(logit: np.ndarray, labels: np.ndarray) -> float:
-    """The logit that splits the labels with fewest errors, half way between neighbours."""
-    order = np.argsort(logit, kind="stable")
-    value, label = logit[order], labels[order]
-    wrong = np.concatenate([[0], np.cumsum(label)]) + (label == 0).sum() - np.concatenate([[0], np.cumsum(label == 0)])
-    edges = np.concatenate([[value[0] - 1], (value[1:] + value[:-1]) / 2, [value[-1] + 1]])
+def best_threshold(values: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> float:
+    """The value that splits rows with fewest errors, half way between neighbours, from the
+    rows of each label at each value (ascending)."""
+    wrong = np.concatenate([[0], np.cumsum(toxic)]) + clean.sum() - np.concatenate([[0], np.cumsum(clean)])
+    edges = np.concatenate([[values[0] - 1], (values[1:] + values[:-1]) / 2, [values[-1] + 1]])
     tied = np.flatnonzero(wrong == wrong.min())
     return float(edges[tied[len(tied) // 2]])
 
 
-def train(texts: list[str], labels: np.ndarray, least: int = 40) -> dict:
-    """Fit on four fifths; thresholds by language (with ``least`` rows of each label) on the rest."""
-    if not len(labels) or labels.min() == labels.max():
-        return {"constant": float(labels.mean()) if len(labels) else 0.0}
-    apart = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) % 5 == 0 for t in texts])
-    if labels[~apart].min() == labels[~apart].max() or not apart.any() or labels[apart].min() == labels[apart].max():
-        apart = np.zeros(len(texts), bool)
-    model = fit([t for t, a in zip(texts, apart) if not a], labels[~apart].astype(np.float32))
-    model["thresholds"] = {"": 0.0}
-    if apart.any():
-        words = Words([t for t, a in zip(texts, apart) if a])
-        found, truth, spoken = logits(words, model), labels[apart], np.array(words.languages)
-        model["thresholds"][""] = best_threshold(found, truth)
-        for language in FUNCTION_WORDS:
-            own = spoken == language
-            if min((truth[own] == 1).sum(), (truth[own] == 0).sum()) >= least:
-                model["thresholds"][language] = best_threshold(found[own], truth[own])
-    return model
-
-
 def score_texts(texts: list[str], model: dict) -> np.ndarray:
     if "constant" in model:
         return np.full(len(texts), model["constant"])
@@ -228,34 +315,129 @@ def score_texts(texts: list[str], model: dict) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(logits(words, model).astype(np.float64) - cut, -30, 30)))
 
 
-def fit_on_sample(
-    docs: DataFrame, labels: DataFrame, toxic_rows: int = 3000, clean_rows: int = 6000, longest: int = 50_000
+def _parts(frames):
+    """(part, texts, labels, whether the part ends) from rows in the order of their parts. Of a
+    part that holds too much text for a task there are several pieces."""
+    part, texts, labels, size = None, [], [], 0
+    for pdf in frames:
+        for own, text, label in zip(pdf["part"], pdf["text"], pdf["toxic"]):
+            if texts and (own != part or size + len(text) > PART_CHARS):
+                yield part, texts, np.array(labels, np.float32), own != part
+                texts, labels, size = [], [], 0
+            part = own
+            texts.append(text)
+            labels.append(label)
+            size += len(text)
+    if texts:
+        yield part, texts, np.array(labels, np.float32), True
+
+
+def _round(rows: DataFrame, model: dict, share: float, rates: list[float], seed: int) -> dict:
+    """Every part goes on from ``model``; the mean of their changes is added to it. Only that comes
+    to the driver, as large as the model."""
+    spark = rows.sparkSession
+    shipped = spark.sparkContext.broadcast(model)
+
+    def run(frames):
+        local = None
+        for part, texts, labels, ends in _parts(frames):
+            local = local or Descent(shipped.value, share, seed + part)
+            local.passes(texts, labels, rates)
+            if ends:
+                yield local.changes(shipped.value, part)
+                local = None
+
+    schema = "piece int, part int, rows binary, weight binary, change binary"
+    with arrow_rows(spark, 1000):
+        changes = rows.mapInPandas(run, schema).repartition(16, "piece").sortWithinPartitions("piece", "part")
+        means = changes.mapInPandas(_averaged, schema).collect()
+    shipped.destroy()
+    return _moved(model, means)
+
+
+def _thresholds(rows: DataFrame, model: dict, least: int) -> dict:
+    """Thresholds by language, of languages with ``least`` rows of each label, and of all rows together.
+    Tasks send counts by language, cut logit and label, of which there are boundedly many."""
+    spark = rows.sparkSession
+    shipped = spark.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BATCH):
+                part = batch.slice(lo, BATCH)
+                words = Words(part.column(0).to_pylist())
+                place = np.floor(np.clip(logits(words, shipped.value), -30, 30) * GRID).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(words.languages, pa.string()), pa.array(place, pa.int32()), part.column(1)],
+                    ["language", "place", "toxic"],
+                )
+
+    with arrow_rows(spark, 1000):
+        found = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "language string, place int, toxic int")
+        found = found.groupBy("language", "place").agg(
+            F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("toxic") == 0).alias("clean")
+        ).toPandas()
+    shipped.destroy()
+    out = {}
+    for language in ["", *FUNCTION_WORDS]:
+        own = found if not language else found[found["language"] == language]
+        own = own.groupby("place")[["toxic", "clean"]].sum().sort_index()
+        if not language or min(own["toxic"].sum(), own["clean"].sum()) >= least:
+            out[language] = best_threshold((own.index.to_numpy() + 0.5) / GRID, own["toxic"].to_numpy(), own["clean"].to_numpy())
+    return out
+
+
+def _marked(texts: DataFrame, usable: DataFrame) -> DataFrame:
+    """``texts`` without most rows that ``usable`` does not have: a bitmap of hashed ids, of fixed
+    size, is held against them, so that the join after it shuffles few other texts."""
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))
+    marks = usable.groupBy(F.bitmap_bucket_number(spot).alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("_marks")
+    )
+    near = texts.withColumns({"_bucket": F.bitmap_bucket_number(spot), "_bit": F.bitmap_bit_position(spot)})
+    found = near.join(F.broadcast(marks), "_bucket")
+    byte = F.expr("CAST(conv(hex(substring(_marks, CAST(_bit DIV 8 AS INT) + 1, 1)), 16, 10) AS INT)")
+    return found.filter(byte.bitwiseAND(F.expr("shiftleft(1, CAST(_bit % 8 AS INT))")) != 0).select(*texts.columns)
+
+
+def fit_on_labels(
+    docs: DataFrame, labels: DataFrame, part_rows: int = PART_ROWS, rounds: int = 3, steps: int = 1500, least: int = 40,
+    seed: int = 5,
 ) -> bytes:
-    """Fit in one task on a bounded sample of labelled rows; the model, pickled.
+    """Fit on whole texts of all labelled rows in folds other than 0; the model, pickled.
 
-    Bounds: the ``toxic_rows`` and ``clean_rows`` labelled rows with the smallest id
-    hashes; texts over ``longest`` characters are left out of the fit (never of
-    scoring). Only rows in folds other than 0 are used.
+    Four fifths (by the text's hash) are fitted, at least 6 passes and in a single part at least
+    ``steps`` steps; thresholds come from the rest.
     """
     usable = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").filter(fold() != 0)
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    parts = [
-        usable.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-        for label, rows in ((1, toxic_rows), (0, clean_rows))
-    ]
-    ids = parts[0].unionByName(parts[1])
-    texts = documents(docs).filter(F.length("text") <= longest)
-    sample = texts.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
-
-    def learn(frames):
-        parts = list(frames)
-        if parts:
-            rows = pd.concat(parts).sort_values("doc_id")
-            model = train(rows["text"].tolist(), rows["toxic"].to_numpy())
-            yield pd.DataFrame({"model": [pickle.dumps(model)]})
-
-    found = sample.select("doc_id", "text", "toxic").repartition(1).mapInPandas(learn, "model binary").first()
-    return bytes(found[0]) if found else pickle.dumps(train([], np.empty(0)))
+    texts = documents(docs).filter(fold() != 0)
+    parts = max(1, -(-texts.select("doc_id").join(usable, "doc_id").count() // part_rows))
+    spot = F.xxhash64("doc_id")
+    rows = _marked(texts, usable).join(usable, "doc_id").select(
+        F.pmod(spot, F.lit(parts)).cast("int").alias("part"), "text", "toxic", (fold("text") == 0).alias("apart"),
+        spot.alias("spot"),
+    )
+    # Every round reads the rows: a part is a file.
+    rows = written(rows.repartition(parts, "part").sortWithinPartitions("part", "spot", "text"), "labelled", by=["part"])
+    sizes = {(r[0], r[1]): r[2] for r in rows.groupBy("apart", "toxic").count().collect()}
+    kinds = {label for _, label in sizes}
+    if len(kinds) < 2:
+        return pickle.dumps({"constant": float(kinds.pop()) if kinds else 0.0})
+    fitted = rows if len(sizes) < 4 else rows.filter("NOT apart")
+    n = {label: sum(c for (a, k), c in sizes.items() if k == label and (len(sizes) < 4 or not a)) for label in kinds}
+    count, share = sum(n.values()), n[1] / sum(n.values())
+    model, rounds = initial(seed), rounds if parts > 1 else 1
+    epochs = 6 if parts > 1 else max(6, -(-steps // -(-count // BATCH)))
+    rates = [0.01 * (1 - k / (epochs + 1)) for k in range(epochs)]
+    for own in np.array_split(rates, rounds):
+        model = _round(fitted.select("part", "text", "toxic"), model, share, own.tolist(), seed)
+        seed += parts
+    model["thresholds"] = _thresholds(rows.filter("apart"), model, least) if len(sizes) == 4 else {"": 0.0}
+    return pickle.dumps(model)
+
+
+fit_on_sample = fit_on_labels  # its name before it was fitted on all rows
 
 
 def scores(docs: DataFrame, model: bytes) -> DataFrame:
@@ -296,7 +478,7 @@ def reject(docs: DataFrame, model: bytes, limit: float = 0.5) -> DataFrame:
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = fit_on_sample(docs, table(spark, sf_dir, "labels"))
+    model = fit_on_labels(docs, table(spark, sf_dir, "labels"))
     return scores(docs, model).select(
         "doc_id", (fold() == 0).alias("held_out"), "score",
         F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),

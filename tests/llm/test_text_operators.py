@@ -115,6 +115,44 @@ def test_score_needs_the_text_only(spark, frame, edge_rows, clash):
     assert toxicity.scores(edge.limit(0), model).count() == 0
 
 
+def test_long_labelled_texts_are_fitted(spark, frame):
+    """All labelled texts have more than 50,000 characters."""
+    kinds = ["maple", "birch", "cedar"], ["viper", "adder", "cobra"]
+    rows = [(k, " ".join(kinds[k % 2][w % 3] * 200 + str((w * 7 + k) % 50) for w in range(51))) for k in range(120)]
+    labels = spark.createDataFrame([(k, 0, k % 2) for k, _ in rows], "doc_id long, quality int, toxic int")
+    assert min(len(t) for _, t in rows) > 50_000
+    model = toxicity.fit_on_sample(frame(rows), labels)
+    found = {r["doc_id"]: r["score"] >= 0.5 for r in toxicity.scores(frame(rows), model).collect()}
+    assert all(found[k] == (k % 2 == 1) for k, _ in rows)
+
+
+def test_all_labelled_rows_are_fitted_part_by_part(spark):
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    usable = labels.filter("toxic IN (0, 1)").filter(toxicity.fold() != 0)
+    marked = toxicity._marked(docs.select("doc_id", "text"), usable)
+    assert usable.join(docs, "doc_id").join(marked, "doc_id", "left_anti").count() == 0
+    assert marked.count() < 1.1 * usable.count()
+    ids = [(part, len(texts), ends) for part, texts, _, ends in toxicity._parts(
+        [pd.DataFrame({"part": [0] * 40 + [2] * 3, "text": ["x" * 1_000_000] * 43, "toxic": 0})])]
+    assert ids == [(0, 16, False), (0, 16, False), (0, 8, True), (2, 3, True)]
+    one, two = (toxicity.fit_on_labels(docs, labels, part_rows=100) for _ in range(2))
+    assert one == two  # the mean of the parts does not depend on the order they come in
+
+
+def test_changes_are_averaged_over_the_parts_that_met_a_bucket():
+    model = toxicity.initial()
+    local = [toxicity.Descent(model, 0.5, k) for k in range(2)]
+    for texts, d in zip((["alpha beta", "gamma"], ["alpha", "delta"]), local):
+        d.passes(texts, np.array([1, 0], np.float32), [0.01, 0.01])
+    frame = pd.concat([d.changes(model, k) for k, d in enumerate(local)]).sort_values(["piece", "part"])
+    moved = toxicity._moved(model, pd.concat(list(toxicity._averaged([frame]))).to_dict("records"))
+    met = np.stack([d.met for d in local])[..., None]
+    assert ((met > 0).sum(axis=0) == 2).any() and ((met > 0).sum(axis=0) == 1).any()
+    change = sum((d.model["table"] - model["table"]) * m for d, m in zip(local, met)) / np.maximum(met.sum(axis=0), 1)
+    assert np.allclose(moved["table"], model["table"] + change, atol=1e-6)
+    assert np.allclose(moved["bias"], sum(d.model["bias"] for d in local) / 2, atol=1e-6)
+
+
 def test_labels_of_one_kind_or_none(spark, frame, edge_rows):
     docs = frame(edge_rows)
     schema = "doc_id long, quality int, toxic int"
