@@ -507,3 +507,33 @@ def test_verdict_ties_keep_method_order(spark):
     got = compare.imbalance_verdict(table).first()
     assert (got["best_auc"], got["best_brier"], got["best_f1"]) == ("class_weight", "smote", "smote")
     assert not got["auc_and_brier_agree"]
+
+
+def test_neighbours_of_few_queries_come_from_one_pass(spark):
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame(rng.integers(0, 5, (5000, 4)).astype(float), columns=list("abcd")).assign(row_id=np.arange(5000))
+    df = spark.createDataFrame(pdf).repartition(3)
+    got = oversample.nearest_by_scan(df, pdf.iloc[::700], "row_id", list("abcd"), 2, 1.7, 6).toPandas()
+    want = brute_neighbours(pdf[list("abcd")].to_numpy(), 6, 2, 1.7, range(0, 5000, 700))
+    assert {q: rows.sort_values("place")["other"].tolist() for q, rows in got.groupby("row_id")} == want
+
+
+@pytest.mark.parametrize("known", [False, True])
+def test_own_shelf_is_searched_before_the_rest(spark, known, monkeypatch):
+    """Neighbours are exact, and the last search sends back fewer rows than the bounds of single blocks let through."""
+    monkeypatch.setattr(oversample, "_SHELF_ROWS", 300)
+    rng = np.random.default_rng(8)
+    x = np.column_stack([rng.random((2000, 2)) * 20, rng.integers(0, 3, (2000, 3))])
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("abcde")).assign(row_id=np.arange(2000)))
+    args = ("row_id", list("abcde"), 2, 4.0, 5)
+    tree = oversample.PivotTree(df, *args, block_rows=50)
+    home = tree.home(df)
+    before = tree.nearest_in_blocks(tree.searches(home, oversample.known_bounds(tree.nearest_in_blocks(home), "row_id", 5))).count()
+    want = brute_neighbours(x, 5, 2, 4.0, range(2000))
+    rows = [(q, float(oversample._distances(x[[q]], x[n[-1:]], 2, 4.0)[0, 0])) for q, n in want.items() if q % 2]
+    bounds = spark.createDataFrame(rows, "row_id long, bound double") if known else None
+    sent, search = [], oversample.PivotTree.nearest_in_blocks
+    monkeypatch.setattr(oversample.PivotTree, "nearest_in_blocks", lambda *a: sent.append(search(*a)) or sent[-1])
+    got = oversample.nearest_neighbours(df, df, *args, block_rows=50, bounds=bounds).toPandas()
+    assert {q: r.sort_values("place")["other"].tolist() for q, r in got.groupby("row_id")} == want
+    assert len(sent) == 3 and sent[-1].count() < 0.8 * before
