@@ -21,7 +21,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import slices
@@ -400,6 +400,21 @@ def _marked(texts: DataFrame, usable: DataFrame) -> DataFrame:
     return found.filter(byte.bitwiseAND(F.expr("shiftleft(1, CAST(_bit % 8 AS INT))")) != 0).select(*texts.columns)
 
 
+def _labelled(texts: DataFrame, usable: DataFrame, parts: int) -> DataFrame:
+    """(part, spot, doc_id, text, toxic) of the texts that ``usable`` labels, dealt by part. Labels are
+    dealt like the texts and meet them there, so that a text is shuffled once: a join by id and the
+    dealing after it would shuffle it twice, on large tables only."""
+    sides = texts.select("doc_id", "text", F.lit(None).cast("int").alias("toxic")).unionByName(
+        usable.select("doc_id", F.lit(None).cast("string").alias("text"), F.col("toxic").cast("int").alias("toxic"))
+    )
+    spot = F.xxhash64("doc_id")
+    dealt = sides.withColumns({"spot": spot, "part": F.pmod(spot, F.lit(parts)).cast("int")}).repartition(parts, "part")
+    # Of an id its label comes first; null ids have none, as ``usable`` has no null id.
+    by_id = Window.partitionBy("part", "spot", "doc_id").orderBy(F.col("text").isNotNull())
+    met = dealt.withColumn("toxic", F.first("toxic", ignorenulls=True).over(by_id))
+    return met.filter("text IS NOT NULL AND toxic IS NOT NULL").select("part", "spot", "doc_id", "text", "toxic")
+
+
 def fit_on_labels(
     docs: DataFrame, labels: DataFrame, part_rows: int = PART_ROWS, rounds: int = 3, steps: int = 1500, least: int = 40,
     seed: int = 5,
@@ -414,12 +429,10 @@ def fit_on_labels(
     texts = documents(docs).filter(fold() != 0)
     parts = max(1, -(-texts.select("doc_id").join(usable, "doc_id").count() // part_rows))
     spot = F.xxhash64("doc_id")
-    rows = _marked(texts, usable).join(usable, "doc_id").select(
-        F.pmod(spot, F.lit(parts)).cast("int").alias("part"), "text", "toxic", (fold("text") == 0).alias("apart"),
-        spot.alias("spot"),
-    )
+    rows = _labelled(_marked(texts, usable), usable, parts)
+    rows = rows.select("part", "text", "toxic", (fold("text") == 0).alias("apart"), "spot")
     # Every round reads the rows: a part is a file.
-    rows = written(rows.repartition(parts, "part").sortWithinPartitions("part", "spot", "text"), "labelled", by=["part"])
+    rows = written(rows.sortWithinPartitions("part", "spot", "text"), "labelled", by=["part"])
     sizes = {(r[0], r[1]): r[2] for r in rows.groupBy("apart", "toxic").count().collect()}
     kinds = {label for _, label in sizes}
     if len(kinds) < 2:

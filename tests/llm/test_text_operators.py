@@ -139,6 +139,23 @@ def test_all_labelled_rows_are_fitted_part_by_part(spark):
     assert one == two  # the mean of the parts does not depend on the order they come in
 
 
+def test_labelled_texts_are_shuffled_once(spark):
+    """The same rows as a join by id, null and repeated ids included, with no text in a second exchange."""
+    rows = [(k if k % 11 else None, f"text {k} " + "w " * (k % 7)) for k in range(300)] + [(5, "again"), (5, "again"), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    usable = spark.createDataFrame([(k, k % 2) for k in range(0, 400, 3)] + [(5, 1)], "doc_id long, toxic int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = toxicity._labelled(docs, usable, 4).sortWithinPartitions("part", "spot", "text")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        want = docs.join(usable, "doc_id").select("doc_id", "text", "toxic")
+        assert sorted(got.select("doc_id", "text", "toxic").collect()) == sorted(want.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange") == 1, plan
+
+
 def test_changes_are_averaged_over_the_parts_that_met_a_bucket():
     model = toxicity.initial()
     local = [toxicity.Descent(model, 0.5, k) for k in range(2)]
