@@ -207,6 +207,17 @@ def test_training_rows_are_laid_out_once(spark, matrix, monkeypatch):
     assert spark._jsparkSession.sharedState().cacheManager().isEmpty()
 
 
+def test_shallow_trees_keep_no_node_ids(matrix, monkeypatch):
+    """Training keeps no copy of all rows' node ids a level, and the trees are the same."""
+    train = splits.train_rows(matrix)
+    assert not model.tree_classifier(q.FEW_TREES, 42, "sba").getCacheNodeIds()
+    assert model.tree_classifier(dataclasses.replace(q.FEW_TREES, depth=12), 42, "sba").getCacheNodeIds()
+    walked = model.tree_model(model.fit_trees(train, FEATURES, q.MODEL))
+    monkeypatch.setattr(model, "_WALKED", 0)
+    kept = model.tree_model(model.fit_trees(train, FEATURES, q.MODEL))
+    assert kept.toDebugString.split("\n", 1)[1] == walked.toDebugString.split("\n", 1)[1]
+
+
 def test_large_fits_run_one_after_another(spark):
     assert model.fits_at_once(spark.range(1000), 4) == 4
     assert model.fits_at_once(spark.range(3_000_000), 4) == 2
