@@ -207,6 +207,34 @@ def test_training_rows_are_laid_out_once(spark, matrix, monkeypatch):
     assert spark._jsparkSession.sharedState().cacheManager().isEmpty()
 
 
+def test_fits_share_one_layout(spark, matrix, monkeypatch):
+    """The folds' fits, and the scenarios', shuffle and sort their rows once, for the trees of fits of their own."""
+    layouts, found = [], {}
+    laid_out, fit_trees = model.fixed_layout, model.fit_trees
+
+    def counted(*args):
+        layouts.append(args)
+        return laid_out(*args)
+
+    def watched(train, *args, **more):
+        fitted = fit_trees(train, *args, **more)
+        found[train] = model.tree_model(fitted).toDebugString.split("\n", 1)[1]
+        return fitted
+
+    monkeypatch.setattr(model, "fixed_layout", counted)
+    monkeypatch.setattr(model, "fit_trees", watched)
+    monkeypatch.setattr(compare, "fit_trees", watched)
+    model.cluster_cv(splits.train_rows(matrix), FEATURES, q.MODEL)
+    assert len(layouts) == 1 and len(found) == q.MODEL.folds
+    old, new = (matrix.filter(c).withColumn("round_cluster", F.col("v001").cast("string")) for c in ("bidx % 2 = 0", "bidx % 2 = 1"))
+    compare.scenario_comparison(old, new, FEATURES, q.MODEL)
+    assert len(layouts) == 2 and len(found) == q.MODEL.folds + 5
+    for train in list(found)[::3]:
+        alone = fit_trees(train, FEATURES, q.MODEL)
+        assert model.tree_model(alone).toDebugString.split("\n", 1)[1] == found[train]
+    assert spark._jsparkSession.sharedState().cacheManager().isEmpty()
+
+
 def test_shallow_trees_keep_no_node_ids(matrix, monkeypatch):
     """Training keeps no copy of all rows' node ids a level, and the trees are the same."""
     train = splits.train_rows(matrix)
