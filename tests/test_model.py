@@ -576,3 +576,35 @@ def test_own_shelf_is_searched_before_the_rest(spark, known, monkeypatch):
     got = oversample.nearest_neighbours(df, df, *args, block_rows=50, bounds=bounds).toPandas()
     assert {q: r.sort_values("place")["other"].tolist() for q, r in got.groupby("row_id")} == want
     assert len(sent) == 3 and sent[-1].count() < 0.8 * before
+
+
+class Asked(Exception):
+    pass
+
+
+def test_summary_and_study_fit_all_published_rounds(spark, matrix, fitted, monkeypatch):
+    """500 rounds at 0.03, not the few of the other queries."""
+    asked = []
+
+    def watched(result=None):
+        def fit(rows, features, p, *args, **more):
+            asked.append((p.tree.trees, p.tree.rate))
+            if result is None:
+                raise Asked
+            return result
+        return fit
+
+    once = q._once
+    monkeypatch.setattr(q, "_once", lambda s, d, name, build: once(s, d, name, build) if name == "matrix" else build())
+    monkeypatch.setattr(model, "fit_final", watched(fitted))
+    monkeypatch.setattr(model, "cluster_cv", watched())
+    monkeypatch.setattr(compare, "imbalance_study", watched())
+    for name in ("fitted_summary", "summary_keys", "imbalance_compare", "imbalance_folds", "imbalance_calibration"):
+        with pytest.raises(Asked):
+            q.QUERIES[name](spark, SF_TINY)
+    assert len(asked) >= 7 and set(asked) == {(500, 0.03)}
+
+
+def test_small_tables_have_few_partitions(spark, monkeypatch):
+    monkeypatch.setattr(model, "_PART_ROWS", 100)
+    assert [model.layout_partitions(spark.range(n)) for n in (0, 100, 101, 100_000)] == [1, 1, 2, 8]
