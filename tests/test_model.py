@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tables import SF_TINY
 
-from surveyspark.operators import compare, counterfactual, explain, model, oversample, report, splits, stats
+from surveyspark.operators import boxes, compare, counterfactual, explain, model, oversample, report, splits, stats
 from surveyspark.plans import queries as q
 
 FEATURES = q.MODEL.features
@@ -608,3 +608,58 @@ def test_summary_and_study_fit_all_published_rounds(spark, matrix, fitted, monke
 def test_small_tables_have_few_partitions(spark, monkeypatch):
     monkeypatch.setattr(model, "_PART_ROWS", 100)
     assert [model.layout_partitions(spark.range(n)) for n in (0, 100, 101, 100_000)] == [1, 1, 2, 8]
+
+
+@pytest.mark.parametrize("case", ["crowded", "far", "real", "wide", "few"])
+def test_nearest_in_boxes_equal_brute_force(spark, case, monkeypatch):
+    """Several pieces, groups and slabs; categories beyond the screen; copies at equal distances."""
+    for name, size in (("_BLOCK_ROWS", 20), ("_PIECE_ROWS", 150), ("_GROUP_ROWS", 200), ("_SLAB_ROWS", 30), ("_MOST_WIDTH", 12)):
+        monkeypatch.setattr(boxes, name, size)
+    rng = np.random.default_rng(7)
+    x = rng.integers(0, 4, (900, 5)).astype(float)
+    if case == "crowded":
+        x[:300, 0] = 1.0
+    elif case == "far":
+        x[:, :2] = 1e7 + rng.random((900, 2))
+        x[:300, 0] *= -1e3
+    elif case == "real":
+        x[:, :2] = rng.random((900, 2)) * 40 - 20
+    elif case == "wide":
+        x[:, 3] = rng.integers(0, 300, 900) / 7
+    else:
+        x = x[:4]
+    pdf = pd.DataFrame(x, columns=list("abcde")).assign(row_id=rng.permutation(len(x)))
+    ordered = pdf.sort_values("row_id")[list("abcde")].to_numpy()
+    got = boxes.nearest_in_boxes(spark.createDataFrame(pdf).repartition(3), F.col("row_id") % 3 == 0, "row_id", list("abcde"), 2, 1.7, 5).toPandas()
+    want = brute_neighbours(ordered, 5, 2, 1.7, range(0, len(x), 3))
+    assert {q: rows.sort_values("place")["other"].tolist() for q, rows in got.groupby("row_id")} == want
+    i, j = got["row_id"].to_numpy(), got["other"].to_numpy()
+    assert np.allclose(got["squared"], ((ordered[i, :2] - ordered[j, :2]) ** 2).sum(axis=1))
+    assert got["differ"].tolist() == (ordered[i, 2:] != ordered[j, 2:]).sum(axis=1).tolist()
+    assert np.allclose(got["distance"] ** 2, got["squared"] + 1.7 * got["differ"])
+
+
+def test_oversampling_searches_once(spark, monkeypatch):
+    """The lists are written before they are read, so that no search is left in the plan."""
+    rng = np.random.default_rng(11)
+    pdf = pd.DataFrame({"age": rng.random(400) * 30, "kind": rng.integers(0, 3, 400) * 1.0, "y": (rng.random(400) < 0.3) * 1})
+    made = oversample.smotenc(spark.createDataFrame(pdf), ["age", "kind"], "y", ["age"], 5, 42)
+    assert "FlatMapCoGroups" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_neighbours_meet_in_few_wide_groups(spark, monkeypatch):
+    """Blocks travel packed, next to each group of the other side: no list of blocks or pairs a query."""
+    for name, size in (("_BLOCK_ROWS", 50), ("_PIECE_ROWS", 400), ("_GROUP_ROWS", 2000)):
+        monkeypatch.setattr(boxes, name, size)
+    rng = np.random.default_rng(12)
+    x = np.column_stack([rng.integers(0, 40, (4000, 2)), rng.integers(0, 4, (4000, 8))]).astype(float)
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("abcdefghij")).assign(row_id=np.arange(4000)))
+    written, write = [], boxes.cut
+    monkeypatch.setattr(boxes, "cut", lambda df: written.append(write(df)) or written[-1])
+    found = boxes.nearest_in_boxes(df, F.lit(True), "row_id", list("abcdefghij"), 2, 9.0, 5)
+    assert found.count() == 20_000
+    blocks = written[0].toPandas()
+    width = sum(blocks[c].map(len).sum() for c in ("ids", "rows", "asked", "bounds")) / 4000
+    assert len(written) == 1 and blocks["n"].sum() == 4000 and width < 8 + 10 + 1 + 8 + 1
+    assert boxes._groups(np.full(10, 400)).tolist() == [0, 1, 2, 3, 4, 5, 6, 7, 0, 1]
+    assert boxes._groups(np.full(100, 400)).max() + 1 == 20
