@@ -663,3 +663,20 @@ def test_neighbours_meet_in_few_wide_groups(spark, monkeypatch):
     assert len(written) == 1 and blocks["n"].sum() == 4000 and width < 8 + 10 + 1 + 8 + 1
     assert boxes._groups(np.full(10, 400)).tolist() == [0, 1, 2, 3, 4, 5, 6, 7, 0, 1]
     assert boxes._groups(np.full(100, 400)).max() + 1 == 20
+
+
+@pytest.mark.parametrize(("limit", "wanted"), [(8_000_000, 5), (10, 3), (7, 2), (1, 1)])
+def test_fits_of_a_study_run_side_by_side_within_the_rows(matrix, monkeypatch, limit, wanted):
+    """All folds of three methods on a small table; fewer where all their rows together are too many."""
+    asked = []
+
+    def watched(pool, features, p, method, parallelism, *shared):
+        asked.append(parallelism)
+        raise Asked
+
+    rows = splits.train_rows(matrix).count()
+    monkeypatch.setattr(model, "_ROWS_AT_ONCE", limit if wanted == 5 else limit * rows)
+    monkeypatch.setattr(compare, "cluster_cv", watched)
+    with pytest.raises(Asked):
+        compare.imbalance_study(matrix, FEATURES, q.MODEL, ("none", "class_weight"), parallelism=3)
+    assert set(asked) == {wanted}
